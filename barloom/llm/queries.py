@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, minhash, pii, ranking, repetition, secret_scan, toxicity
+from . import byte_bpe, decontamination, licences, minhash, pii, ranking, repetition, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +56,26 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def tokenizer() -> tuple[str, str]:
+    """Path of the vocabulary and the pattern of pre-tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, pattern = tokenizer()
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, pattern)
+    return byte_bpe.decode(tokens, vocabulary).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repetition.quality_rules(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_licence_scan, op3_decontamination, op4_toxicity, op5_pii_scan, op6_secret_scan, op7_quality, op8_near_duplicates, op10_repetition_rules)
+    f.__name__: f for f in (op2_licence_scan, op3_decontamination, op4_toxicity, op5_pii_scan, op6_secret_scan, op7_quality, op8_near_duplicates, op9_byte_bpe, op10_repetition_rules)
 }
 
 ORACLE: dict[str, str] = {"op2_licence_scan": licences.oracle_sql()}
