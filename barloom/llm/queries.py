@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, licences, minhash, pii, ranking, repetition, secret_scan, toxicity
+from . import byte_bpe, decontamination, licences, minhash, pii, ranking, repetition, secret_scan, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate_substrings(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
@@ -75,7 +80,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_licence_scan, op3_decontamination, op4_toxicity, op5_pii_scan, op6_secret_scan, op7_quality, op8_near_duplicates, op9_byte_bpe, op10_repetition_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_licence_scan, op3_decontamination, op4_toxicity, op5_pii_scan, op6_secret_scan, op7_quality, op8_near_duplicates, op9_byte_bpe, op10_repetition_rules)
 }
 
 ORACLE: dict[str, str] = {"op2_licence_scan": licences.oracle_sql()}
