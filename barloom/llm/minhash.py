@@ -6,8 +6,11 @@
 3.  In every bucket of a band each class is paired with the smallest and the
     largest class (two aggregates; never all pairs of a bucket).  Pairs are
     verified on the full sets, and links are grouped by union-find.
-4.  Buckets whose classes then lie in different groups are searched in full:
-    pairs across groups whose sketches do not rule them out are verified too.
+4.  Buckets whose classes then lie in different groups are searched in full.
+    Such a bucket is cut into blocks; a task compares two blocks by finer
+    sketches in numpy and gives out only those pairs across groups that the
+    sketches do not rule out, each at the first bucket that it shares.  These
+    are verified on the full sets too.
 
 With 32 bands of 4 rows a pair with similarity 0.8 shares no bucket with a
 probability below 5e-8.
@@ -28,8 +31,10 @@ from .shared import keep
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: How far below the threshold a sketch's estimate may be, in seven standard deviations of 128 components.
-MARGIN = 0.25
+#: Components of the finer sketch, and how far below the threshold its estimate may be: 5.6 standard deviations.
+FINE, MARGIN = 512, 0.10
+#: Classes of a block, about.
+BLOCK = 512
 PIECE = 2 << 20
 
 
@@ -81,7 +86,7 @@ def superminhash(elements: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -
         left = open_sets[owner]
         if dealt is None:
             h, owner, k = h[left], owner[left], k[left]
-            dealt = np.tile(np.arange(slots, dtype=np.uint8), (len(h), 1))
+            dealt = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(h), 1))
             dealt[np.arange(len(h)), k] = 0
         elif not left.all():
             h, owner, dealt = h[left], owner[left], dealt[left]
@@ -96,6 +101,11 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix(total + np.arange(BANDS, dtype=np.uint64) * GOLDEN)
 
 
+def key_array(signatures: np.ndarray) -> pa.Array:
+    keys = band_keys(signatures).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", PIECE):
         elements, bounds = shingle_sets(batch.column("text"), size)
@@ -105,19 +115,60 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             total = np.zeros(len(elements) + 1, dtype=np.uint64)
             np.cumsum(mix(elements + np.uint64(salt)), out=total[1:])
             digests.append(pa.array(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)))
-        signatures = superminhash(elements, bounds)
-        keys = band_keys(signatures).view(np.int64)
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        some = pa.array(n > 0)
-        sketch = (mix(signatures) & np.uint64(0xFF)).astype(np.uint8)
-        sketch = pa.array([x.tobytes() for x in sketch], type=pa.binary())
-        none_keys, none_sketch = pa.scalar(None, keys.type), pa.scalar(None, sketch.type)
+        keys = key_array(superminhash(elements, bounds))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *digests, keys], ["doc_id", "n_shingles", "k1", "k2", "keys"])
+
+
+def _fine_sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text", PIECE // 4):
+        elements, bounds = shingle_sets(batch.column("text"), size)
+        fine = (mix(superminhash(elements, bounds, FINE)) & np.uint64(0xFF)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n), *digests, pa.compute.if_else(some, keys, none_keys), pa.compute.if_else(some, sketch, none_sketch)],
-            ["doc_id", "n_shingles", "k1", "k2", "keys", "sketch"],
+            [batch.column("doc_id"), pa.array(np.diff(bounds)), key_array(superminhash(elements, bounds)), pa.array([x.tobytes() for x in fine], type=pa.binary())],
+            ["node", "n_shingles", "keys", "fine"],
         )
 
 
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs across groups of rows sorted by (key, low, high), two blocks of a bucket; block is the row's own."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        node, part, n, block = (np.array(rows.column(c)) for c in ("node", "part", "n_shingles", "block"))
+        low, high, key = (rows.column(c)[0].as_py() for c in ("low", "high", "key"))
+        keys = np.array(rows.column("keys").combine_chunks().flatten()).reshape(len(node), BANDS)
+        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), dtype=np.uint8).reshape(len(node), FINE)
+        band = int(np.argmax(keys[0] == key))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        out = []
+        for i in left.tolist():
+            other = right[node[right] > node[i]] if low == high else right
+            size = np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * percent
+            other = other[size & (part[other] != part[i])]
+            if len(other):
+                other = other[(fine[other] == fine[i]).mean(axis=1) >= percent / 100 - MARGIN]
+                other = other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]
+                out.append(np.stack([np.minimum(node[other], node[i]), np.maximum(node[other], node[i])]))
+        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    held, now = [], None
+    for batch in batches:
+        names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high")), strict=True))
+        a = 0
+        while a < len(names):
+            b = a + 1
+            while b < len(names) and names[b] == names[a]:
+                b += 1
+            if held and names[a] != now:
+                yield pairs(pa.Table.from_batches(held))
+                held = []
+            now = names[a]
+            held.append(batch.slice(a, b - a))
+            a = b
+    if held:
+        yield pairs(pa.Table.from_batches(held))
+
+
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text_a, text_b) those whose sets are similar enough."""
     for batch in batches:
@@ -200,54 +251,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id are linked with nothing, have no component and are kept.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(
-        texts.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sketch binary"), "sketches"
-    )
+    rows = keep(texts.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>"), "sketches")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["k1", "k2", "n_shingles"]
     nodes = named.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    one_each = named.dropDuplicates(key).select(*key, "keys", "sketch")
-    classes = keep(nodes.join(one_each, key), "classes")
+    one_each = named.dropDuplicates(key).select(*key, "keys")
 
-    buckets = classes.select(F.explode("keys").alias("key"), "node")
+    buckets = nodes.join(one_each, key).select(F.explode("keys").alias("key"), "node")
     ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
     shared = keep(buckets.join(ends, "key"), "buckets")
+    members = shared.select(F.col("node").alias("doc_id")).distinct()
+    near_texts = keep(texts.where(F.col("text").isNotNull()).join(members, "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
     pairs = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).union(shared.select(F.col("node").alias("a"), F.col("high").alias("b")))
     pairs = pairs.where(F.col("a") < F.col("b")).distinct()
-    texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    links = keep(verified(pairs, texts, shingle, percent), "verified")
+    links = keep(verified(pairs, near_texts, shingle, percent), "verified")
     groups = components(links)
 
     # buckets across groups
     placed = shared.select("key", "node").join(groups.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", F.coalesce("v", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") < F.col("high")).select("key")
-    placed = placed.join(mixed, "key")
-    other = placed.select("key", F.col("node").alias("b"), F.col("part").alias("other"))
-    across = placed.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other"))).select("a", "b").distinct()
-    sketch = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
-    near = (
-        across.join(sketch, "a")
-        .join(sketch.toDF("b", "sketch_b", "n_b"), "b")
-        .where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (agreement("sketch_a", "sketch_b") >= percent / 100 - MARGIN))
-        .select("a", "b")
-    )
-    more = keep(verified(near, texts, shingle, percent), "verified")
-    if more.isEmpty():
-        final = groups
-    else:
-        final = components(groups.toDF("a", "b").union(more))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size")).where(F.col("first") < F.col("last"))
+    placed = keep(placed.join(mixed.select("key", "size"), "key"), "mixed")
+    wanted = near_texts.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    fine = wanted.mapInArrow(lambda batches: _fine_sketch(batches, shingle), "node long, n_shingles long, keys array<long>, fine binary")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "node", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    group = ["key", "low", "high"]
+    compared = dealt.join(fine, "node").repartition(*group).sortWithinPartitions(*group).select(*group, "node", "part", "block", "n_shingles", "keys", "fine")
+    near = keep(compared.mapInArrow(lambda batches: _across(batches, percent), "a long, b long").distinct(), "across")
+    more = keep(verified(near, near_texts, shingle, percent), "verified")
+    final = groups if more.isEmpty() else components(groups.toDF("a", "b").union(more))
 
     labelled = nodes.join(final.withColumnRenamed("u", "node"), "node", "left").select(*key, F.coalesce("v", "node").alias("component_id"))
     found = named.select("doc_id", *key).join(labelled, key).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = rows.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0))
     return found.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
-
-
-def agreement(a: str, b: str):
-    """Share of components on which two sketches agree."""
-
-    @F.pandas_udf("double")
-    def share(x, y):
-        return x.combine(y, lambda p, q: float((np.frombuffer(p, dtype=np.uint8) == np.frombuffer(q, dtype=np.uint8)).mean()))
-
-    return share(a, b)
