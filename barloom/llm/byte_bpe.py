@@ -1,15 +1,17 @@
 """Byte-level BPE with a global shuffle of distinct words.
 
-1.  Texts are cut into pre-tokens in blocks of bounded size; within a block
+1.  Texts are cut into pre-tokens in blocks of bounded size.  Within a block
     each distinct word gets a number, and a text is the sequence of its
     numbers: its pre-tokens by position.
-2.  (word, block, number) is dealt by word.  A task encodes each distinct word
-    once, whatever number of blocks it is in.
-3.  (block, number, ids) goes back by block, where the sequences take up the
-    ids by position.
+2.  A block's distinct words are dealt to buckets by a hash of the word, one
+    packed row for each block and bucket.  A task encodes each distinct word of
+    its bucket once, whatever number of blocks it is in.
+3.  The ids go back by block, one packed row again, where the sequences take
+    them up by position.
 
-A hot word is one row a block, not one row an occurrence.  Decoding joins the
-token-byte table, which has one row an id of the vocabulary and so is bounded.
+A hot word is one entry a block, not one row an occurrence.  Decoding joins
+the token-byte table, which has one row an id of the vocabulary and so is
+bounded.
 
 Block names are made from the rows they hold, and the sequences are computed
 again rather than stored: docs must be a plan that yields the same rows in the
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -86,64 +90,130 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[parts[i]] for i in range(n) if alive[i]]
 
 
-class Block:
-    """Pre-tokens of a piece of texts: distinct words, and the texts as sequences of their numbers."""
-
-    def __init__(self, batch: pa.RecordBatch, pattern):
-        number: dict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        self.codes, sizes = [], [0]
-        digest = hashlib.blake2b(digest_size=16)
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            codes = np.fromiter(map(number.__getitem__, pattern.findall(text)), dtype=np.uint32) if text else np.zeros(0, dtype=np.uint32)
-            self.codes.append(codes)
-            sizes.append(len(codes))
-            digest.update(f"{i},{len(codes)};".encode())
-        self.bounds = np.cumsum(sizes)
-        self.words = list(number)
-        for codes in self.codes:
-            digest.update(codes.tobytes())
-        digest.update(repr(self.words).encode())
-        self.name = digest.digest()
+#: The members of three character classes up to U+00FF.
+LATIN = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
+#: The white space of Unicode, as tokenizers read it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def splitter(pattern: str):
+    """Texts to pre-tokens.  Texts up to U+00FF use the pattern with its classes written out, which is much faster."""
     import regex
 
-    compiled = regex.compile(pattern)
+    def written(classes: dict[str, str]) -> str:
+        def one(m: re.Match) -> str:
+            item = m[0]
+            if item[0] == "[":
+                return re.sub(r"\\p\{[LN]\}|\\s", lambda x: classes.get(x[0], x[0]), item)
+            return f"[^{classes[chr(92) + 's']}]" if item == r"\S" else f"[{classes[item]}]" if item in classes else item
+
+        return re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\[sS]", one, pattern)
+
+    general = regex.compile(written({r"\s": SPACE})).findall
+    latin = written(LATIN)
+    if re.search(r"\\[pPwWdDbB]", latin):
+        return general
+    narrow = re.compile(latin).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return narrow(text)
+
+    return split
+
+
+class Block:
+    """Pre-tokens of a piece of texts: distinct words in buckets, and the texts as sequences of their numbers.
+
+    Numbers go through the buckets in turn, so the words of bucket b are those
+    numbered from edges[b] up to edges[b + 1].
+    """
+
+    def __init__(self, batch: pa.RecordBatch, split, buckets: int):
+        seen: dict[str, int] = defaultdict()
+        seen.default_factory = seen.__len__
+        codes = [np.fromiter(map(seen.__getitem__, split(t)), dtype=np.uint32) if t else np.zeros(0, dtype=np.uint32) for t in batch.column("text").to_pylist()]
+        words = [w.encode() for w in seen]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(words), dtype=np.uint32)
+        number[order] = np.arange(len(words), dtype=np.uint32)
+        self.codes = [number[c] for c in codes]
+        self.words = [words[i] for i in order.tolist()]
+        self.edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        digest = hashlib.blake2b(repr(batch.column("doc_id").to_pylist()).encode(), digest_size=16)
+        digest.update(b"\xff".join(self.words))
+        for c in self.codes:
+            digest.update(len(c).to_bytes(8, "little") + c.tobytes())
+        self.name = digest.digest()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    split = splitter(pattern)
     for batch in pieces(batches, "text", BLOCK):
-        yield batch, Block(batch, compiled)
+        yield batch, Block(batch, split, buckets)
+
 
+def pack_list(items: list[bytes], pack) -> bytes:
+    sizes = np.fromiter(map(len, items), dtype="<u4", count=len(items))
+    return pack(len(items).to_bytes(4, "little") + sizes.tobytes() + b"".join(items))
 
-def _words(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    for _, block in _blocks(batches, pattern):
-        n = len(block.words)
-        for a in range(0, n, 50_000):
-            words = pa.array(block.words[a : a + 50_000], type=pa.string())
-            yield pa.RecordBatch.from_pydict({"word": words, "block": pa.array([block.name] * len(words), type=pa.binary()), "number": pa.array(np.arange(a, a + len(words), dtype=np.int32))})
 
+def unpack_list(packed: bytes, unpack) -> tuple[np.ndarray, bytes]:
+    """Sizes of the items, and the items end to end."""
+    raw = unpack(packed)
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, dtype="<u4", count=n, offset=4), raw[4 + 4 * n :]
 
-def _sequences(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+
+def _words(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch, block in _blocks(batches, pattern):
+    for _, block in _blocks(batches, pattern, buckets):
+        some = np.flatnonzero(np.diff(block.edges))
+        rows = [pack_list(block.words[a:b], pack) for a, b in zip(block.edges[some].tolist(), block.edges[some + 1].tolist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32)), "block": pa.array([block.name] * len(rows), type=pa.binary()), "words": pa.array(rows, type=pa.binary())})
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch, block in _blocks(batches, pattern, buckets):
         rows = [pack(c.tobytes()) for c in block.codes]
-        yield pa.RecordBatch.from_pydict(
-            {"block": pa.array([block.name] * len(rows), type=pa.binary()), "at": pa.array(np.arange(len(rows), dtype=np.int32)), "doc_id": batch.column("doc_id"), "codes": pa.array(rows, type=pa.binary())}
-        )
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block.name] * len(rows), type=pa.binary()), "doc_id": batch.column("doc_id"), "codes": pa.array(rows, type=pa.binary())})
+
+
+#: Words that an encoding task remembers at most; beyond, it begins to remember anew.
+REMEMBERED = 1_000_000
 
 
 def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Ids of words; equal words come one after the other, and only the first is encoded."""
-    last, ids = None, b""
+    """Ids of each row's words; a word is encoded when it first comes up in the task."""
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+    known: dict[bytes, bytes] = {}
     for batch in batches:
         out = []
-        for word in batch.column("word").to_pylist():
-            if word != last:
-                last, ids = word, np.array(merge(word.encode(), ranks), dtype="<u4").tobytes()
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), pa.array(out, type=pa.binary())], ["block", "number", "ids"])
+        for packed in batch.column("words").to_pylist():
+            sizes, text = unpack_list(packed, unpack)
+            ends = np.cumsum(sizes).tolist()
+            ids, a = [], 0
+            for b in ends:
+                word = text[a:b]
+                a = b
+                if (x := known.get(word)) is None:
+                    x = known[word] = np.array(merge(word, ranks), dtype="<u4").tobytes()
+                ids.append(x)
+            if len(known) > REMEMBERED:
+                known.clear()
+            out.append(pack_list(ids, pack))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, type=pa.binary())], ["block", "bucket", "ids"])
 
 
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -152,24 +222,18 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
 
     unpack = zstandard.ZstdDecompressor().decompress
     # blocks of equal rows have one name; their words come once for each
-    _, first = np.unique(np.array(right.column("number")), return_index=True)
-    ids = right.column("ids").combine_chunks().take(pa.array(first))
-    if isinstance(ids, pa.ChunkedArray):
-        ids = ids.combine_chunks()
-    offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32, count=len(ids) + 1 + ids.offset)[ids.offset :] // 4 if len(ids) else np.zeros(1, dtype=np.int32)
-    flat = np.frombuffer(ids.buffers()[2], dtype="<u4") if len(ids) and ids.buffers()[2] else np.zeros(0, dtype="<u4")
-    first, size = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+    buckets = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))
+    parts = [unpack_list(buckets[b], unpack) for b in sorted(buckets)]
+    size = np.concatenate([np.zeros(0, dtype=np.int64), *(s.astype(np.int64) // 4 for s, _ in parts)])
+    first = np.cumsum(size) - size
+    ids = np.frombuffer(b"".join(x for _, x in parts), dtype="<u4")
     texts = []
     for packed in left.column("codes").to_pylist():
         codes = np.frombuffer(unpack(packed), dtype=np.uint32)
-        if not len(codes):
-            texts.append(b"")
-            continue
         many = size[codes]
         at = np.arange(int(many.sum())) + np.repeat(first[codes] - (np.cumsum(many) - many), many)
-        texts.append(flat[at].tobytes())
-    values = pa.array(texts, type=pa.binary())
-    return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array([len(t) // 4 for t in texts], type=pa.int64()), "ids": values})
+        texts.append(ids[at].tobytes())
+    return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array([len(t) // 4 for t in texts], type=pa.int64()), "ids": pa.array(texts, type=pa.binary())})
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,11 +246,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = texts.mapInArrow(lambda batches: _words(batches, pattern), "word string, block binary, number int")
-    dealt = words.repartition("word").sortWithinPartitions("word")
-    coded = dealt.mapInArrow(lambda batches: _encode(batches, sent.value), "block binary, number int, ids binary")
-    sequences = texts.mapInArrow(lambda batches: _sequences(batches, pattern), "block binary, at int, doc_id long, codes binary")
-    # a block without words has no row on the right, and every row on the left has its block's words on the right or none
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = texts.mapInArrow(lambda batches: _words(batches, pattern, buckets), "bucket int, block binary, words binary")
+    coded = words.repartition("bucket").mapInArrow(lambda batches: _encode(batches, sent.value), "block binary, bucket int, ids binary")
+    sequences = texts.mapInArrow(lambda batches: _sequences(batches, pattern, buckets), "block binary, doc_id long, codes binary")
     return sequences.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
 
 
