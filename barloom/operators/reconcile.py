@@ -57,7 +57,7 @@ def by_alias(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Symbols replaced by what they were an alias of on the row's date: an equi join on the alias, then its validity."""
     a = aliases.select(F.col("alias").alias("symbol"), F.col("symbol").alias("_to"), "valid_from", "valid_to")
     fits = F.col("date").between(F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
-    j = rows.join(a, "symbol", "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    j = rows.join(a, "symbol", "left").withColumn("_fits", F.col("_to").isNotNull() & F.coalesce(fits, F.lit(False)))
     best = Window.partitionBy(*rows.columns).orderBy(F.desc("_fits"), F.desc_nulls_last("valid_from"))
     return j.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("symbol", F.when(F.col("_fits"), F.col("_to")).otherwise(F.col("symbol"))).select(rows.columns)
 
