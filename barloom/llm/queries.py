@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, licences, minhash, pii, ranking, repetition, secret_scan, substring_dedup, toxicity
+from . import byte_bpe, decontamination, licences, minhash, oracle, pii, ranking, repetition, secret_scan, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_licence_scan, op3_decontamination, op4_toxicity, op5_pii_scan, op6_secret_scan, op7_quality, op8_near_duplicates, op9_byte_bpe, op10_repetition_rules)
 }
 
-ORACLE: dict[str, str] = {"op2_licence_scan": licences.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op2_licence_scan": licences.oracle_sql(),
+    "op3_decontamination": oracle.CONTAMINATION,
+    "op8_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op10_repetition_rules": oracle.REPETITION,
+}
