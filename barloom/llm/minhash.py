@@ -32,7 +32,7 @@ from .shared import keep
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Components of the finer sketch, and how far below the threshold its estimate may be: 5.6 standard deviations.
-FINE, MARGIN = 512, 0.10
+FINE, MARGIN = 1024, 0.07
 #: Classes of a block, about.
 BLOCK = 512
 PIECE = 2 << 20
@@ -120,7 +120,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _fine_sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", PIECE // 4):
+    for batch in pieces(batches, "text", PIECE // 8):
         elements, bounds = shingle_sets(batch.column("text"), size)
         fine = (mix(superminhash(elements, bounds, FINE)) & np.uint64(0xFF)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
