@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_int, gap, trend_count
+from ..functions.expressions import as_int, gap, ratio, trend_count
 from .features import by_date, breadth_ratio, compatibility_view
 
 #: Columns of the features that a candidate carries.
@@ -98,9 +98,9 @@ def _threshold(bars: DataFrame, features: DataFrame, p: Params, start, end, shor
     # products, not ratios: the same on every engine
     crossed = c("low") <= c("prev_close") * (1 - p.threshold) if short else c("high") >= c("prev_close") * (1 + p.threshold)
     rows = rows.where(crossed & c("watch_date").isNotNull() & admitted(p, "prev_close", c("watch_value"), "prev_volume") & c("watch_ret_1d_lag1").isNotNull())
-    rows = join_features(rows, features, "watch_date")
-    signal = features.select("symbol", "date", c("close_pos_in_range").alias("signal_close_pos_in_range"))
-    rows = rows.join(signal, ["symbol", "date"], "left").where(c("close_pos_in_range").isNotNull())
+    # the signal day's place of the close is a matter of its own bar: no second join
+    rows = rows.withColumn("signal_close_pos_in_range", ratio(c("close") - c("low"), c("high") - c("low")))
+    rows = join_features(rows, features, "watch_date").where(c("close_pos_in_range").isNotNull())
     close = c("close") if p.l_close == "signal_day" else c("prev_close")
     narrow = (c("prev_high") - c("prev_low")) < c("atr_20") * 0.5
     turned = c("prev_close") > c("prev_open") if short else c("prev_close") < c("prev_open")
