@@ -262,7 +262,7 @@ def partition_registry(bars: DataFrame, keys: list[str], known: DataFrame | None
     return merged.withColumn("state", state).drop("_old", "_was")
 
 
-def reference_symbols(raw: DataFrame, segment: str = "NSE", kind: str = "EQ", least: int = 1) -> DataFrame:
+def reference_symbols(raw: DataFrame, segment: str, kind: str, least: int = 1) -> DataFrame:
     """Distinct symbols of one segment and type of an instrument list; an error if there are fewer than least."""
     out = raw.where((F.col("segment") == segment) & (F.col("instrument_type") == kind)).select(F.upper(F.trim("tradingsymbol")).alias("symbol")).where("symbol <> ''").distinct()
     if out.limit(least).count() < least:
