@@ -169,6 +169,18 @@ def normalize_intraday(raw: DataFrame, from_zone: str = "UTC", to_zone: str = "A
     return out.withColumn("date", F.to_date("candle_time")).withColumn("true_range", F.col("high") - F.col("low"))
 
 
+def vendor_candles(raw: DataFrame, from_zone: str = "UTC", to_zone: str = "Asia/Kolkata") -> DataFrame:
+    """Bars from rows (symbol, chunk_seq, candles), candles being arrays of [time, open, high, low, close, volume] as text.
+
+    Chunks may overlap; of one bar the later chunk's stays.
+    """
+    c = raw.select("symbol", "chunk_seq", F.explode("candles").alias("c"))
+    at = lambda i, t: F.get("c", F.lit(i)).try_cast(t)
+    out = c.select("symbol", "chunk_seq", local_time(at(0, "timestamp"), from_zone, to_zone).alias("candle_time"), *(at(i + 1, "double").alias(p) for i, p in enumerate(PRICES)), F.floor(at(5, "double")).cast("long").alias("volume"))
+    out = last_wins(out.dropna(subset=["candle_time", *PRICES]), ["symbol", "candle_time"], "chunk_seq").drop("chunk_seq")
+    return out.withColumn("date", F.to_date("candle_time")).select("symbol", "date", "candle_time", *PRICES, "volume")
+
+
 def local_time(time: Column, from_zone: str, to_zone: str) -> Column:
     return F.convert_timezone(F.lit(from_zone), F.lit(to_zone), time.cast("timestamp_ntz"))
 

@@ -200,3 +200,9 @@ def test_grids_and_sensitivity(spark):
     runs = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("a", 3.0, 0.0)], "param string, value double, metric double")
     r = reports.sensitivity(runs).first()
     assert r.best_value == 2.0 and abs(r.score - 1 / 1.5) < 1e-9
+
+
+def test_vendor_candles(spark):
+    rows = [("a", 1, [["2024-01-01 03:45:00", "1", "2", "0.5", "1", "10"], ["bad", "1", "2", "0.5", "1", "10"]]), ("a", 2, [["2024-01-01 03:45:00", "1", "2", "0.5", "1.5", "12"]])]
+    found = src.vendor_candles(spark.createDataFrame(rows, "symbol string, chunk_seq int, candles array<array<string>>")).collect()
+    assert [(r.candle_time, r.close, r.volume) for r in found] == [(datetime(2024, 1, 1, 9, 15), 1.5, 12)]
