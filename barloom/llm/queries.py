@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from . import byte_bpe, decontamination, licences, minhash, oracle, pii, ranking, repetition, secret_scan, substring_dedup, toxicity
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by the task's Python at once.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; from then on the session sends at most BATCH_ROWS rows in an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
