@@ -22,8 +22,8 @@ def last_rows(n: int, skip: int = 0, order=None):
 
 
 def position_in_range(n: int) -> Column:
-    low, high = F.min("close").over(last_rows(n)), F.max("close").over(last_rows(n))
-    return ratio(F.col("close") - low, high - low)
+    """From the columns _low_n and _high_n: a window inside nullif would be evaluated for each place it is written."""
+    return ratio(F.col("close") - F.col(f"_low_{n}"), F.col(f"_high_{n}") - F.col(f"_low_{n}"))
 
 
 def daily_features(bars: DataFrame) -> DataFrame:
@@ -62,7 +62,10 @@ def daily_features(bars: DataFrame) -> DataFrame:
             "dollar_vol_20": F.avg("dollar_vol").over(last_rows(20)),
             "rn": F.row_number().over(by_date()),
         }
+        | {f"_low_{n}": F.min("close").over(last_rows(n)) for n in (63, 252)}
+        | {f"_high_{n}": F.max("close").over(last_rows(n)) for n in (63, 252)}
     )
+    base = base.withColumn("_atr_before", F.avg("atr_20").over(last_rows(50, 1)))
     up, down = F.when(F.col("ret_1d") >= 0.04, 1).otherwise(0), F.when(F.col("ret_1d") <= -0.04, 1).otherwise(0)
     return base.withColumns(
         {
@@ -73,10 +76,10 @@ def daily_features(bars: DataFrame) -> DataFrame:
             "breakout_4pct_up_90d": F.sum(up).over(last_rows(90, 1)),
             "breakdown_4pct_down_90d": F.sum(down).over(last_rows(90, 1)),
             "r2_65": F.regr_r2("close", "rn").over(last_rows(65)),
-            "atr_compress_ratio": ratio(F.col("atr_20"), F.avg("atr_20").over(last_rows(50, 1))),
+            "atr_compress_ratio": ratio(F.col("atr_20"), F.col("_atr_before")),
             "vol_dryup_ratio": ratio(F.col("volume"), F.col("vol_20")),
         }
-    )
+    ).drop("_low_63", "_high_63", "_low_252", "_high_252", "_atr_before")
 
 
 #: Names of the compatibility view and the feature columns behind them.
@@ -164,10 +167,12 @@ def intraday_features(bars: DataFrame, daily: DataFrame) -> DataFrame:
             "first_breakout_time": F.when(above, F.min(F.when(above, F.col("candle_time"))).over(running)),
             "first_breakdown_time": F.when(below, F.min(F.when(below, F.col("candle_time"))).over(running)),
             "gap_open_pct": gap(F.col("open"), F.col("prior_day_close")),
-            "volume_percentile": F.sum("volume").over(running) / F.nullif(F.sum("volume").over(day), F.lit(0)),
+            "_so_far": F.sum("volume").over(running),
+            "_total": F.sum("volume").over(day),
             "entry_window": entry_window(F.col("rn_5min")),
         }
     )
+    b = b.withColumn("volume_percentile", ratio(F.col("_so_far"), F.col("_total"))).drop("_so_far", "_total")
     return b.withColumns({"range_expansion_vs_15min": gap(F.col("high"), F.col("or_15min_high")), "range_contraction_vs_15min": gap(F.col("low"), F.col("or_15min_low"))}).where(F.col("close").isNotNull())
 
 
