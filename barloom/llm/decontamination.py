@@ -26,7 +26,7 @@ from .common import ALNUM_WIDE, FOLD, Spans, flat, pieces
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 def _words(column: pa.Array) -> Spans:
@@ -47,7 +47,7 @@ def suffix_array(codes: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarra
         first = rank[starts]
         second = np.where(first > 0, rank[np.minimum(starts + size, len(codes))], 0)
         key = first * (int(rank.max()) + 1) + second
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order, key = starts[by], key[by]
         new = np.cumsum(np.concatenate(([1], key[1:] != key[:-1])))
         rank[order] = new

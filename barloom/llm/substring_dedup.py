@@ -28,6 +28,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ WINDOW = 20
 ANCHOR, CUT = 6, 3
 #: Longest segment, in windows, and words of a shard.
 RUN, SHARD = 64, 1_000_000
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
@@ -54,9 +55,9 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """Windows of a piece of texts: starts (word positions), documents, anchors and segment keys."""
+    """Windows of a piece of texts: starts (word positions), documents, anchors and, if asked for, segment keys."""
 
-    def __init__(self, column: pa.Array, window: int):
+    def __init__(self, column: pa.Array, window: int, keys: bool = True):
         data, offsets = flat(column)
         self.words = Spans(data, offsets, NON_BLANK)
         hashes = self.words.hashes()
@@ -67,15 +68,16 @@ class Windows:
         size = min(ANCHOR, window)
         self.grams = gram_hashes(hashes, size)
         self.anchor = sliding_min(self.grams, window - size + 1)[self.start] if len(self.start) else self.grams[:0]
-        size = min(CUT, window)
-        cut = mix(gram_hashes(hashes, size) + GOLDEN)
-        self.key = sliding_min(cut, window - size + 1)[self.start] if len(self.start) else cut[:0]
+        if keys:
+            size = min(CUT, window)
+            cut = mix(gram_hashes(hashes, size) + GOLDEN)
+            self.key = sliding_min(cut, window - size + 1)[self.start] if len(self.start) else cut[:0]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(anchor, doc_id, n): a document's anchors, and whether one place (1) or more (2) have it."""
     for batch in pieces(batches, "text", PIECE):
-        w = Windows(batch.column("text"), window)
+        w = Windows(batch.column("text"), window, keys=False)
         if not len(w.start):
             continue
         fresh = np.ones(len(w.start), dtype=bool)
@@ -97,7 +99,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in pieces(batches, "text", PIECE):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         digests = pa.array([text_digest(t) for t in texts], type=pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, pa.array([pack(t) for t in texts], type=pa.binary())], ["doc_id", "digest", "packed"])
@@ -109,8 +111,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         i = batch.schema.get_field_index("packed")
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
             yield part.append_column("text", pa.array([unpack(t) for t in part.column(i).to_pylist()], type=pa.large_binary()))
 
 
@@ -285,18 +287,23 @@ def _index(batches: Iterator[pa.RecordBatch], window: int, shard: int) -> Iterat
     """Cut rows that come sorted by key into shards between keys."""
     held, words, key = [], 0, None
     for batch in batches:
-        keys = np.array(batch.column("key"))
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if words >= shard and keys[a] != key:
-                yield _shard(pa.Table.from_batches(held), window, shard)
-                held, words = [], 0
-            key = keys[a]
-            part = batch.slice(a, b - a)
-            held.append(part)
-            words += part.column("segment").nbytes // 6
+        keys, n = np.array(batch.column("key")), batch.num_rows
+        sizes = np.cumsum(pa.compute.binary_length(batch.column("segment")).to_numpy() // 6 + 1)
+        a = 0
+        while a < n:
+            done = int(sizes[a - 1]) if a else 0
+            if words < shard:
+                b = min(n, int(np.searchsorted(sizes, done + shard - words)) + 1)
+            else:  # the rest of the key at hand, and then a new shard
+                other = np.flatnonzero(keys[a:] != key)
+                b = a + int(other[0]) if len(other) else n
+                if b == a:
+                    yield _shard(pa.Table.from_batches(held), window, shard)
+                    held, words = [], 0
+                    continue
+            held.append(batch.slice(a, b - a))
+            words += int(sizes[b - 1]) - done
+            key, a = keys[b - 1], b
     if held:
         yield _shard(pa.Table.from_batches(held), window, shard)
 
@@ -332,7 +339,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Ite
 
 def _plain(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     """Rows as they are if nothing is removed."""
-    for batch in batches:
+    for batch in pieces(batches, "text", PIECE):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         split = [(t or b"").split() for t in texts]
         kept = [_kept(b" ".join(x), digest) for x in split]
