@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, GOLDEN, NON_BLANK, Spans, flat, gram_hashes, mix, pieces
-from .shared import keep
+from .shared import discard, keep
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
@@ -35,7 +35,7 @@ SLOTS = BANDS * ROWS
 FINE, MARGIN = 1024, 0.07
 #: Classes of a block, about.
 BLOCK = 512
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links are first contracted by union-find within tasks, then by alternating
     large-star and small-star rounds until nothing changes.  Every round is
-    written to the shared folder.
+    written to the shared folder, and the one before deleted.
     """
     edges = keep(links.mapInArrow(_forest, "u long, v long").distinct(), "links")
     state = None
@@ -233,7 +233,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where(F.col("u") != F.col("v"))
         smallest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(smallest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = keep(small.union(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, edges = edges, keep(small.union(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(old)
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
             return edges
