@@ -23,7 +23,7 @@ from .labelled import SAMPLE, fold, training_sample
 CUT = 0.3
 #: Pairs for each document of the rarer class, and in total.
 PAIRS_EACH, PAIRS = 24, 100_000
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 SHARES = ["symbols", "bars", "capitals", "shouts", "stutter", "same_lines", "same_grams3", "same_grams5", "digits"]
 FEATURES = [*SHARES, *(f"root_{x}" for x in SHARES), "distinct", "word_size", "stops", "commas", "lines", "first_capital", "beyond_ascii", "words"]
