@@ -1,14 +1,22 @@
 """Licence scans by sentence rules, in DataFrame expressions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of anything
-but letters and digits to one blank) and mapped to a known licence-sentence
-identifier.  The sequence of identifiers of the text is then matched against
-licence rules, which are ordered sequences of identifiers; other sentences may
-stand between.  No explode and no shuffle: one projection over the scan.
+A text is cut into pieces at stops and at line ends, and each is normalised
+(lower case, runs of anything but letters and digits to one blank).  A run of
+pieces that reads as a known licence sentence has that sentence's identifier:
+inside it a single line end is white space, so wrapped texts are read like
+unwrapped ones, and a stop may stand only where the sentence has one itself.
+The sequence of identifiers of the text is then matched against licence rules,
+which are ordered sequences of identifiers; other sentences may stand between.
+No explode and no shuffle: one projection over the scan.
+
+The SQL knows sentences of one piece only.  Both agree on texts without a known
+sentence of several pieces; on the others the SQL misses the sentence.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +41,11 @@ SENTENCES = {
     "reserved": "All rights reserved",
 }
 
+#: Other published wordings of sentences.
+VARIANTS = {
+    "apache-ref": ["Licensed under the Apache License, Version 2.0 (the \"License\")"],
+}
+
 #: Licence rules in the order of the report; each is an ordered sequence of sentence identifiers.
 RULES = {
     "MIT": [["mit-ref"], ["mit-grant", "mit-notice", "as-is"]],
@@ -49,6 +62,10 @@ SEPARATOR = "\u0001"
 #: The same patterns serve both engines: no lookahead, explicit white space.
 BREAK = r"[.!?:;]+(?:[ \t\n\f\r]+|\z)|\n+|\x01+"
 FILLER = r"[^\p{L}\p{N}\x01]+"
+#: BREAK in two: stops, and line ends; lines without a letter or digit part like a stop.
+STOP = r"[.!?:;]+(?:[ \t\n\f\r]+|\z)|\x01+"
+BLANK_LINE = r"\n[^\p{L}\p{N}\x01]*\n"
+LINE_END = "\u0002"
 
 
 def normal(sentence: str) -> str:
@@ -60,13 +77,30 @@ def rule_pattern(sequence: list[str]) -> str:
     return "," + ",(?:.*,)?".join(sequence) + ","
 
 
+def spellings() -> dict[str, tuple[str, str]]:
+    """Identifier and pattern of each normalised known sentence, the longest first."""
+    out = {}
+    for i, sentence in [*SENTENCES.items(), *((i, s) for i, more in VARIANTS.items() for s in more)]:
+        cut = [normal(x) for x in re.split(r"[.!?:;]+(?:\s+|$)", sentence)]
+        out[normal(sentence)] = i, r"[ \x01\x02]".join(x.replace(" ", r"[ \x02]") for x in cut if x)
+    return dict(sorted(out.items(), key=lambda x: -len(x[0])))
+
+
+def marked_pieces(text: Column) -> Column:
+    """The normalised pieces with a mark before and after each: LINE_END at a single line end, SEPARATOR elsewhere."""
+    out = F.translate(F.lower(F.coalesce(text, F.lit(""))), LINE_END, " ")
+    for pattern, mark in ((STOP, SEPARATOR), (BLANK_LINE, SEPARATOR), (r"\n", LINE_END), (r"[^\p{L}\p{N}\x01\x02]+", " "), (r"[ \x01\x02]*\x01[ \x01\x02]*", SEPARATOR), (r" ?\x02 ?", LINE_END)):
+        out = F.regexp_replace(out, pattern, mark)
+    return F.concat(F.lit(SEPARATOR), F.trim(out), F.lit(SEPARATOR))
+
+
 def licence_columns(text: Column) -> dict[str, Column]:
-    known = {normal(s): i for i, s in SENTENCES.items()}
-    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BREAK, SEPARATOR)
-    parts = F.split(F.regexp_replace(cut, FILLER, " "), SEPARATOR)
-    sentences = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
-    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    ids = F.transform(F.filter(sentences, lambda s: s.isin(*known)), lambda s: F.element_at(names, s))
+    known = spellings()
+    marked = marked_pieces(text)
+    sentences = F.filter(F.split(marked, r"[\x01\x02]"), lambda s: s != "")
+    names = F.create_map(*(F.lit(x) for spelled, (i, _) in known.items() for x in (spelled, i)))
+    any_known = r"(?<=[\x01\x02])(?:" + "|".join(pattern for _, pattern in known.values()) + r")(?=[\x01\x02])"
+    ids = F.transform(F.regexp_extract_all(marked, F.lit(any_known), F.lit(0)), lambda s: F.element_at(names, F.translate(s, SEPARATOR + LINE_END, "  ")))
     listed = F.concat(F.lit(","), F.array_join(F.col("sentence_ids"), ","), F.lit(","))
     found = [F.when(_any(listed, sequences), F.lit(name)) for name, sequences in RULES.items()]
     return {"n_sentences": F.size(sentences).cast("long"), "sentence_ids": ids, "licences": F.array_compact(F.array(*found))}
@@ -82,7 +116,7 @@ def _any(listed: Column, sequences: list[list[str]]) -> Column:
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_sentences, sentence_ids in order of the text, licences in order of RULES.
 
-    A null or empty text has no sentences and no licences.  Rows are scanned
+    n_sentences counts the pieces, as the SQL does: a wrapped line is one.  A null or empty text has no sentences and no licences.  Rows are scanned
     one by one: ids may be null or repeated, other columns are not read.
     """
     c = licence_columns(F.col("text"))

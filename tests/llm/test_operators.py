@@ -149,6 +149,66 @@ def test_licences(spark, frame, docs):
     assert {i: (r.n_sentences, ",".join(r.sentence_ids), ",".join(r.licences)) for i, r in found.items()} == expected
 
 
+MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+APACHE_WRAPPED = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL_WRAPPED = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_2_WRAPPED = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3_WRAPPED = BSD_2_WRAPPED + """
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+
+
+def test_licences_as_published(spark):
+    texts = {
+        "mit-grant,mit-notice,as-is": MIT_WRAPPED, "apache-ref,apache-comply,apache-copy": APACHE_WRAPPED, "gpl-free,gpl-hope": GPL_WRAPPED, "bsd-grant,bsd-source,bsd-binary": BSD_2_WRAPPED,
+        "bsd-grant,bsd-source,bsd-binary,bsd-name": BSD_3_WRAPPED, "mit-ref": "Released under\r\nthe MIT License.", "gpl3-ref": "This work is licensed under the GNU General\nPublic License, version 3.",
+        "ccby4-ref": "Licensed under\nCC BY 4.0", "ccbync4-ref": "Licensed under CC\nBY-NC 4.0", "reserved": "All rights\nreserved.", "apache-ref": "Licensed under the Apache License,\nVersion 2.0.",
+    }
+    names = [["MIT"], ["Apache-2.0"], ["GPL-3.0"], ["BSD-2-Clause"], ["BSD-3-Clause", "BSD-2-Clause"], ["MIT"], ["GPL-3.0"], ["CC-BY-4.0"], ["CC-BY-NC-4.0"], ["proprietary"], ["Apache-2.0"]]
+    forms = [lambda t: t, lambda t: "/*\n" + "\n".join(" * " + line for line in t.split("\n")) + "\n */", lambda t: "Copyright 2020\n\n" + t.replace("\n", "\r\n") + "\nint x"]
+    found = by_id(licences.scan_licences(rows(spark, [(10 * i + j, form(t)) for i, t in enumerate(texts.values()) for j, form in enumerate(forms)])))
+    for i, (ids, licence) in enumerate(zip(texts, names, strict=True)):
+        for j in range(len(forms)):
+            assert (",".join(found[10 * i + j][1]), found[10 * i + j][2]) == (ids, licence)
+    # a blank line or a stop that the sentence does not have ends it
+    for text in ("All rights\n\nreserved", "All rights. Reserved", "All rights\n *\n * reserved", "Not all rights\nreserved", "All rights\nreserved by us"):
+        assert licences.scan_licences(rows(spark, [(1, text)])).first().sentence_ids == []
+
+
 def test_repetition(frame, docs):
     found = {r.doc_id: r for r in repetition.quality_rules(frame).collect()}
     expected = {i: brute.repetition(t) for i, t in docs}
