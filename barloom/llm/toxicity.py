@@ -1,32 +1,36 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms of a bounded sample.
 
-Terms are words and word beginnings, lower-cased.  From a bounded sample of
-labelled documents come the terms that tell the labels apart (chi-square) and
-some very common ones that stand for a document's bulk; inverse document
-frequencies of these terms are counted over all documents.  The sample is the
-index.  A document's score is the distance-weighted vote of its nearest
+Terms are words and word beginnings, lower-cased.  A bounded sample of labelled
+documents is the index, with every term that occurs in it; inverse document
+frequencies of these terms are counted over all documents.  Terms of many
+examples are columns of a dense matrix with block bounds, all others have
+postings.  A document's score is the distance-weighted vote of its nearest
 examples, which are kept as evidence.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WIDE, FOLD, GOLDEN, Spans, flat, letters, mix, pieces, powers
+from .common import ALNUM_WIDE, FOLD, GOLDEN, Spans, flat, letters, mix, pieces, powers, release
 from .labelled import SAMPLE, training_sample
 
 #: Bytes of word beginnings that are terms besides the words.
 BEGINNINGS = (4, 5, 6, 7, 8)
-TERMS, COMMON, LEAST_CHI = 256, 24, 30.0
+#: How many of the most frequent terms have columns; it decides the time, not the result.
+COLUMNS = 1024
 NEIGHBOURS, BLOCK = 15, 64
 PIECE = 4 << 20
-QUERIES = 512
+#: Texts searched together, and postings read at once.
+QUERIES, READ = 256, 4_000_000
 
 
 def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,78 +53,76 @@ def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Finder:
-    """Places of hashes in a small sorted set; a bit table turns most away first."""
+    """Places of hashes in a sorted set; a table of flags turns most of the others away first."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        self.table = np.zeros(1 << 16, dtype=bool)
-        self.table[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.low = np.uint64((1 << min(max((8 * len(terms)).bit_length(), 16), 23)) - 1)
+        self.table = np.zeros(int(self.low) + 1, dtype=bool)
+        self.table[(terms & self.low).astype(np.int64)] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        maybe = np.flatnonzero(self.table[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        maybe = np.flatnonzero(self.table[(hashes & self.low).astype(np.int64)])
         at = np.searchsorted(self.terms, hashes[maybe])
         at[at == len(self.terms)] = 0
         good = self.terms[at] == hashes[maybe]
         return maybe[good], at[good]
 
 
-def term_counts(column: pa.Array, finder: Finder) -> np.ndarray:
-    """Occurrences of each term of the finder, a row per text."""
+def term_counts(column: pa.Array, finder: Finder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place of the term in the finder, and occurrences, for each term of each text; in order of both."""
     hashes, docs, _ = terms_of(column)
     where, which = finder.find(hashes)
-    width = len(finder.terms)
-    return np.bincount(docs[where] * width + which, minlength=len(column) * width).reshape(len(column), width)
+    width = max(len(finder.terms), 1)
+    key, n = np.unique(docs[where] * width + which, return_counts=True)
+    return key // width, key % width, n
 
 
-def choose_terms(sample: DataFrame, n: int = TERMS, common: int = COMMON) -> np.ndarray:
-    """Sorted hashes of at most n terms by chi-square with the label and of `common` most frequent ones."""
+def unit_vectors(column: pa.Array, finder: Finder, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with weights for occurrences; the weights of a text have length 1."""
+    doc, at, n = term_counts(column, finder)
+    x = n * idf[at]
+    return doc, at, x / np.maximum(np.sqrt(np.bincount(doc, x * x, len(column)))[doc], 1e-12)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sample_terms(sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of all terms of the sample."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
-            hashes, docs, _ = terms_of(batch.column("text"))
-            order = np.lexsort((docs, hashes))
-            h, d = hashes[order], docs[order]
-            fresh = np.ones(len(h), dtype=bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            h, d = h[fresh], d[fresh]
-            terms, which = np.unique(h, return_inverse=True)
-            label = np.array(batch.column("label"))
-            yield pa.RecordBatch.from_pydict({"term": terms.view(np.int64), "n1": np.bincount(which, label[d], len(terms)).astype(np.int64), "n": np.bincount(which, minlength=len(terms))})
-
-    total = sample.agg(F.sum("label").alias("a"), F.count("*").alias("b")).first()
-    n1, all_ = float(total.a or 0), float(total.b or 0)
-    if not all_:
-        return np.zeros(0, dtype=np.uint64)
-    c = sample.select("text", "label").mapInArrow(count, "term long, n1 long, n long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-    off = F.col("n1") * F.lit(all_) - F.col("n") * F.lit(n1)
-    chi = F.lit(all_) * off * off / (F.col("n") * F.lit(n1 * (all_ - n1)) * (F.lit(all_) - F.col("n")) + F.lit(1e-9))
-    c = c.withColumn("chi", chi)
-    chosen = c.where((F.col("chi") >= LEAST_CHI) & (F.col("n") >= 4)).orderBy(F.desc("chi"), "term").limit(n).select("term")
-    often = c.orderBy(F.desc("n"), "term").limit(common).select("term")
-    found = chosen.union(often).distinct().toArrow().column("term")
+            yield pa.RecordBatch.from_pydict({"term": np.unique(terms_of(batch.column("text"))[0]).view(np.int64)})
+
+    found = sample.select("text").mapInArrow(distinct, "term long").distinct().toArrow().column("term")
     return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and their number."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, total, n = Finder(terms), np.zeros(len(terms), dtype=np.int64), 0
+        finder, n = Finder(sent.value), 0
+        total = np.zeros(len(finder.terms), dtype=np.int64)
         for batch in pieces(batches, "text", PIECE):
-            total += (term_counts(batch.column("text"), finder) > 0).sum(axis=0)
+            total += np.bincount(term_counts(batch.column("text"), finder)[1], minlength=len(total))
             n += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"at": np.arange(-1, len(terms)), "n": np.concatenate(([n], total))})
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": np.concatenate(([-1], some)), "n": np.concatenate(([n], total[some]))})
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for r in rows:
-        out[r["at"] + 1] = r["n"]
+    out[np.array(rows.column("at"), dtype=np.int64) + 1] = np.array(rows.column("n"), dtype=np.int64)
     return out[1:], int(out[0])
 
 
 @dataclass
 class Examples:
-    """The index: examples in blocks, and for each block and term the largest weight."""
+    """The index: examples in blocks.
+
+    The most frequent terms are columns of `weights`, with the largest weight of
+    each block in `most`; `column` has a term's column or -1.  The examples of
+    any other term and their weights are `places` and `values` from its `starts` on.
+    """
 
     terms: np.ndarray
     idf: np.ndarray
@@ -128,22 +130,92 @@ class Examples:
     labels: np.ndarray
     weights: np.ndarray
     most: np.ndarray
+    column: np.ndarray | None = None
+    starts: np.ndarray | None = None
+    places: np.ndarray | None = None
+    values: np.ndarray | None = None
+    #: Examples without any term.
+    bare: np.ndarray | None = None
+
+    @staticmethod
+    def pack(sample: pa.Table, terms: np.ndarray, idf: np.ndarray) -> bytes:
+        """What the index is built from, small: a broadcast is copied to the disk of every executor."""
+        import zstandard
+
+        sample = sample.sort_by("doc_id")
+        ids, labels = np.array(sample.column("doc_id"), dtype=np.int64), np.array(sample.column("label"), dtype=np.int64)
+        rows = [np.frombuffer(zstandard.decompress(x), dtype=np.int32) for x in sample.column("packed").to_pylist()]
+        sizes = np.array([len(x) // 2 for x in rows], dtype=np.int64)
+        steps = np.concatenate([np.zeros(0, dtype=np.int32), *(x[: len(x) // 2] for x in rows)])
+        counts = np.concatenate([np.zeros(0, dtype=np.int32), *(x[len(x) // 2 :] for x in rows)])
+        return zstandard.compress(pickle.dumps((terms, idf, ids, labels, sizes, steps, counts.astype(np.min_scalar_type(counts.max(initial=0))))), 3)
 
     @classmethod
-    def build(cls, sample: pa.Table, terms: np.ndarray, frequencies: np.ndarray, n_docs: int) -> Examples:
-        idf = np.log((1 + n_docs) / (1 + frequencies)) + 0.1
-        ids, labels = np.array(sample.column("doc_id"), dtype=np.int64), np.array(sample.column("label"), dtype=np.int64)
-        counts = np.array(sample.column("counts").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), len(terms))
-        weights = unit(counts, idf)
-        # like examples side by side make narrow block bounds
-        order = np.lexsort((ids, labels, weights.argmax(axis=1) if weights.size else labels))
-        ids, labels, weights = ids[order], labels[order], weights[order]
-        most = np.stack([weights[i : i + BLOCK].max(axis=0) for i in range(0, len(ids), BLOCK)]) if len(ids) else np.zeros((0, len(terms)))
-        return cls(terms, idf, ids, labels, weights.astype(np.float32), most.astype(np.float32))
+    def unpack(cls, packed: bytes, columns: int = COLUMNS) -> Examples:
+        import zstandard
+
+        terms, idf, ids, labels, sizes, steps, counts = pickle.loads(zstandard.decompress(packed))
+        n = len(ids)
+        # steps between the terms' places in a row make the places
+        at = np.cumsum(steps, dtype=np.int64)
+        at = (at - np.repeat(np.append(0, at)[np.cumsum(sizes) - sizes], sizes)).astype(np.int32)
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        weight = counts * idf[at]
+        weight = (weight / np.maximum(np.sqrt(np.bincount(row, weight * weight, n)), 1e-12)[row]).astype(np.float32)
+        return cls.build(terms, idf, ids, labels, sizes, at, weight, columns)
 
-    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    @classmethod
+    def build(cls, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, at: np.ndarray, weight: np.ndarray, columns: int) -> Examples:
+        """From the places of each example's terms and their weights, example after example."""
+        n = len(ids)
+        # like examples side by side make narrow block bounds
+        strongest = np.full(n, -1, dtype=np.int64)
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        if len(firsts):
+            peak = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, firsts), sizes[sizes > 0]))
+            row = np.searchsorted(np.cumsum(sizes), peak, side="right")
+            strongest[row[::-1]] = at[peak[::-1]]
+        order = np.lexsort((ids, labels, strongest))
+        place = np.empty(n, dtype=np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        doc = np.repeat(place, sizes)
+        often = np.bincount(at, minlength=len(terms))
+        chosen = np.sort(np.argsort(-often, kind="stable")[:columns])
+        column = np.full(len(terms), -1, dtype=np.int32)
+        column[chosen] = np.arange(len(chosen))
+        dense = column[at] >= 0
+        weights = np.zeros((n, len(chosen)), dtype=np.float32)
+        weights[doc[dense], column[at[dense]]] = weight[dense]
+        at, doc, weight = at[~dense], doc[~dense], weight[~dense]
+        by_term = np.argsort(at, kind="stable")
+        often[chosen] = 0
+        starts = np.concatenate(([0], np.cumsum(often)))
+        most = np.stack([weights[i : i + BLOCK].max(axis=0) for i in range(0, n, BLOCK)]) if n else np.zeros((0, len(chosen)), dtype=np.float32)
+        return cls(terms, idf, ids[order], labels[order], weights, most, column, starts, doc[by_term], weight[by_term], (sizes == 0)[order])
+
+    def split(self, n: int, doc: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of n queries the weights in the columns, and their cosines with all examples over the other terms."""
+        q, rest = np.zeros((n, self.weights.shape[1]), dtype=np.float32), np.zeros(n * len(self.ids))
+        dense = self.column[at] >= 0
+        q[doc[dense], self.column[at[dense]]] = weight[dense]
+        doc, at, weight = doc[~dense], at[~dense], weight[~dense]
+        sizes = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < len(at):
+            done = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + READ, side="right")))
+            size = sizes[a:b]
+            where = np.arange(int(size.sum())) + np.repeat(self.starts[at[a:b]] - (ends[a:b] - size - done), size)
+            rest += np.bincount(np.repeat(doc[a:b] * len(self.ids), size) + self.places[where], np.repeat(weight[a:b], size) * self.values[where], len(rest))
+            a = b
+        return q, rest.astype(np.float32).reshape(n, len(self.ids))
+
+    def nearest(self, q: np.ndarray, k: int, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of each row of q; exact, ties by place.
 
+        rest has what the terms without a column add to each cosine.
+
         A block is evaluated only for those queries whose bound there reaches
         the k-th best cosine of their two most promising blocks.
         """
@@ -151,11 +223,13 @@ class Examples:
         n, blocks = len(q), len(self.most)
         k = min(k, len(self.ids))
         bound = q @ self.most.T + np.float32(1e-5)
+        if rest is not None:
+            bound += np.maximum.reduceat(rest, np.arange(0, len(self.ids), BLOCK), axis=1)
         cosine = np.full((n, len(self.ids)), -1, dtype=np.float32)
 
         def evaluate(b: int, rows: np.ndarray) -> None:
             at = slice(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
-            cosine[rows, at] = q[rows] @ self.weights[at].T
+            cosine[rows, at] = q[rows] @ self.weights[at].T + (0 if rest is None else rest[rows, at])
 
         seeds = max(2, -(-k // BLOCK) + 1)
         first = np.argsort(-bound, axis=1, kind="stable")[:, :seeds]
@@ -177,24 +251,29 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Examples:
-    """The index of at most `limit` labelled documents outside the held-out fold, with frequencies of all documents."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> bytes:
+    """The packed index of at most `limit` labelled documents outside the held-out fold, with frequencies of all documents."""
     sample = training_sample(docs, labels, label, limit=limit)
-    terms = choose_terms(sample)
+    terms = sample_terms(sample)
     frequencies, n = document_frequencies(docs, terms)
+    idf = np.log((1 + n) / (1 + frequencies)) + 0.1
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(terms)
+        import zstandard
+
+        finder = Finder(sent.value)
         for batch in pieces(batches, "text", PIECE):
-            rows = term_counts(batch.column("text"), finder).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(terms)), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "counts"])
+            doc, at, n = term_counts(batch.column("text"), finder)
+            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+            packed = [zstandard.compress(np.concatenate((np.diff(at[a:b], prepend=0), n[a:b])).astype(np.int32).tobytes()) for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, type=pa.binary())], ["doc_id", "label", "packed"])
 
-    vectors = sample.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, counts array<int>")
-    return Examples.build(vectors.orderBy("doc_id").toArrow(), terms, frequencies, n)
+    vectors = sample.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, packed binary")
+    return Examples.pack(vectors.toArrow(), terms, idf)
 
 
-def score_toxicity(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
+def score_toxicity(docs: DataFrame, examples: bytes, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
     """Per row: doc_id, score, and evidence (ids of the nearest examples, nearest first, at most three).
 
     Texts without any term (null and empty ones too) get the share of toxic
@@ -203,20 +282,22 @@ def score_toxicity(docs: DataFrame, examples: Examples, id_col: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast(examples)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = sent.value
+        e = Examples.unpack(sent.value)
+        release()
         finder = Finder(e.terms)
-        none = ~e.weights.any(axis=1) if e.weights.size else np.ones(len(e.labels), dtype=bool)
+        none = e.bare
         base = (e.labels.sum() + 1) / (len(e.labels) + 2)
         silent = (e.labels[none].sum() + base) / (none.sum() + 1)
         for piece in pieces(batches, "text", PIECE):
             for i in range(0, piece.num_rows, QUERIES):
                 batch = piece.slice(i, QUERIES)
                 out, evidence = np.full(batch.num_rows, silent), [[] for _ in range(batch.num_rows)]
-                if e.weights.size:
-                    q = unit(term_counts(batch.column("text"), finder), e.idf)
-                    some = np.flatnonzero(q.any(axis=1))
+                if len(e.terms):
+                    doc, at, weight = unit_vectors(batch.column("text"), finder, e.idf)
+                    some, doc = np.unique(doc, return_inverse=True)
                     if len(some):
-                        near, cosine = e.nearest(q[some], k)
+                        q, rest = e.split(len(some), doc, at, weight)
+                        near, cosine = e.nearest(q, k, rest)
                         vote = 1 / (0.02 + np.maximum(1 - cosine.astype(np.float64), 0))
                         out[some] = (vote * e.labels[near]).sum(axis=1) / vote.sum(axis=1)
                         order = np.argsort(-cosine, axis=1, kind="stable")[:, :3]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -123,3 +124,29 @@ def repetition(text):
     grams = Counter(tuple(w[i : i + 5]) for i in range(n - 4))
     inside = {i + k for i in range(n - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
     return (n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), same, len(inside), n < 10 or 100 * len(inside) > 20 * n)
+
+
+def toxicity(texts, sample, toxic, k=15):
+    """Scores of the texts that share a term with the sample, by TF-IDF over all of its terms."""
+
+    def terms(t):
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", fold(t or ""))
+        return Counter([("word", w) for w in words] + [("beginning", w[:n]) for w in words for n in range(4, 9) if len(w) > n])
+
+    counts = {i: terms(t) for i, t in texts.items()}
+    known = set().union(*(counts[i] for i in sample))
+    seen = Counter(x for c in counts.values() for x in c)
+
+    def unit(c):
+        w = {x: n * (math.log((1 + len(texts)) / (1 + seen[x])) + 0.1) for x, n in c.items() if x in known}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items()}
+
+    vectors = {i: unit(c) for i, c in counts.items()}
+    out = {}
+    for i, q in vectors.items():
+        if q:
+            near = sorted(((sum(v * vectors[j].get(x, 0) for x, v in q.items()), j) for j in sample), reverse=True)[:k]
+            votes = [(1 / (0.02 + max(1 - c, 0)), j in toxic) for c, j in near]
+            out[i] = sum(v for v, t in votes if t) / sum(v for v, _ in votes)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import brute
 import duckdb
@@ -315,6 +316,27 @@ def test_nearest_examples_are_exact():
     assert np.allclose(np.sort(cosine, axis=1)[:, ::-1], full, atol=2e-6)
 
 
+def test_toxicity_by_all_terms(spark):
+    rng = random.Random(5)
+    common, rare = [f"common{chr(97 + i)}" for i in range(24)], ["".join(rng.choices("bcdfgaeiou", k=rng.randint(3, 11))) for _ in range(3000)]
+    texts = {i: " ".join(rng.choices(common, k=30) + rng.choices(rare, k=20)) for i in range(400)}
+    telling = "zorn verdammt widerlich abschaum pfui"
+    toxic = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:3]
+    # the telling words occur in three labelled documents only
+    texts |= {i: " ".join(rng.sample(common, 24)) + " " + telling for i in toxic}
+    texts |= {400: telling, 401: "zorn " + " ".join(common), 402: "nowhere-else", 403: None}
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(200)], "doc_id long, toxic int")
+    frame = rows(spark, list(texts.items())).repartition(3)
+    fitted = toxicity.fit_toxicity(frame, labels)
+    found = by_id(toxicity.score_toxicity(frame, fitted))
+    expected = brute.toxicity(texts, [i for i in range(200) if zlib.crc32(str(i).encode()) % 5], set(toxic))
+    index = toxicity.Examples.unpack(fitted)
+    assert len(index.places) > 1000 and (index.column >= 0).sum() == toxicity.COLUMNS
+    for i, score in expected.items():
+        assert abs(found[i][0] - score) < 2e-3, i
+    assert set(found[400][1]) == set(toxic) and found[401][1][0] in toxic and found[402][1] == found[403][1] == []
+
+
 def test_classifiers_without_labels(spark, frame):
     none = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     scored = ranking.score_quality(frame, ranking.fit_quality(frame, none))
