@@ -14,6 +14,8 @@ whose word sequence starts earlier in the corpus are removed.
     task builds an FM-index (wavelet matrix over the Burrows-Wheeler transform)
     of the segments and streams them through it backwards.  The matching
     statistics give each window's interval, and so its first place.
+    Keys of more words than a shard are hot: their segments are cut into single
+    windows, which are dealt by a digest of all their words.
 4.  The places come back by document, where the words are removed.
 
 A passage in a third of all documents is one row for each task in step 2 and
@@ -308,6 +310,37 @@ def _index(batches: Iterator[pa.RecordBatch], window: int, shard: int) -> Iterat
         yield _shard(pa.Table.from_batches(held), window, shard)
 
 
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Digests of the windows of segments, with the place of the segment and that of the window (at)."""
+    for batch in pieces(batches, "segment", PIECE):
+        out, rows, at = [], [], []
+        for i, (segment, start) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+            words = segment.split()
+            n = len(words) - window + 1
+            out += [hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest() for j in range(n)]
+            rows += [i] * n
+            at += range(start, start + n)
+        rows = pa.array(rows, type=pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary()), *(batch.column(c).take(rows) for c in ("doc_id", "digest", "start")), pa.array(at, type=pa.int32())], ["window", "doc_id", "digest", "start", "at"])
+
+
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of a number, as the shards give them."""
+    for batch in batches:
+        bits = pa.array([x.to_bytes(8, "little", signed=True) for x in batch.column("bits").to_pylist()], type=pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "digest", "start")), bits], ["doc_id", "digest", "start", "earlier"])
+
+
+def hot_places(segments: DataFrame, window: int) -> DataFrame:
+    """The same as the shards give, for keys of any size: windows are dealt by their whole content, in joins that may be split."""
+    windows = segments.mapInArrow(lambda batches: _windows(batches, window), "window binary, doc_id long, digest long, start int, at int")
+    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "digest", "at")).alias("first"))
+    earlier = F.struct("doc_id", "digest", "at") > F.col("first")
+    bit = F.when(earlier, F.expr("shiftleft(1L, at - start)")).otherwise(F.lit(0).cast("long"))
+    bits = windows.join(first, "window").groupBy("doc_id", "digest", "start").agg(F.bit_or(bit).alias("bits"))
+    return bits.mapInArrow(_flags, "doc_id long, digest long, start int, earlier binary")
+
+
 def _kept(text: bytes, digest: bool) -> str:
     return hashlib.sha256(text).hexdigest() if digest else text.decode()
 
@@ -369,8 +402,12 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     cut = suspects.mapInArrow(lambda batches: _segments(batches, window), "key long, segment binary, doc_id long, digest long, start int")
     distinct = cut.groupBy("key", "segment").agg(F.min(F.struct("doc_id", "digest", "start")).alias("place")).select("key", "segment", "place.*")
-    dealt = distinct.repartition("key").sortWithinPartitions("key")
+    distinct = keep(distinct, "segments")
+    # at most one key for every `shard` words of the corpus
+    hot = F.broadcast(distinct.groupBy("key").agg(F.sum(F.expr("length(segment) div 6 + 1")).alias("words")).where(F.col("words") > shard).select("key"))
+    dealt = distinct.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     places = dealt.mapInArrow(lambda batches: _index(batches, window, shard), "doc_id long, digest long, start int, earlier binary")
+    places = places.union(hot_places(distinct.join(hot, "key", "left_semi"), window))
     by_doc = places.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "earlier")).alias("places"))
     schema = "n_words long, n_removed long, kept string"
     cleaned = suspects.join(by_doc, ["doc_id", "digest"], "left").mapInArrow(lambda batches: _remove(batches, window, digest), f"doc_id long, {schema}")

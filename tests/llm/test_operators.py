@@ -9,6 +9,8 @@ import zlib
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from barloom.llm import byte_bpe, decontamination, licences, minhash, pii, queries, ranking, repetition, secret_scan, substring_dedup, toxicity
@@ -59,6 +61,25 @@ def test_substring_dedup_other_window(frame, docs):
     assert by_id(substring_dedup.deduplicate_substrings(frame, window=7, digest=True)) == brute.substring_dedup(docs, 7)
 
 
+def test_substring_dedup_hot_key_is_not_one_shard(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    notice = "this notice must stay with every copy of the work"
+    texts = [(i, " ".join([word() for _ in range(15)] + [notice] + [word() for _ in range(15)])) for i in range(200)]
+    texts += [(1000 + i, t + " and more") for i, t in texts[:20]]
+    seen = spark.sparkContext.accumulator(0)
+    shard_of = substring_dedup._shard
+
+    def counted(rows, window, shard):
+        seen.add(int(pa.compute.sum(pa.compute.binary_length(rows.column("segment"))).as_py() // 6 > 4 * shard))
+        return shard_of(rows, window, shard)
+
+    monkeypatch.setattr(substring_dedup, "_shard", counted)
+    found = by_id(substring_dedup.deduplicate_substrings(rows(spark, texts), digest=True, shard=500))
+    assert found == brute.substring_dedup(texts) and found[1000][1] > 0
+    assert seen.value == 0
+
+
 def test_fm_index_streams_texts_it_does_not_hold():
     rng = np.random.default_rng(3)
     text, other = rng.integers(1, 4, 300), rng.integers(1, 5, 200)
