@@ -9,6 +9,8 @@ the bytes the same as splitting the characters.
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,6 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BASE = np.uint64(0xD6E8FEB86659FD93)
 GRAM = np.uint64(0xA0761D6478BD642F)
 
 
@@ -101,6 +102,7 @@ class Spans:
         self.start = np.flatnonzero(inside & (before == 0))
         self.end = np.flatnonzero(inside & (after == 0)) + 1
         self.bounds = np.searchsorted(self.start, offsets)
+        self._words8 = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -113,27 +115,81 @@ class Spans:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each run: mixed polynomial of its bytes, with its length."""
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        lengths = self.end - self.start
-        at = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum()), dtype=np.int64)
-        place -= np.repeat(at, lengths)
-        values = powers(int(lengths.max()))[place]
-        values *= letters()[self.data[self.inside]]
-        return mix(np.add.reduceat(values, at) + lengths.astype(np.uint64) * GOLDEN)
-
-
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), BASE, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each run, eight bytes a step; long runs are digested one by one.
+
+        Equal runs have equal hashes.  Where unequal ones must not count as
+        equal, exact() or same() compare the bytes.
+        """
+        out = mix((self.end - self.start).astype(np.uint64) + np.uint64((seed + 1) * int(GOLDEN) % (1 << 64)))
+        for runs, chunk in self._chunks(np.arange(len(self))):
+            out[runs] = mix((out[runs] ^ chunk) * GRAM + GOLDEN)
+        raw = self.data.tobytes() if (self.end - self.start > LONG).any() else b""
+        for i in np.flatnonzero(self.end - self.start > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(raw[self.start[i] : self.end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+        return out
+
+    def _chunks(self, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For eight bytes at a time: the runs of at most LONG bytes that go on, and these bytes, 0 after the end."""
+        size = (self.end - self.start)[runs]
+        runs, size = runs[size <= LONG], size[size <= LONG]
+        at = 0
+        while len(runs):
+            rest = np.minimum(size - at, 8)
+            yield runs, self.words8[self.start[runs] + at] & FIRST[rest]
+            at += 8
+            runs, size = runs[size > at], size[size > at]
 
-def letters() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+    @property
+    def words8(self) -> np.ndarray:
+        """The eight bytes from every position on, as one number."""
+        if self._words8 is None:
+            padded = np.concatenate((self.data, np.zeros(8, dtype=np.uint8)))
+            self._words8 = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        return self._words8
+
+    def same(self, mine: np.ndarray, other: Spans, theirs: np.ndarray) -> np.ndarray:
+        """Whether run mine[i] has the bytes of run theirs[i] of other."""
+        size = self.end[mine] - self.start[mine]
+        good = size == other.end[theirs] - other.start[theirs]
+        left, at = np.flatnonzero(good & (size <= LONG)), 0
+        while len(left):
+            x = self.words8[self.start[mine[left]] + at] ^ other.words8[other.start[theirs[left]] + at]
+            equal = (x & FIRST[np.minimum(size[left] - at, 8)]) == 0
+            good[left[~equal]] = False
+            at += 8
+            left = left[equal]
+            left = left[size[left] > at]
+        for i in np.flatnonzero(good & (size > LONG)).tolist():
+            a, b = self.start[mine[i]], other.start[theirs[i]]
+            good[i] = bool((self.data[a : a + size[i]] == other.data[b : b + size[i]]).all())
+        return good
+
+    def exact(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Codes of the runs, equal exactly if their bytes are; the first run of each code; the seed of the hashes whose order they have."""
+        for seed in itertools.count():
+            hashes = self.hashes(seed)
+            order = np.argsort(hashes)
+            ranked = hashes[order]
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = ranked[1:] != ranked[:-1]
+            first = order[np.flatnonzero(fresh)]
+            codes = np.empty(len(order), dtype=np.int64)
+            codes[order] = np.cumsum(fresh) - 1
+            again = np.flatnonzero(first[codes] != np.arange(len(order)))
+            if self.same(again, self, first[codes[again]]).all():
+                return codes, first, seed
+
+
+#: Bytes from which a run is digested on its own.
+LONG = 256
+#: The first n of eight bytes.
+FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def coded(codes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Well-mixed values of codes."""
+    return mix(codes.astype(np.uint64) + np.uint64((seed + 1) * int(GOLDEN) % (1 << 64)))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -194,3 +250,31 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     at = np.searchsorted(twice, keys)
     at[at == len(twice)] = 0
     return twice[at] == keys
+
+
+def repeated_grams(codes: np.ndarray, starts: np.ndarray, n: int, doc: np.ndarray) -> np.ndarray:
+    """Which of the n-grams of codes from starts on occur at least twice in their document; hashes find them, the codes decide."""
+    for seed in itertools.count():
+        keys = gram_hashes(coded(codes, seed), n)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+        keys = mix(keys ^ mix(doc[starts].astype(np.uint64) + GOLDEN))
+        twice = repeated(keys)
+        some = np.flatnonzero(twice)
+        some = some[np.argsort(keys[some])]
+        pair = np.flatnonzero(keys[some[1:]] == keys[some[:-1]])
+        a, b = starts[some[pair]], starts[some[pair + 1]]
+        good = doc[a] == doc[b]
+        for k in range(n):
+            good &= codes[a + k] == codes[b + k]
+        if good.all():
+            return twice
+
+
+def grams_of(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the grams codes[s : s + size], equal exactly if the grams are."""
+    number = np.where(sizes > 0, codes[np.minimum(starts, len(codes) - 1)] + 1, 0) if len(starts) else np.zeros(0, dtype=np.int64)
+    width = int(codes.max(initial=0)) + 2
+    for k in range(1, int(sizes.max(initial=0))):
+        inside = sizes > k
+        step = np.where(inside, codes[np.minimum(starts + k, len(codes) - 1)] + 1, 0)
+        number = np.unique(number, return_inverse=True)[1] * width + step
+    return np.unique(number, return_inverse=True)[1]

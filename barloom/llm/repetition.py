@@ -2,8 +2,9 @@
 
 Rolling hashes of several n-gram lengths, all positions of an Arrow batch at
 once in numpy, give for every document the characters inside n-grams that it
-holds twice or more, and inside lines that repeat an earlier line.  One pass,
-no shuffle; a task holds one piece of texts at a time.
+holds twice or more, and inside lines that repeat an earlier line.  Hashes only
+find what may be equal: words and lines are compared by their bytes, n-grams by
+their words.  One pass, no shuffle; a task holds one piece of texts at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LINE, NON_BLANK, Spans, byte_table, covered, flat, gram_hashes, gram_starts, mix, per_doc, pieces, repeated
+from .common import LINE, NON_BLANK, Spans, byte_table, covered, flat, gram_starts, per_doc, pieces, repeated_grams
 
 #: N-gram length and the largest share of word characters inside repeated n-grams.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -40,25 +41,22 @@ def _measures(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> It
             "word_chars": chars_to[offsets[1:]] - chars_to[offsets[:-1]],
             "n_symbols": per_doc(symbol[data], offsets),
         }
-        salt = mix(np.arange(1, len(offsets), dtype=np.uint64))
-
         lines = Spans(data, offsets, LINE)
         has_word = chars_to[lines.end] > chars_to[lines.start]
         line_chars = chars_to[lines.end] - chars_to[lines.start]
-        keys = mix(lines.hashes() ^ salt[lines.doc])
-        order = np.lexsort((np.arange(len(keys)), keys))
-        again = np.zeros(len(keys), dtype=bool)
-        again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+        key = lines.exact()[0] * max(len(offsets), 1) + lines.doc
+        order = np.argsort(key, kind="stable")
+        again = np.zeros(len(key), dtype=bool)
+        again[order[1:]] = key[order[1:]] == key[order[:-1]]
         again &= has_word
         out["n_lines"] = per_doc(has_word, lines.bounds)
         out["n_dup_lines"] = per_doc(again, lines.bounds)
         out["dup_line_chars"] = per_doc(np.where(again, line_chars, 0), lines.bounds)
 
-        hashes, doc = words.hashes(), words.doc
+        codes, doc = words.exact()[0], words.doc
         for n in lengths:
             starts = gram_starts(words.bounds, n)
-            twice = repeated(mix(gram_hashes(hashes, n)[starts] ^ salt[doc[starts]])) if len(starts) else np.zeros(0, dtype=bool)
-            inside = covered(starts[twice], n, len(words))
+            inside = covered(starts[repeated_grams(codes, starts, n, doc)], n, len(words))
             if n == 5:
                 out["n_repeat_words"] = per_doc(inside, words.bounds)
             out[f"dup{n}_chars"] = per_doc(np.where(inside, word_chars, 0), words.bounds)
@@ -72,10 +70,8 @@ def repetition_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated rows and null ids come back as they are; other columns are not read.
     """
     lengths = tuple(sorted({5, *lengths}))
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", *(f"dup{n}_chars" for n in lengths)]
     order = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars"]
     order += [x for n in lengths for x in (["n_repeat_words"] if n == 5 else []) + [f"dup{n}_chars"]]
-    assert set(order) == set(names)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(lambda batches: _measures(batches, lengths), "doc_id long, " + ", ".join(f"{c} long" for c in order))
 
