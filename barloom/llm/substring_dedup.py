@@ -20,6 +20,10 @@ whose word sequence starts earlier in the corpus are removed.
 
 A passage in a third of all documents is one row for each task in step 2 and
 one row after it.
+
+Anchors and keys are hashes and only deal windows out.  What decides is exact:
+segments are equal by their text, words of a shard by their bytes, and windows
+of hot keys by a digest of 128 bits (BLAKE2) of their whole text.
 """
 
 from __future__ import annotations
@@ -266,7 +270,7 @@ def _shard(rows: pa.Table, window: int, shard: int) -> pa.RecordBatch:
     text = rows.column("segment").combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
     words = Spans(*flat(text), NON_BLANK)
-    _, coded = np.unique(words.hashes(), return_inverse=True)
+    coded = words.exact()[0]
     counts = words.counts
     ends = np.cumsum(counts + 1) - 1
     starts = ends - counts
