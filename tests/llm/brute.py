@@ -127,26 +127,37 @@ def repetition(text):
 
 
 def toxicity(texts, sample, toxic, k=15):
-    """Scores of the texts that share a term with the sample, by TF-IDF over all of its terms."""
-
-    def terms(t):
-        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", fold(t or ""))
-        return Counter([("word", w) for w in words] + [("beginning", w[:n]) for w in words for n in range(4, 9) if len(w) > n])
-
-    counts = {i: terms(t) for i, t in texts.items()}
+    """Votes for all texts: TF-IDF over all words of the sample, weighted by how surely they tell its labels apart."""
+    counts = {i: Counter(re.findall(r"[a-z0-9\x80-\U0010ffff]+", fold(t or ""))) for i, t in texts.items()}
     known = set().union(*(counts[i] for i in sample))
     seen = Counter(x for c in counts.values() for x in c)
+    within = Counter(x for i in sample for x in counts[i])
+    within_toxic = Counter(x for i in sample if i in toxic for x in counts[i])
+    bad = sum(i in toxic for i in sample)
+    share = (bad + 1) / (len(sample) + 2)
+
+    def weight(x):
+        a, b = within_toxic[x] + 4 * share, within[x] - within_toxic[x] + 4 * (1 - share)
+        z2 = (math.log(a / (bad + 4)) - math.log(b / (len(sample) - bad + 4))) ** 2 / (1 / a + 1 / b)
+        return (math.log((1 + len(texts)) / (1 + seen[x])) + 0.1) * max(z2 / (z2 + 20), 1e-6)
+
+    weights = {x: weight(x) for x in known}
 
     def unit(c):
-        w = {x: n * (math.log((1 + len(texts)) / (1 + seen[x])) + 0.1) for x, n in c.items() if x in known}
+        w = {x: (1 + math.log(n)) * weights[x] for x, n in c.items() if x in known}
         size = math.sqrt(sum(v * v for v in w.values()))
         return {x: v / size for x, v in w.items()}
 
     vectors = {i: unit(c) for i, c in counts.items()}
+    bare = [i for i in sample if not vectors[i]]
     out = {}
     for i, q in vectors.items():
+        out[i] = (sum(j in toxic for j in bare) + share) / (len(bare) + 1)
         if q:
-            near = sorted(((sum(v * vectors[j].get(x, 0) for x, v in q.items()), j) for j in sample), reverse=True)[:k]
-            votes = [(1 / (0.02 + max(1 - c, 0)), j in toxic) for c, j in near]
+            near = sorted(((round(sum(v * vectors[j].get(x, 0) for x, v in q.items()), 6), j in toxic) for j in sample), reverse=True)
+            last = near[min(k, len(near)) - 1][0]
+            above, level = [x for x in near if x[0] > last], [x for x in near if x[0] == last]
+            part = (min(k, len(near)) - len(above)) / len(level)
+            votes = [(1 / (0.02 + max(1 - c, 0)), t) for c, t in above] + [(part / (0.02 + max(1 - c, 0)), t) for c, t in level]
             out[i] = sum(v for v, t in votes if t) / sum(v for v, _ in votes)
     return out

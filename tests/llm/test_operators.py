@@ -159,6 +159,17 @@ def test_secret_checksums():
     assert not [s for s in secret_scan.find(f" ghp_{body}{'0' * 6} ", words) if s[0] == "crc_token"]
 
 
+def test_secret_headers_of_crafted_tokens(spark):
+    import base64
+    import json
+
+    code = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    good = f"{code(json.dumps({'alg': 'HS256'}).encode())}.{code(b'body')}.sig"
+    deep = ["eyJ" + code(b"[" * n)[3:] for n in (900, 3000, 200_000)] + [code(b'{"a":' * n) for n in (500, 200_000)] + [code(b'["alg"]'), code(b'{"alg')]
+    found = secret_scan.scan_secrets(rows(spark, [(0, good), *((1 + i, f"{x}.y.z") for i, x in enumerate(deep))])).collect()
+    assert {r.doc_id: [s.kind for s in r.spans] for r in found} == {0: ["json_token"]} | {1 + i: [] for i in range(len(deep))}
+
+
 def test_licences(spark, frame, docs):
     mit = ". ".join([licences.SENTENCES[i] for i in ("mit-grant", "mit-notice", "as-is")])
     more = [*docs, (5000, mit), (5001, "RELEASED under the MIT License!\nAll rights reserved"), (5002, licences.SENTENCES["mit-notice"])]
@@ -315,7 +326,7 @@ def test_byte_bpe_repeated_rows(spark):
     assert [r.n_tokens for r in found] == [len(reference.encode_ordinary("a b"))] * 3
 
 
-@pytest.mark.parametrize("name,label,least", [("op7_quality", "quality", 0.9), ("op4_toxicity", "toxic", 0.85)])
+@pytest.mark.parametrize("name,label,least", [("op7_quality", "quality", 0.9), ("op4_toxicity", "toxic", 0.93)])
 def test_classifiers_on_held_out_rows(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -325,16 +336,37 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) >= least
 
 
+def index_of(vectors, labels, block=toxicity.BLOCK):
+    doc, at = np.nonzero(vectors)
+    n = vectors.shape[1]
+    return toxicity.Index.build(np.arange(n, dtype=np.uint64), np.ones(n), np.arange(len(vectors)), np.asarray(labels), doc, at, vectors[doc, at], block)
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(0)
-    w = toxicity.unit((rng.random((700, 40)) < 0.1) * rng.integers(1, 4, (700, 40)), np.ones(40))
-    order = np.argsort(w.argmax(axis=1), kind="stable")
-    w = w[order]
-    most = np.stack([w[i : i + toxicity.BLOCK].max(axis=0) for i in range(0, 700, toxicity.BLOCK)])
-    e = toxicity.Examples(np.zeros(40, dtype=np.uint64), np.ones(40), np.arange(700), np.zeros(700), w.astype(np.float32), most.astype(np.float32))
-    near, cosine = e.nearest(w[::7], 15)
-    full = np.sort(np.round((w[::7].astype(np.float32) @ w.astype(np.float32).T), 6), axis=1)[:, ::-1][:, :15]
-    assert np.allclose(np.sort(cosine, axis=1)[:, ::-1], full, atol=2e-6)
+    # two kinds of rows with terms of their own, so that whole blocks can be left out
+    w = (rng.random((700, 80)) < 0.1) * rng.integers(1, 4, (700, 80)) * np.where(np.arange(80) < 40, rng.integers(0, 2, (700, 1)), 1)
+    w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+    skipped = 0
+    for block in (8, 64):
+        e = index_of(w, rng.integers(0, 2, 700), block)
+        doc, at = np.nonzero(w[::7])
+        cosine = e.cosines(doc, at, w[::7][doc, at], 100, 15, block)
+        skipped += (cosine < 0).sum()
+        full = np.sort(np.round(w[::7] @ w.T, 6), axis=1)[:, ::-1][:, :15]
+        assert np.allclose(np.sort(np.round(cosine, 6), axis=1)[:, ::-1][:, :15], full, atol=2e-6)
+        # what was left out could not be among the nearest
+        truth = w[::7] @ w[e.ids].T
+        assert (truth[cosine < 0] <= np.repeat(full[:, -1:], 700, axis=1)[cosine < 0] + 1e-6).all()
+    assert skipped > 0
+
+
+def test_votes_of_ties_do_not_hang_on_their_order():
+    same = np.tile(np.array([[0.6, 0.8]]), (200, 1))
+    for labels in ([1] * 150 + [0] * 50, [0] * 50 + [1] * 150):
+        e = index_of(same, labels)
+        cosine = e.cosines(np.array([0, 0]), np.array([0, 1]), np.array([0.6, 0.8]), 1)
+        assert abs(e.votes(cosine)[0] - 0.75) < 1e-12
 
 
 def test_toxicity_by_all_terms(spark):
@@ -342,20 +374,52 @@ def test_toxicity_by_all_terms(spark):
     common, rare = [f"common{chr(97 + i)}" for i in range(24)], ["".join(rng.choices("bcdfgaeiou", k=rng.randint(3, 11))) for _ in range(3000)]
     texts = {i: " ".join(rng.choices(common, k=30) + rng.choices(rare, k=20)) for i in range(400)}
     telling = "zorn verdammt widerlich abschaum pfui"
-    toxic = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:3]
-    # the telling words occur in three labelled documents only
+    toxic = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 > 1][:6]
+    # the telling words occur in six labelled documents only
     texts |= {i: " ".join(rng.sample(common, 24)) + " " + telling for i in toxic}
     texts |= {400: telling, 401: "zorn " + " ".join(common), 402: "nowhere-else", 403: None}
-    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(200)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(200)] + [(199, 0), (199, 0)], "doc_id long, toxic int")
     frame = rows(spark, list(texts.items())).repartition(3)
     fitted = toxicity.fit_toxicity(frame, labels)
     found = by_id(toxicity.score_toxicity(frame, fitted))
-    expected = brute.toxicity(texts, [i for i in range(200) if zlib.crc32(str(i).encode()) % 5], set(toxic))
-    index = toxicity.Examples.unpack(fitted)
-    assert len(index.places) > 1000 and (index.column >= 0).sum() == toxicity.COLUMNS
-    for i, score in expected.items():
-        assert abs(found[i][0] - score) < 2e-3, i
-    assert set(found[400][1]) == set(toxic) and found[401][1][0] in toxic and found[402][1] == found[403][1] == []
+    expected = brute.toxicity(texts, [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 > 1], set(toxic))
+    assert len(fitted.terms) > 1000 and len(expected) == 404
+    for i, vote in expected.items():
+        assert abs(found[i][0] - fitted.calibrated(np.array([vote]))[0]) < 1e-5, i
+    assert set(found[400][1]) <= set(toxic) and found[401][1][0] in toxic and found[402][1] == found[403][1] == []
+
+
+def test_toxicity_of_the_smallest_table_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    fitted = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sample = [i for i in truth if i in texts and zlib.crc32(str(i).encode()) % 5 > 1]
+    expected = brute.toxicity(texts, sample, {i for i in sample if truth[i]})
+    found = by_id(toxicity.score_toxicity(docs, fitted))
+    assert set(fitted.ids.tolist()) == set(sample) and found.keys() == expected.keys()
+    for i, vote in expected.items():
+        assert abs(found[i][0] - fitted.calibrated(np.array([vote]))[0]) < 1e-4, i
+
+
+def area(score, truth):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    good = truth.sum()
+    return (rank[truth == 1].sum() - good * (good + 1) / 2) / (good * (len(truth) - good))
+
+
+@pytest.mark.parametrize("name,label,least,error", [("op7_quality", "quality", 0.97, 0.03), ("op4_toxicity", "toxic", 0.95, 0.02)])
+def test_classifiers_rank_and_are_calibrated(spark, name, label, least, error, capsys):
+    """Area under the curve and Brier score on held-out rows of the largest table."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.score, truth[r.doc_id]) for r in queries.QUERIES[name](spark, sf).select("doc_id", "held_out", "score").where("held_out").collect() if r.doc_id in truth]
+    score, y = np.array([s for s, _ in held]), np.array([t for _, t in held])
+    with capsys.disabled():
+        print(f"\n{name}: {len(y)} held-out rows, area {area(score, y):.4f}, Brier {((score - y) ** 2).mean():.4f}")
+    assert area(score, y) > least and ((score - y) ** 2).mean() < error
 
 
 def test_classifiers_without_labels(spark, frame):
