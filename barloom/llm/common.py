@@ -32,6 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def digest_of(text: bytes) -> bytes:
+    """A name of a text that no other text has."""
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def byte_table(word_bytes: bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[np.frombuffer(word_bytes, dtype=np.uint8)] = True

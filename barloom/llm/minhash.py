@@ -1,19 +1,27 @@
 """Near-duplicate documents by SuperMinHash, banding, verification and union-find.
 
-1.  One pass over the texts gives every document its set's size and digest, a
-    SuperMinHash signature as band keys, and a sketch of one byte a component.
-2.  Equal sets form a class; only classes go on, so copies cost nothing more.
+1.  One pass over the texts gives every document its set's size, a digest of its
+    words and the band keys of a SuperMinHash signature.
+2.  Documents with equal words form a class; only classes go on, so copies cost
+    nothing more.
 3.  In every bucket of a band each class is paired with the smallest and the
     largest class (two aggregates; never all pairs of a bucket).  Pairs are
-    verified on the full sets, and links are grouped by union-find.
+    verified as stars: the text of a hub is sent once for every STAR members.
+    Links are grouped by union-find.
 4.  Buckets whose classes then lie in different groups are searched in full.
-    Such a bucket is cut into blocks; a task compares two blocks by finer
-    sketches in numpy and gives out only those pairs across groups that the
-    sketches do not rule out, each at the first bucket that it shares.  These
-    are verified on the full sets too.
+    Such a bucket is cut into blocks of bounded size, and blocks of one and the
+    same group are not compared.  A task gets two blocks, counts all
+    intersections as products of incidence matrices, and gives out a forest of
+    the links it finds: fewer links than classes, whatever the number of pairs.
+
+Hashes only deal documents out.  Whatever is linked is compared by its words:
+numbers of words and shingles are made from the bytes of the texts at hand.
+Classes are named by a digest of 128 bits (BLAKE2).
 
 With 32 bands of 4 rows a pair with similarity 0.8 shares no bucket with a
-probability below 5e-8.
+probability below 5e-8.  Step 4 compares classes that share a bucket but no
+group, and there is no way around it: a family of texts just below the
+threshold costs its square in comparisons (though not in rows).
 """
 
 from __future__ import annotations
@@ -26,35 +34,72 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, GOLDEN, NON_BLANK, Spans, flat, gram_hashes, mix, pieces
+from .common import FOLD, GOLDEN, NON_BLANK, Spans, digest_of, flat, gram_hashes, gram_starts, grams_of, mix, pieces
 from .shared import discard, keep
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Components of the finer sketch, and how far below the threshold its estimate may be: 5.6 standard deviations.
-FINE, MARGIN = 1024, 0.07
-#: Classes of a block, about.
-BLOCK = 512
+#: Members of a star that are verified in one place, about.
+STAR = 1024
+#: Size of a block: bytes of text, and how many of them a class counts at least.
+BLOCK, LEAST = 1 << 20, 2048
+#: Keys with more than one row in HOT are hot; there are fewer than HOT of them.
+HOT = 2000
 PIECE = 1 << 20
 
 
-def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts end to end, and offsets.
+def shingles(column: pa.Array, size: int) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and of every shingle its first word, its number of words and its text.
 
-    A text with fewer words is one shingle; one without words has none.
+    A text with fewer words than size is one shingle; one without words has none.
     """
     data, offsets = flat(column)
     words = Spans(FOLD[data], offsets, NON_BLANK)
-    hashes, grams, parts = words.hashes(), {}, []
-    for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
-        if b - a >= size:
-            if size not in grams:
-                grams[size] = gram_hashes(hashes, size)
-            parts.append(np.unique(grams[size][a : b - size + 1]))
-        else:
-            parts.append(gram_hashes(hashes[a:b], b - a) if b > a else hashes[:0])
-    bounds = np.cumsum([0, *map(len, parts)])
-    return (np.concatenate(parts) if parts else hashes), bounds
+    starts = gram_starts(words.bounds, size)
+    short = np.flatnonzero((words.counts > 0) & (words.counts < size))
+    starts = np.concatenate((starts, words.bounds[short]))
+    sizes = np.concatenate((np.full(len(starts) - len(short), size), words.counts[short]))
+    return words, starts, sizes, words.doc[starts] if len(starts) else starts
+
+
+def distinct(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each of n texts end to end, and offsets."""
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+    return value[fresh], np.searchsorted(doc[fresh], np.arange(n + 1))
+
+
+def hashed_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles, the same everywhere, and offsets."""
+    words, starts, sizes, doc = shingles(column, size)
+    hashes = words.hashes()
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for n in np.unique(sizes).tolist():
+        some = np.flatnonzero(sizes == n)
+        out[some] = gram_hashes(hashes, n)[starts[some]]
+    return distinct(doc, out, len(column))
+
+
+def exact_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each text's distinct shingles, equal exactly if the words are, and offsets; they hold among these texts only."""
+    words, starts, sizes, doc = shingles(column, size)
+    return distinct(doc, grams_of(words.exact()[0], starts, sizes), len(column))
+
+
+def similar(column: pa.Array, a: np.ndarray, b: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Whether the sets of texts a[i] and b[i] are similar enough, by their words."""
+    number, bounds = exact_sets(column, size)
+    n = np.diff(bounds)
+    width = int(number.max(initial=0)) + 1
+    have = np.append(np.repeat(np.arange(len(n)), n) * width + number, -1)
+    many = n[b]
+    at = np.arange(int(many.sum())) + np.repeat(bounds[b] - (np.cumsum(many) - many), many)
+    key = np.repeat(a * width, many) + number[at]
+    found = have[np.searchsorted(have[:-1], key)] == key
+    both = np.bincount(np.repeat(np.arange(len(a)), many), found, len(a))
+    return (both > 0) & (100 * both >= percent * (n[a] + n[b] - both))
 
 
 def superminhash(elements: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -107,90 +152,158 @@ def key_array(signatures: np.ndarray) -> pa.Array:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Set size, text size, digest of the words, and band keys of each row."""
     for batch in pieces(batches, "text", PIECE):
-        elements, bounds = shingle_sets(batch.column("text"), size)
-        n = np.diff(bounds)
-        digests = []
-        for salt in (1, 2):
-            total = np.zeros(len(elements) + 1, dtype=np.uint64)
-            np.cumsum(mix(elements + np.uint64(salt)), out=total[1:])
-            digests.append(pa.array(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)))
-        keys = key_array(superminhash(elements, bounds))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *digests, keys], ["doc_id", "n_shingles", "k1", "k2", "keys"])
-
-
-def _fine_sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", PIECE // 8):
-        elements, bounds = shingle_sets(batch.column("text"), size)
-        fine = (mix(superminhash(elements, bounds, FINE)) & np.uint64(0xFF)).astype(np.uint8)
+        column = batch.column("text")
+        elements, bounds = hashed_sets(column, size)
+        n = np.diff(exact_sets(column, size)[1])
+        digests = np.frombuffer(b"".join(digest_of(b" ".join((t or b"").lower().split())) for t in column.cast(pa.binary()).to_pylist()), dtype=np.int64).reshape(-1, 2)
+        bytes_of = np.diff(flat(column)[1])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(bounds)), key_array(superminhash(elements, bounds)), pa.array([x.tobytes() for x in fine], type=pa.binary())],
-            ["node", "n_shingles", "keys", "fine"],
+            [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(bytes_of.astype(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), key_array(superminhash(elements, bounds))],
+            ["doc_id", "n_shingles", "bytes", "k1", "k2", "keys"],
         )
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across groups of rows sorted by (key, low, high), two blocks of a bucket; block is the row's own."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        node, part, n, block = (np.array(rows.column(c)) for c in ("node", "part", "n_shingles", "block"))
-        low, high, key = (rows.column(c)[0].as_py() for c in ("low", "high", "key"))
-        keys = np.array(rows.column("keys").combine_chunks().flatten()).reshape(len(node), BANDS)
-        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), dtype=np.uint8).reshape(len(node), FINE)
-        band = int(np.argmax(keys[0] == key))
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        out = []
-        for i in left.tolist():
-            other = right[node[right] > node[i]] if low == high else right
-            size = np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * percent
-            other = other[size & (part[other] != part[i])]
-            if len(other):
-                other = other[(fine[other] == fine[i]).mean(axis=1) >= percent / 100 - MARGIN]
-                other = other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]
-                out.append(np.stack([np.minimum(node[other], node[i]), np.maximum(node[other], node[i])]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_pydict({"a": a, "b": b})
+def _star(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between hubs and members, of rows (hub, salt, other, text) sorted by the first three; a hub's own row has no other."""
+    held = None
+    for piece in pieces(batches, "text", PIECE):
+        rows = piece if held is None else pa.concat_batches([held, piece])
+        hub, salt, other = (np.array(rows.column(c).fill_null(0)) for c in ("hub", "salt", "other"))
+        own = np.array(rows.column("other").is_null())
+        group = np.cumsum(np.concatenate(([0], (hub[1:] != hub[:-1]) | (salt[1:] != salt[:-1]))))
+        hubs, members = np.flatnonzero(own), np.flatnonzero(~own)
+        low, high = (np.searchsorted(group[hubs], group[members], side=x) for x in ("left", "right"))
+        many = high - low
+        a = hubs[np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)]
+        b = np.repeat(members, many)
+        good = similar(rows.column("text"), a, b, size, percent)
+        x, y = hub[a[good]], other[b[good]]
+        yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        held = rows.take(pa.array(hubs[group[hubs] == group[-1]]))
+
+
+def stars(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (hub, other, n: rows of the bucket) those whose texts' sets are similar enough, as (a, b)."""
+    dealt = pairs.select("hub", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / F.lit(STAR))).cast("int").alias("salt"), "other")
+    members = dealt.join(texts, dealt["other"] == texts["doc_id"]).select("hub", "salt", "other", "text")
+    hubs = dealt.select("hub", "salt").distinct().join(texts, F.col("hub") == texts["doc_id"]).select("hub", "salt", F.lit(None).cast("long").alias("other"), "text")
+    rows = hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
+    return rows.mapInArrow(lambda batches: _star(batches, size, percent), "a long, b long")
+
+
+def intersections(number: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """How many numbers the sets left[i] and right[j] share, as products of incidence matrices."""
+    n = np.diff(bounds)
+    doc = np.repeat(np.arange(len(n)), n)
+    _, code, count = np.unique(number, return_inverse=True, return_counts=True)
+    # only what two sets hold can be shared
+    column = np.full(len(count), -1, dtype=np.int64)
+    column[count > 1] = np.arange(int((count > 1).sum()))
+    col = column[code]
+    doc, col = doc[col >= 0], col[col >= 0]
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int((count > 1).sum()), columns):
+        a, b = np.searchsorted(col, (at, at + columns))
+        x = np.zeros((len(n), columns), dtype=np.float32)
+        x[doc[a:b], col[a:b] - at] = 1
+        out += x[left] @ x[right].T
+    return out
+
+
+def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that join the same groups as the links (a, b), one fewer than the nodes of each group."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    links = [(r, x) for x in list(parent) if (r := root(x)) != x]
+    return [r for r, _ in links], [x for _, x in links]
+
+
+def _across(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the links across groups, of rows (key, low, high, side, node, part, text) sorted by bucket and two blocks; all sides are 0 in a block by itself."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        node, part, side = (np.array(rows.column(c)) for c in ("node", "part", "side"))
+        number, bounds = exact_sets(rows.column("text").combine_chunks(), size)
+        n = np.diff(bounds)
+        alone = not side.any()
+        left = np.flatnonzero(side == 0)
+        right = left if alone else np.flatnonzero(side == 1)
+        both = intersections(number, bounds, left, right)
+        good = (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (part[left][:, None] != part[right][None, :])
+        i, j = np.nonzero(np.triu(good, 1) if alone else good)
+        a, b = forest_of(node[left[i]], node[right[j]])
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
     held, now = [], None
     for batch in batches:
-        names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high")), strict=True))
-        a = 0
-        while a < len(names):
-            b = a + 1
-            while b < len(names) and names[b] == names[a]:
-                b += 1
-            if held and names[a] != now:
-                yield pairs(pa.Table.from_batches(held))
+        names = np.stack([np.array(batch.column(c)) for c in ("key", "low", "high")], axis=1)
+        edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if held and names[a].tolist() != now:
+                yield links(pa.Table.from_batches(held))
                 held = []
-            now = names[a]
+            now = names[a].tolist()
             held.append(batch.slice(a, b - a))
-            a = b
     if held:
-        yield pairs(pa.Table.from_batches(held))
-
-
-def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, text_a, text_b) those whose sets are similar enough."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            left, at_left = shingle_sets(part.column("text_a"), size)
-            right, at_right = shingle_sets(part.column("text_b"), size)
-            good = []
-            for j in range(part.num_rows):
-                x, y = left[at_left[j] : at_left[j + 1]], right[at_right[j] : at_right[j + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            chosen = pa.array(good, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(chosen), part.column("b").filter(chosen)], ["a", "b"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(lambda batches: _verify(batches, size, percent), "a long, b long")
+        yield links(pa.Table.from_batches(held))
+
+
+def across(placed: DataFrame, texts: DataFrame, total: int, size: int, percent: int) -> DataFrame:
+    """Links between classes of different groups that share a bucket; placed has (key, node, part, weight), total rows at most."""
+    parts = placed.groupBy("key", "part").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    blocks = F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int")
+    # group 0 has the parts that fill no block of their own; each of the others has one part
+    layout = parts.groupBy("key").agg(
+        F.count("*").alias("parts"),
+        F.sum("n").alias("n"),
+        F.ceil(F.coalesce(F.sum(F.when(blocks <= 1, F.col("weight"))), F.lit(0)) / F.lit(BLOCK)).cast("int").alias("small"),
+        F.collect_list(F.when(blocks > 1, F.struct("part", blocks.alias("blocks")))).alias("large"),
+    )
+    # a block is named by its group, and its number there in the low 32 bits
+    counts = F.concat(F.array("small"), F.col("large.blocks"))
+    listed = F.flatten(F.transform(counts, lambda n, g: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.shiftleft(g.cast("long"), 32) + i)).otherwise(F.array().cast("array<bigint>"))))
+    layout = keep(layout.where("parts > 1").select("key", "n", "small", "large", listed.alias("all")), "layout")
+    group = F.array_position(F.col("large.part"), F.col("part"))
+    dealt = join_by_size(placed, layout, ["key"], total).withColumn("group", group)
+    count = F.when(F.col("group") == 0, F.col("small")).otherwise(F.element_at("large.blocks", F.greatest(F.col("group").cast("int"), F.lit(1))))
+    own = F.shiftleft("group", 32) + F.pmod(F.xxhash64("node"), count)
+    others = F.filter("all", lambda x: (F.shiftright(x, 32) != F.col("group")) | (F.col("group") == 0))
+    dealt = dealt.select("key", "node", "part", own.alias("own"), F.explode(others).alias("other"))
+    task = ["key", "low", "high"]
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part")
+    rows = dealt.join(texts, dealt["node"] == texts["doc_id"]).select(*task, "side", "node", "part", "text").repartition(*task).sortWithinPartitions(*task)
+    found = keep(rows.mapInArrow(lambda batches: _across(batches, size, percent), "a long, b long").distinct(), "across")
+    discard(layout)
+    return found
+
+
+def join_by_size(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with per_key, which has one row for each key, with the number of its rows in n; total is that of all rows.
+
+    A key of more than total / HOT rows is hot.  There are fewer than HOT hot
+    keys, so they are broadcast and their rows stay where they are; all others
+    are shuffled by key.  rows and per_key are read twice.
+    """
+    most = total / HOT
+    hot = per_key.where(F.col("n") > most)
+    cold = per_key.where(F.col("n") <= most)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,38 +365,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id are linked with nothing, have no component and are kept.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(texts.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>"), "sketches")
+    rows = keep(texts.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n_shingles long, bytes long, k1 long, k2 long, keys array<long>"), "sketches")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    key = ["k1", "k2", "n_shingles"]
-    nodes = named.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    one_each = named.dropDuplicates(key).select(*key, "keys")
-
-    buckets = nodes.join(one_each, key).select(F.explode("keys").alias("key"), "node")
-    ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
-    shared = keep(buckets.join(ends, "key"), "buckets")
+    key = ["k1", "k2"]
+    first = F.min(F.struct("doc_id", "bytes", "keys"))
+    classes = keep(named.groupBy(*key).agg(first.alias("first"), F.count("*").alias("n")).select(*key, "n", F.col("first.doc_id").alias("node"), F.col("first.bytes").alias("bytes"), "first.keys"), "classes")
+
+    # stars within buckets
+    buckets = classes.select(F.explode("keys").alias("key"), "node", F.greatest("bytes", F.lit(LEAST)).alias("weight"))
+    ends = keep(buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high")), "ends")
+    total = classes.count()
+    shared = keep(join_by_size(buckets, ends, ["key"], total * BANDS), "buckets")
     members = shared.select(F.col("node").alias("doc_id")).distinct()
     near_texts = keep(texts.where(F.col("text").isNotNull()).join(members, "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
-    pairs = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).union(shared.select(F.col("node").alias("a"), F.col("high").alias("b")))
-    pairs = pairs.where(F.col("a") < F.col("b")).distinct()
-    links = keep(verified(pairs, near_texts, shingle, percent), "verified")
+    pairs = shared.select(F.col("low").alias("hub"), F.col("node").alias("other"), "n").union(shared.where(F.col("node") > F.col("low")).select(F.col("high").alias("hub"), F.col("node").alias("other"), "n"))
+    pairs = pairs.where(F.col("hub") != F.col("other")).groupBy("hub", "other").agg(F.max("n").alias("n"))
+    links = keep(stars(pairs, near_texts, shingle, percent), "verified")
     groups = components(links)
 
     # buckets across groups
-    placed = shared.select("key", "node").join(groups.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", F.coalesce("v", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size")).where(F.col("first") < F.col("last"))
-    placed = keep(placed.join(mixed.select("key", "size"), "key"), "mixed")
-    wanted = near_texts.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    fine = wanted.mapInArrow(lambda batches: _fine_sketch(batches, shingle), "node long, n_shingles long, keys array<long>, fine binary")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "node", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    group = ["key", "low", "high"]
-    compared = dealt.join(fine, "node").repartition(*group).sortWithinPartitions(*group).select(*group, "node", "part", "block", "n_shingles", "keys", "fine")
-    near = keep(compared.mapInArrow(lambda batches: _across(batches, percent), "a long, b long").distinct(), "across")
-    more = keep(verified(near, near_texts, shingle, percent), "verified")
+    grouped = groups.select(F.col("u").alias("node"), "v")
+    parts = keep(shared.select("key", "node", "weight").join(grouped, "node", "left").select("key", "node", F.coalesce("v", "node").alias("part"), "weight"), "parts")
+    mixed = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high")).select("key", "n")
+    placed = keep(join_by_size(parts, mixed, ["key"], total * BANDS).drop("n"), "mixed")
+    more = across(placed, near_texts, total * BANDS, shingle, percent)
     final = groups if more.isEmpty() else components(groups.toDF("a", "b").union(more))
+    labelled = classes.select(*key, "n", "node").join(final.withColumnRenamed("u", "node"), "node", "left").select(*key, "n", F.coalesce("v", "node").alias("component_id"))
+    labelled = keep(labelled, "labelled")
+    for table in (ends, shared, near_texts, links, parts, placed, more, classes):
+        discard(table)
 
-    labelled = nodes.join(final.withColumnRenamed("u", "node"), "node", "left").select(*key, F.coalesce("v", "node").alias("component_id"))
-    found = named.select("doc_id", *key).join(labelled, key).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    found = join_by_size(named.select("doc_id", "n_shingles", *key), labelled, key, rows.count())
+    found = found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = rows.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0))
     return found.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
