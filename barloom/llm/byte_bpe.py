@@ -1,47 +1,55 @@
 """Byte-level BPE with a global shuffle of distinct words.
 
-1.  Texts are cut into pre-tokens in blocks of bounded size.  Within a block
-    each distinct word gets a number, and a text is the sequence of its
-    numbers: its pre-tokens by position.
-2.  A block's distinct words are dealt to buckets by a hash of the word, one
-    packed row for each block and bucket.  A task encodes each distinct word of
-    its bucket once, whatever number of blocks it is in.
-3.  The ids go back by block, one packed row again, where the sequences take
-    them up by position.
-
-A hot word is one entry a block, not one row an occurrence.  Decoding joins
-the token-byte table, which has one row an id of the vocabulary and so is
-bounded.
-
-Block names are made from the rows they hold, and the sequences are computed
-again rather than stored: docs must be a plan that yields the same rows in the
-same order when run again, such as a scan of a table.
+1.  Texts are cut into pre-tokens once, in blocks of bounded size.  Within a
+    block each distinct word gets a number, frequent ones small numbers, and a
+    text is the sequence of its numbers: its pre-tokens by position.  Both are
+    stored in the shared folder, so later steps read the same rows whatever
+    happens to executors.
+2.  The words are exploded with their block and number and shuffled by word.  A
+    task meets all rows of a word in a row, encodes it once, and gives each row
+    its ids: the join of the ids back to the words.
+3.  Ids and sequences are shuffled by block and sorted by number.  A task holds
+    the ids of one block and puts them in the places of their numbers.
+
+A hot word is one row a block, not one row an occurrence.
+
+Decoding joins the token-byte table.  It has one row an id of the vocabulary,
+and its size is checked, so it is broadcast and joined inside the tasks, where
+the tokens are: no shuffle of tokens by id.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import os
 import re
-import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import flat
+from .shared import keep
 
-#: Text bytes of a block.
-BLOCK = 8 << 20
-#: Ids that a decoding or digest step holds at once, about.
+#: Text bytes of a block; words in one stored row; text bytes from which pre-tokens are not listed at once.
+BLOCK, LISTED, LONG_TEXT = 16 << 20, 1 << 16, 4 << 20
+#: Numbers of texts begin here, after all numbers of words.
+TEXTS = 1 << 40
+#: Texts that a step holds at once.
 SLICE = 64
+#: Bytes that a vocabulary may have to be broadcast.
+VOCABULARY = 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a .tiktoken file."""
+    if os.path.getsize(path) > VOCABULARY:
+        raise ValueError(f"{path} is larger than {VOCABULARY} bytes")
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
@@ -109,131 +117,126 @@ def splitter(pattern: str):
 
         return re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\[sS]", one, pattern)
 
-    general = regex.compile(written({r"\s": SPACE})).findall
+    general = regex.compile(written({r"\s": SPACE}))
     latin = written(LATIN)
-    if re.search(r"\\[pPwWdDbB]", latin):
-        return general
-    narrow = re.compile(latin).findall
+    narrow = None if re.search(r"\\[pPwWdDbB]", latin) else re.compile(latin)
 
-    def split(text: str) -> list[str]:
+    def split(text: str) -> Iterable[str]:
         try:
             text.encode("latin-1")
+            chosen = narrow or general
         except UnicodeEncodeError:
-            return general(text)
-        return narrow(text)
+            chosen = general
+        return chosen.findall(text) if len(text) < LONG_TEXT else (m[0] for m in chosen.finditer(text))
 
     return split
 
 
-class Block:
-    """Pre-tokens of a piece of texts: distinct words in buckets, and the texts as sequences of their numbers.
-
-    Numbers go through the buckets in turn, so the words of bucket b are those
-    numbered from edges[b] up to edges[b + 1].
-    """
-
-    def __init__(self, batch: pa.RecordBatch, split, buckets: int):
-        seen: dict[str, int] = defaultdict()
-        seen.default_factory = seen.__len__
-        codes = [np.fromiter(map(seen.__getitem__, split(t)), dtype=np.uint32) if t else np.zeros(0, dtype=np.uint32) for t in batch.column("text").to_pylist()]
-        words = [w.encode() for w in seen]
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
-        order = np.argsort(bucket, kind="stable")
-        number = np.empty(len(words), dtype=np.uint32)
-        number[order] = np.arange(len(words), dtype=np.uint32)
-        self.codes = [number[c] for c in codes]
-        self.words = [words[i] for i in order.tolist()]
-        self.edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        digest = hashlib.blake2b(repr(batch.column("doc_id").to_pylist()).encode(), digest_size=16)
-        digest.update(b"\xff".join(self.words))
-        for c in self.codes:
-            digest.update(len(c).to_bytes(8, "little") + c.tobytes())
-        self.name = digest.digest()
+def planes(codes: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first; they are packed better so."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    split = splitter(pattern)
-    for batch in pieces(batches, "text", BLOCK):
-        yield batch, Block(batch, split, buckets)
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def pack_list(items: list[bytes], pack) -> bytes:
-    sizes = np.fromiter(map(len, items), dtype="<u4", count=len(items))
-    return pack(len(items).to_bytes(4, "little") + sizes.tobytes() + b"".join(items))
+class Block:
+    """Pre-tokens of some texts: their distinct words, and the texts as sequences of the words' numbers."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = defaultdict()
+        self.seen.default_factory = self.seen.__len__
+        self.ids, self.codes, self.bytes = [], [], 0
+
+    def add(self, doc_id: int | None, words: Iterable[str], size: int) -> None:
+        self.ids.append(doc_id)
+        self.codes.append(np.fromiter(map(self.seen.__getitem__, words), dtype=np.uint32))
+        self.bytes += size
+
+    def rows(self, name: int, pack) -> Iterator[pa.RecordBatch]:
+        words = [w.encode() for w in self.seen]
+        every = np.concatenate([np.zeros(0, dtype=np.uint32), *self.codes])
+        order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), dtype=np.uint32)
+        number[order] = np.arange(len(words), dtype=np.uint32)
+        words = [words[i] for i in order.tolist()]
+        lists = [words[i : i + LISTED] for i in range(0, len(words), LISTED)]
+        n, m = len(lists), len(self.ids)
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([name] * n, type=pa.int64()), "number": pa.array(range(0, n * LISTED, LISTED), type=pa.int64()), "doc_id": pa.nulls(n, pa.int64()),
+            "codes": pa.nulls(n, pa.binary()), "words": pa.array(lists, type=pa.list_(pa.binary())), "is_text": pa.array([False] * n, type=pa.bool_()),
+        })
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([name] * m, type=pa.int64()), "number": pa.array(range(TEXTS, TEXTS + m), type=pa.int64()), "doc_id": pa.array(self.ids, type=pa.int64()),
+            "codes": pa.array([pack(planes(number[c])) for c in self.codes], type=pa.binary()), "words": pa.nulls(m, pa.list_(pa.binary())), "is_text": pa.array([True] * m, type=pa.bool_()),
+        })
 
 
-def unpack_list(packed: bytes, unpack) -> tuple[np.ndarray, bytes]:
-    """Sizes of the items, and the items end to end."""
-    raw = unpack(packed)
-    n = int.from_bytes(raw[:4], "little")
-    return np.frombuffer(raw, dtype="<u4", count=n, offset=4), raw[4 + 4 * n :]
+BLOCK_SQL = "block long, number long, doc_id long, codes binary, words array<binary>, is_text boolean"
 
 
-def _words(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    """Rows of words and rows of texts, block by block; a block is named by its partition and its number there."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for _, block in _blocks(batches, pattern, buckets):
-        some = np.flatnonzero(np.diff(block.edges))
-        rows = [pack_list(block.words[a:b], pack) for a, b in zip(block.edges[some].tolist(), block.edges[some + 1].tolist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32)), "block": pa.array([block.name] * len(rows), type=pa.binary()), "words": pa.array(rows, type=pa.binary())})
-
-
-def _sequences(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch, block in _blocks(batches, pattern, buckets):
-        rows = [pack(c.tobytes()) for c in block.codes]
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block.name] * len(rows), type=pa.binary()), "doc_id": batch.column("doc_id"), "codes": pa.array(rows, type=pa.binary())})
-
-
-#: Words that an encoding task remembers at most; beyond, it begins to remember anew.
-REMEMBERED = 1_000_000
+    split, pack = splitter(pattern), zstandard.ZstdCompressor(level=3).compress
+    block, name = Block(), TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            part = batch.slice(i, SLICE)
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                block.add(doc_id, split(text) if text else (), len(text or ""))
+                if block.bytes >= BLOCK:
+                    yield from block.rows(name, pack)
+                    block, name = Block(), name + 1
+    if block.ids:
+        yield from block.rows(name, pack)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Ids of each row's words; a word is encoded when it first comes up in the task."""
-    import zstandard
-
-    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-    known: dict[bytes, bytes] = {}
+    """The ids of each row's word; rows come sorted by word, so each word is encoded once."""
+    last, last_ids = None, b""
     for batch in batches:
-        out = []
-        for packed in batch.column("words").to_pylist():
-            sizes, text = unpack_list(packed, unpack)
-            ends = np.cumsum(sizes).tolist()
-            ids, a = [], 0
-            for b in ends:
-                word = text[a:b]
-                a = b
-                if (x := known.get(word)) is None:
-                    x = known[word] = np.array(merge(word, ranks), dtype="<u4").tobytes()
-                ids.append(x)
-            if len(known) > REMEMBERED:
-                known.clear()
-            out.append(pack_list(ids, pack))
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, type=pa.binary())], ["block", "bucket", "ids"])
-
-
-def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Put the ids of a block's words in the places of their numbers."""
+        coded = pa.compute.dictionary_encode(batch.column("word"))
+        words = coded.dictionary.to_pylist()
+        ids = [last_ids if w == last else np.array(merge(w, ranks), dtype="<u4").tobytes() for w in words]
+        if words:
+            last, last_ids = words[-1], ids[-1]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), pa.array(ids, type=pa.binary()).take(coded.indices)], ["block", "number", "data"])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the ids of a block's words in the places of their numbers; rows come sorted by block and number, words before texts."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    # blocks of equal rows have one name; their words come once for each
-    buckets = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))
-    parts = [unpack_list(buckets[b], unpack) for b in sorted(buckets)]
-    size = np.concatenate([np.zeros(0, dtype=np.int64), *(s.astype(np.int64) // 4 for s, _ in parts)])
-    first = np.cumsum(size) - size
-    ids = np.frombuffer(b"".join(x for _, x in parts), dtype="<u4")
-    texts = []
-    for packed in left.column("codes").to_pylist():
-        codes = np.frombuffer(unpack(packed), dtype=np.uint32)
-        many = size[codes]
-        at = np.arange(int(many.sum())) + np.repeat(first[codes] - (np.cumsum(many) - many), many)
-        texts.append(ids[at].tobytes())
-    return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array([len(t) // 4 for t in texts], type=pa.int64()), "ids": pa.array(texts, type=pa.binary())})
+    now, found, size, first, ids = None, [], None, None, None
+    for batch in batches:
+        block, number = np.array(batch.column("block")), np.array(batch.column("number"))
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if block[a] != now:
+                now, found, size = block[a], [], None
+            texts = a + int(np.searchsorted(number[a:b], TEXTS))
+            if texts > a:
+                data, offsets = flat(batch.column("data").slice(a, texts - a))
+                found.append((data.copy(), np.diff(offsets) // 4))
+            if texts < b and size is None:
+                size = np.concatenate([np.zeros(0, dtype=np.int64), *(s for _, s in found)])
+                first = np.cumsum(size) - size
+                ids = np.concatenate([np.zeros(0, dtype=np.uint8), *(d for d, _ in found)]).view("<u4")
+                found = []
+            for i in range(texts, b, SLICE):
+                out, part = [], batch.slice(i, min(SLICE, b - i))
+                for packed in part.column("data").to_pylist():
+                    codes = from_planes(unpack(packed))
+                    many = size[codes]
+                    at = np.arange(int(many.sum())) + np.repeat(first[codes] - (np.cumsum(many) - many), many)
+                    out.append(ids[at].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in out], type=pa.int64()), pa.array(out, type=pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,29 +249,32 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.mapInArrow(lambda batches: _words(batches, pattern, buckets), "bucket int, block binary, words binary")
-    coded = words.repartition("bucket").mapInArrow(lambda batches: _encode(batches, sent.value), "block binary, bucket int, ids binary")
-    sequences = texts.mapInArrow(lambda batches: _sequences(batches, pattern, buckets), "block binary, doc_id long, codes binary")
-    return sequences.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+    blocks = keep(texts.mapInArrow(lambda batches: _blocks(batches, pattern), BLOCK_SQL), "blocks")
+    words = blocks.where(~F.col("is_text")).select("block", F.col("number").alias("first"), F.posexplode("words").alias("place", "word"))
+    words = words.select("word", "block", (F.col("first") + F.col("place")).alias("number"))
+    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda batches: _encode(batches, sent.value), "block long, number long, data binary")
+    sequences = blocks.where("is_text").select("block", "number", "doc_id", F.col("codes").alias("data"))
+    rows = coded.select("block", "number", F.lit(None).cast("long").alias("doc_id"), "data").union(sequences)
+    return rows.repartition("block").sortWithinPartitions("block", "number").mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
 
 
-def token_bytes(spark, vocabulary: str) -> DataFrame:
+def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
     """The token-byte table (id, bytes) of a vocabulary."""
-    return spark.createDataFrame(pa.table({"id": pa.array(read_ranks(vocabulary).values(), type=pa.int64()), "bytes": pa.array(read_ranks(vocabulary).keys(), type=pa.binary())}))
+    ranks = read_ranks(vocabulary)
+    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), type=pa.int64()), "bytes": pa.array(ranks.keys(), type=pa.binary())}))
 
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
-    """tokens, all columns, with decoded: the bytes of the ids in the column ids.
+    """tokens, all columns but one named decoded, with decoded: the bytes of the ids in the column ids, null ids being none.
 
-    The token-byte table is joined inside the tasks: it has as many rows as the
-    vocabulary, so every task holds it whole.  An id outside it fails the task.
+    The token-byte table is broadcast (a vocabulary is of bounded size, which
+    read_ranks checks) and joined by id inside the tasks; the bytes are put
+    together by position.  An id outside the table fails the task.
     """
-    ranks = read_ranks(vocabulary)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+    rows = token_bytes(tokens.sparkSession, vocabulary).toArrow()
+    table = dict(zip(rows.column("id").to_pylist(), rows.column("bytes").to_pylist(), strict=True))
     sent = tokens.sparkSession.sparkContext.broadcast(table)
+    tokens = tokens.drop("decoded")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = sent.value.__getitem__
