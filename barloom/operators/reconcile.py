@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def reconcile_bars(live: DataFrame, stored: DataFrame, price_tolerance: float = 0.01, volume_tolerance: float = 0.5, relative: bool = False) -> DataFrame:
-    """One row per difference of bars of one day, by symbol and HH:MM: missing, extra, price or volume.
+    """One row per difference of bars, by symbol, date and HH:MM: missing, extra, price or volume.
 
     Prices differ by more than price_tolerance, absolute or (relative=True) as
     a share of the stored one; volumes by a share of the stored one.
     """
     fields = ("open", "high", "low", "close", "volume")
-    key = ["symbol", "bar"]
-    shape = lambda df, p: df.select("symbol", F.date_format("candle_time", "HH:mm").alias("bar"), *(F.col(f).cast("double").alias(f"{p}{f}") for f in fields), F.lit(True).alias(f"{p}is"))
+    key = ["symbol", "date", "bar"]
+    shape = lambda df, p: df.select("symbol", F.to_date("candle_time").alias("date"), F.date_format("candle_time", "HH:mm").alias("bar"), *(F.col(f).cast("double").alias(f"{p}{f}") for f in fields), F.lit(True).alias(f"{p}is"))
     j = shape(live, "l_").join(shape(stored, "s_"), key, "full")
     parts = []
     for f in fields:
@@ -72,8 +72,13 @@ def latest_before(bars: DataFrame, date) -> DataFrame:
 
 
 def assign_folds(rows: DataFrame, folds: DataFrame, date: str = "date") -> DataFrame:
-    """Rows of each fold's train and test windows; folds are a short stated list, broadcast."""
-    f = F.broadcast(folds.select("fold", "train_start", "train_end", "test_start", "test_end"))
+    """Rows of each fold's train and test windows.
+
+    Folds meet the distinct dates of the rows, which are few; the rows then
+    join those by equal date, so no range join runs over rows.
+    """
+    f = folds.select("fold", "train_start", "train_end", "test_start", "test_end")
     d = F.col(date)
-    inside = d.between(F.col("train_start"), F.col("train_end")) | d.between(F.col("test_start"), F.col("test_end"))
-    return rows.join(f, inside).withColumn("part", F.when(d.between(F.col("test_start"), F.col("test_end")), "test").otherwise("train"))
+    test = d.between(F.col("test_start"), F.col("test_end"))
+    days = rows.select(date).distinct().join(f, d.between(F.col("train_start"), F.col("train_end")) | test)
+    return rows.join(days.withColumn("part", F.when(test, "test").otherwise("train")), date)

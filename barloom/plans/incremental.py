@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import features as feats
@@ -16,6 +16,8 @@ from ..sources.bars import last_wins
 
 #: Calendar days that give the longest window its rows, and sessions for breadth.
 DAILY_CONTEXT, BREADTH_CONTEXT = 372, 130
+#: Rows of a symbol that the windows of daily features and of breadth look back on, and dates of the breadth ratios.
+ROW_CONTEXT, BREADTH_ROWS, RATIO_DAYS = 260, 70, 10
 
 
 def refresh_plan(policy: str, last_end: date | None, new_start: date, new_end: date, window_days: int = 0) -> dict | None:
@@ -47,9 +49,23 @@ def unchanged(state: DataFrame, feature: str, version: str, dataset_hash: str) -
     return not state.where((F.col("feature") == feature) & (F.col("version") == version) & (F.col("dataset_hash") == dataset_hash)).isEmpty()
 
 
-def daily_since(bars: DataFrame, since: date) -> DataFrame:
-    """Daily features from a date on, equal to those of a full build as long as the context holds 252 rows."""
-    return feats.daily_features(bars.where(F.col("date") >= F.lit(since - timedelta(days=DAILY_CONTEXT)))).where(F.col("date") >= F.lit(since))
+def with_rows_before(df: DataFrame, since: Column, rows: int) -> DataFrame:
+    """Rows from `since` on and each symbol's last `rows` rows before it."""
+    before = F.col("date") < since
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.when(before, F.col("date")).desc_nulls_last()))
+    return df.withColumn("_place", place).where(~before | (F.col("_place") <= rows)).drop("_place")
+
+
+def daily_since(bars: DataFrame, since: date, rows: int | None = None) -> DataFrame:
+    """Daily features from a date on, equal to those of a full build as long as the context holds the longest window.
+
+    The context is DAILY_CONTEXT calendar days, which prunes the scan; with
+    `rows` (ROW_CONTEXT is enough) it is as many rows of each symbol, for bars
+    with gaps.
+    """
+    first = F.lit(since)
+    context = with_rows_before(bars, first, rows) if rows else bars.where(F.col("date") >= F.lit(since - timedelta(days=DAILY_CONTEXT)))
+    return feats.daily_features(context).where(F.col("date") >= first)
 
 
 def intraday_since(bars: DataFrame, daily: DataFrame, since: date) -> DataFrame:
@@ -57,11 +73,17 @@ def intraday_since(bars: DataFrame, daily: DataFrame, since: date) -> DataFrame:
     return feats.intraday_features(bars.where(F.col("date") >= F.lit(since)), daily)
 
 
-def breadth_since(features: DataFrame, since: date) -> DataFrame:
-    """Breadth from a date on, with the sessions before that its windows look at."""
-    days = features.where(F.col("date") < F.lit(since)).select("date").distinct().orderBy(F.desc("date")).limit(BREADTH_CONTEXT)
+def breadth_since(features: DataFrame, since: date, rows: int | None = None, **limits: float) -> DataFrame:
+    """Breadth from a date on, with the sessions before that its windows look at.
+
+    With `rows` each symbol has as many rows before those of the ratios' dates,
+    whatever the number of sessions that it missed.
+    """
+    days = features.where(F.col("date") < F.lit(since)).select("date").distinct().orderBy(F.desc("date")).limit(RATIO_DAYS if rows else BREADTH_CONTEXT)
     start = F.broadcast(days.agg(F.coalesce(F.min("date"), F.lit(since)).alias("_start")))
-    return feats.breadth(features.join(start, F.col("date") >= F.col("_start")).drop("_start")).where(F.col("date") >= F.lit(since))
+    joined = features.join(start)
+    context = with_rows_before(joined, F.col("_start"), rows) if rows else joined.where(F.col("date") >= F.col("_start"))
+    return feats.breadth(context.drop("_start"), **limits).where(F.col("date") >= F.lit(since))
 
 
 def replace_dates(old: DataFrame, new: DataFrame, since: date) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 DAILY = """daily as (
   select cast(l_suppkey as varchar) symbol, cast(l_shipdate as date) date, arg_min(px, o) open, max(px) high, min(px) low, arg_max(px, o) as close, cast(sum(l_quantity) as bigint) volume
   from (select *, floor(l_extendedprice / l_quantity) * 1.0 px, row(l_orderkey, l_linenumber, l_partkey) o from lineitem) group by 1, 2)"""
@@ -93,12 +95,13 @@ b0 as (select e0.date, count(e1.symbol) universe_size, {", ".join(f"count(*) fil
   from e0 left join e1 using (symbol, date) group by 1),
 b1 as (select *, {", ".join(f"cast(sum(up_4pct_count) over (order by date rows {n - 1} preceding) as double) / nullif(sum(down_4pct_count) over (order by date rows {n - 1} preceding), 0) ratio_{n}d" for n in (5, 10))},
   {", ".join(f"{n} * 100.0 / nullif(universe_size, 0) {n.replace('_count', '_pct')}" for n in counts if not any(x in n for x in ('25m', '50m', '13_34')))} from b0),
-breadth as (select *,
-  case when up_25q_count > down_25q_count * 1.1 then 'bullish' when down_25q_count > up_25q_count * 1.1 then 'bearish' else 'transition' end primary_regime,
-  case when up_25q_count > down_25q_count * 1.1 and ratio_10d >= 2 then 'long_favored' when down_25q_count > up_25q_count * 1.1 and ratio_10d <= 0.5 then 'short_favored'
-    when down_25q_count > up_25q_count * 1.1 and ratio_10d > 0.5 then 'rebound_watch' when up_25q_count > down_25q_count * 1.1 and ratio_10d < 2 then 'correction_watch' else 'mixed' end tactical_regime,
-  case when up_25q_count > down_25q_count * 1.1 and ratio_10d >= 2 then 2.0 when down_25q_count > up_25q_count * 1.1 and ratio_10d <= 0.5 then -2.0 when up_25q_count > down_25q_count * 1.1 then 1.0 when down_25q_count > up_25q_count * 1.1 then -1.0 else 0.0 end aggression_score
-  from b1)"""
+b2 as (select *, up_25q_count > down_25q_count * 1.1 bull, down_25q_count > up_25q_count * 1.1 bear from b1),
+b3 as (select *, bull and ratio_10d >= 2 strong, bear and ratio_10d <= 0.5 weak, bull and ratio_10d < 2 correcting, bear and ratio_10d > 0.5 rebounding from b2),
+breadth as (select *, case when bull then 'bullish' when bear then 'bearish' else 'transition' end primary_regime,
+  case when strong then 'long_favored' when weak then 'short_favored' when rebounding then 'rebound_watch' when correcting then 'correction_watch' else 'mixed' end tactical_regime,
+  case when strong then 2.0 when weak then -2.0 when bull then 1.0 when bear then -1.0 else 0.0 end aggression_score, case when strong or weak then 'aggressive' when bull or bear then 'standard' else 'defensive' end posture_label,
+  case when strong then 'bullish_thrust,long_favored' when weak then 'bearish_thrust,short_favored' when correcting then 'bullish_regime,correction_watch' when rebounding then 'bearish_regime,rebound_watch' else 'mixed' end alert_flags
+  from b3)"""
 
 
 def lagged(source: str = "daily") -> str:
@@ -109,18 +112,21 @@ lagged as (select *, (open - prev_close) / nullif(prev_close, 0) gap_pct, prev_c
 compat as (select *, range_percentile_252 range_percentile, breakout_4pct_up_30d prior_breakouts_30d, breakout_4pct_up_90d prior_breakouts_90d, breakdown_4pct_down_90d prior_breakdowns_90d from feat)"""
 
 
-def threshold_candidates(short: bool, t: float = 0.04, price: float = 10, value: float = 30_000, volume: int = 20) -> str:
+def threshold_candidates(short: bool, t: float = 0.04, price: float = 10, value: float = 30_000, volume: int = 20, strict: bool = False, narrow: bool = False, prior: int = -1) -> str:
     crossed = f"l.low <= l.prev_close * (1 - {t})" if short else f"l.high >= l.prev_close * (1 + {t})"
     h = "<= 0.3" if short else ">= 0.7"
     trend = "cast(l.close < f.ma_20 as int) + cast(f.ret_5d < 0 as int)" if short else "cast(l.close > f.ma_20 as int) + cast(f.ret_5d > 0 as int)"
-    turned = ">" if short else "<"
+    trend += " + cast(coalesce(nullif(f.r2_65, 0), 0) >= 0.7 as int)" + (" + cast(l.close < f.ma_65_sma as int) >= 3" if strict else " >= 2")
+    quiet = "(l.prev_high - l.prev_low) < f.atr_20 * 0.5" + ("" if narrow else f" or l.prev_close {'>' if short else '<'} l.prev_open")
     two = "w1 >= 0 or w2 >= 0" if short else "w1 <= 0"
-    fresh = "coalesce(f.prior_breakouts_30d, 0) <= 2" + (" and coalesce(f.rs_252 <= 0, false)" if short else "")
-    return f"""cand0 as (
-  select l.symbol, l.date, l.watch_date, l.open, l.high, l.low, l.close, l.volume, l.prev_open, l.prev_high, l.prev_low, l.prev_close, l.gap_pct, l.watch_value value_traded, f.close_pos_in_range, f.atr_20, f.vol_dryup_ratio, f.atr_compress_ratio,
-    f.range_percentile, f.prior_breakouts_30d, f.prior_breakdowns_90d, f.r2_65, f.rs_252, '{"SHORT" if short else "LONG"}' direction, s.close_pos_in_range {h} filter_h, (l.prev_high - l.prev_low) < f.atr_20 * 0.5 or l.prev_close {turned} l.prev_open filter_n,
-    {fresh} filter_y, f.vol_dryup_ratio < 1.3 filter_c, {trend} + cast(coalesce(nullif(f.r2_65, 0), 0) >= 0.7 as int) >= 2 filter_l, {two} filter_2
-  from lagged l left join compat f on f.symbol = l.symbol and f.date = l.watch_date left join compat s on s.symbol = l.symbol and s.date = l.date
+    fresh = "coalesce(f.prior_breakouts_30d, 0) <= 2" + (" and coalesce(f.rs_252 <= 0, false)" if short else "") + (f" and coalesce(f.prior_breakdowns_90d, 0) <= {prior}" if prior >= 0 else "")
+    # the watch day is the session before, so its features are those of the next session's row
+    return f"""watch as (select * replace (lead(date) over {W} as date) from compat),
+cand0 as (
+  select symbol, date, l.watch_date, l.open, l.high, l.low, l.close, l.volume, l.prev_open, l.prev_high, l.prev_low, l.prev_close, l.gap_pct, l.watch_value value_traded, f.close_pos_in_range, f.atr_20, f.vol_dryup_ratio, f.atr_compress_ratio,
+    f.range_percentile, f.prior_breakouts_30d, f.prior_breakdowns_90d, f.r2_65, f.rs_252, '{"SHORT" if short else "LONG"}' direction, s.close_pos_in_range {h} filter_h, {quiet} filter_n,
+    {fresh} filter_y, f.vol_dryup_ratio < 1.3 filter_c, {trend} filter_l, {two} filter_2
+  from lagged l left join watch f using (symbol, date) left join compat s using (symbol, date)
   where {crossed} and l.watch_date is not null and l.prev_close >= {price} and l.watch_value >= {value} and l.prev_volume >= {volume} and w1 is not null and f.close_pos_in_range is not null),
 cand as (select *, {" + ".join(f"cast(coalesce(filter_{x}, false) as int)" for x in "hnycl2")} filters_passed from cand0)"""
 
@@ -135,11 +141,25 @@ BREAKDOWN_RANK = """c3 as (select *, least(greatest(coalesce(r2_65, 0), 0), 1) *
 ranked as (select *, row_number() over (partition by date order by selection_score desc, value_traded desc, symbol) selection_rank from c3)"""
 
 #: Entries from daily bars, exits over five days, and economics of the ranked candidates.
-TRADES = f"""entry0 as (select *, prev_close * 1.04 trigger_price, greatest(open, prev_close * 1.04) entry_price from ranked where selection_rank <= 30),
-entries as (select *, case when low < entry_price then low else entry_price * 0.96 end initial_stop from entry0),
+def order_cost(price: str, selling: str) -> str:
+    """Charges of an order by the fee schedule of expressions.Costs."""
+    v = f"({price} * qty)"
+    return f"round_even(20 + {v} * (0.0000345 + 0.000001) + (20 + {v} * 0.0000345) * 0.18 + case when {selling} then {v} * 0.00025 else {v} * 0.00003 end, 2)"
+
+
+def trade_tables(short: bool = False, t: float = 0.04, budget: int = 30) -> str:
+    """Mirrored prices serve the short side, as in outcomes."""
+    sign, most = ("-1.0", "low") if short else ("1.0", "high")
+    least = "high" if short else "low"
+    trigger = f"prev_close * {1 - t if short else 1 + t}"
+    entry = f"least(open, {trigger})" if short else f"greatest(open, {trigger})"
+    stop = "case when high > entry_price then high else entry_price * 1.04 end" if short else "case when low < entry_price then low else entry_price * 0.96 end"
+    kept = f"where selection_rank <= {budget}" if budget else ""
+    return f"""entry0 as (select *, {trigger} trigger_price, {entry} entry_price from ranked {kept}),
+entries as (select *, {stop} initial_stop from entry0),
 num as (select symbol, date, open, high, low, close, row_number() over {W} bar_no from daily),
 h0 as (
-  select e.symbol, e.date, e.entry_price entry, e.initial_stop stop0, b.bar_no - a.bar_no as day, b.date bar_date, b.open, b.high, b.low, b.close
+  select e.symbol, e.date, e.entry_price * {sign} entry, e.initial_stop * {sign} stop0, b.bar_no - a.bar_no as day, b.date bar_date, b.open * {sign} as open, b.{most} * {sign} high, b.{least} * {sign} low, b.close * {sign} as close
   from entries e join num a using (symbol, date) join num b on b.symbol = a.symbol and b.bar_no between a.bar_no + 1 and a.bar_no + 5),
 h1 as (select *, greatest(entry, max(high) over (partition by symbol, date order by day)) top from h0),
 h2 as (select *, top >= entry + abs(entry) * 0.08 trail_on, close > entry even, case when day >= 3 then low end tight,
@@ -157,10 +177,15 @@ h7 as (select *, case when open >= entry + abs(entry) * 0.2 then 'ABNORMAL_GAP_E
     when day = last_day then 'TIME_EXIT' end reason,
     case when open >= entry + abs(entry) * 0.2 or open < stop_before then open when low <= stop_before then stop_before when day <= 2 and high >= entry + abs(entry) * 0.1 then close when close <= stop_after then stop_after else close end price from h6),
 exits as (select symbol, date, arg_min(bar_date, day) exit_date, arg_min(price, day) exit_price, arg_min(reason, day) exit_reason, min(day) holding_days from h7 where reason is not null group by 1, 2),
-t0 as (select e.*, x.exit_date, x.exit_price, x.exit_reason, x.holding_days, floor(100000.0 / entry_price) qty, exit_price / entry_price > 2.5 or exit_price / entry_price < 0.625 bad from entries e join exits x using (symbol, date)),
-trades as (select *, case when bad then 0 else (exit_price - entry_price) * qty end gross_pnl, case when bad then 0 else (exit_price - entry_price) / entry_price * 100 end pnl_pct,
-    case when bad then 0 else (exit_price - entry_price) / nullif(abs(entry_price - initial_stop), 0) end pnl_r, case when bad then 'DATA_INVALIDATION' else exit_reason end final_reason, year(date) as year from t0)"""
+t0 as (select e.*, x.exit_date, x.exit_price * {sign} exit_price, x.exit_reason, x.holding_days, floor(100000.0 / entry_price) qty, x.exit_price * {sign} / entry_price > 2.5 or x.exit_price * {sign} / entry_price < 0.625 bad from entries e join exits x using (symbol, date)),
+t1 as (select *, case when bad then 0 else (exit_price - entry_price) * {sign} * qty end gross_pnl, case when bad then 0 else round_even({order_cost('entry_price', 'true' if short else 'false')} + {order_cost('exit_price', 'false' if short else 'true')}, 2) end as cost,
+    case when bad then 0 else (exit_price - entry_price) * {sign} / entry_price * 100 end pnl_pct, case when bad then 0 else (exit_price - entry_price) * {sign} / nullif(abs(entry_price - initial_stop), 0) end pnl_r, case when bad then 'DATA_INVALIDATION' else exit_reason end final_reason, year(date) as year from t0),
+trades as (select *, gross_pnl - cost net_pnl from t1)"""
+
+
+TRADES = trade_tables()
 
 
 def sql(*parts: str, select: str) -> str:
-    return "with " + ",\n".join(parts) + "\n" + select
+    """A query over common table expressions, each computed once."""
+    return re.sub(r"\bas \((\s*select\b)", r"as materialized (\1", "with " + ",\n".join(parts)) + "\n" + select

@@ -104,11 +104,6 @@ def s10_fetch_windows(spark, sf):
     return src.fetch_windows(wanted, c)
 
 
-@query()
-def s16_partition_registry(spark, sf):
-    return src.partition_registry(daily(spark, sf).withColumn("year", F.year("date")), ["year"])
-
-
 @query(sql(DAILY, FEATURES, select=f"select symbol, date, {', '.join(FEATURE_COLUMNS)} from feat"))
 def w1_w8_daily_features(spark, sf):
     return rounded(feats(spark, sf)).select("symbol", "date", *FEATURE_COLUMNS)
@@ -125,12 +120,12 @@ def w8_w14_intraday_features(spark, sf):
     return features.intraday_features(b, src.intraday_to_daily(b)).select("symbol", "date", "candle_time", *INTRADAY_COLUMNS, "range_expansion_vs_15min", "range_contraction_vs_15min")
 
 
-BREADTH = "date universe_size up_4pct_count down_4pct_count up_4pct_pct down_4pct_pct above_ma20_pct below_ma20_pct above_ma40_pct below_ma40_pct up_25q_count down_25q_count up_25m_count down_25m_count up_50m_count down_50m_count up_13_34_count down_13_34_count ratio_5d ratio_10d primary_regime tactical_regime aggression_score".split()
+BREADTH = "date universe_size up_4pct_count down_4pct_count up_4pct_pct down_4pct_pct above_ma20_pct below_ma20_pct above_ma40_pct below_ma40_pct up_25q_count down_25q_count up_25m_count down_25m_count up_50m_count down_50m_count up_13_34_count down_13_34_count ratio_5d ratio_10d primary_regime tactical_regime aggression_score posture_label alert_flags".split()
 
 
 @query(sql(DAILY, FEATURES, oracle.breadth(10, 30_000), select=f"select {', '.join(BREADTH)} from breadth"))
 def a1_w16_w17_breadth(spark, sf):
-    return features.breadth(feats(spark, sf), 10, 30_000).select(*BREADTH)
+    return features.breadth(feats(spark, sf), 10, 30_000).withColumn("alert_flags", F.array_join("alert_flags", ",")).select(*BREADTH)
 
 
 @query(sql(DAILY, FEATURES, select="select date, cast(count(*) filter (close >= 10 and close < ma_20) as double) / nullif(count(*) filter (close >= 10 and ma_20 is not null), 0) below_ma20_share from feat group by 1"))
@@ -151,19 +146,6 @@ def w28_new_highs(spark, sf):
     return features.new_high_counts(daily(spark, sf)).select("symbol", "date", "new_high", "prior_new_highs")
 
 
-#: A small derived table of actions: suppliers with a number under 50 split two for one, pay and give bonuses on three dates.
-ACTIONS = """actions as (select symbol, ex_date, action_type, a ratio_num, b ratio_den from (select distinct symbol from daily where cast(symbol as int) < 50),
-  (values (date '1994-06-01', 'SPLIT', 2.0, 1.0), (date '1996-03-01', 'BONUS', 1.0, 1.0), (date '1997-01-15', 'DIVIDEND', 1.0, 1.0)) v(ex_date, action_type, a, b))"""
-
-
-@query(sql(DAILY, ACTIONS, select="""select d.symbol, d.date, d.close, coalesce(f, 1.0) adj_factor, d.close * coalesce(f, 1.0) adj_close from daily d left join (
-  select d.symbol, d.date, product(case action_type when 'SPLIT' then ratio_den / ratio_num when 'BONUS' then ratio_den / (ratio_num + ratio_den) else 1 end) f
-  from daily d join actions a on a.symbol = d.symbol and a.ex_date >= d.date group by 1, 2) x using (symbol, date)"""))
-def p19_w26_adjusted_series(spark, sf):
-    d = daily(spark, sf)
-    days = F.array(*(F.struct(F.lit(x).cast("date").alias("ex_date"), F.lit(k).alias("action_type"), F.lit(2.0 if k == "SPLIT" else 1.0).alias("ratio_num"), F.lit(1.0).alias("ratio_den")) for x, k in (("1994-06-01", "SPLIT"), ("1996-03-01", "BONUS"), ("1997-01-15", "DIVIDEND"))))
-    actions = d.select("symbol").distinct().where(F.col("symbol").cast("int") < 50).select("symbol", F.explode(days).alias("a")).select("symbol", "a.*")
-    return features.adjustment_series(d, actions).select("symbol", "date", "close", "adj_factor", "adj_close")
 
 
 CANDIDATE = "symbol date watch_date prev_close gap_pct value_traded filter_h filter_n filter_y filter_c filter_l filter_2 filters_passed".split()
@@ -205,64 +187,23 @@ def w20_breakdown_ranking(spark, sf):
     return out.select("symbol", "date", F.round("selection_score", 4).alias("selection_score"), "selected")
 
 
-@query(sql(DAILY, FEATURES, oracle.lagged(), select="""select l.symbol, l.date, l.gap_pct, cast(coalesce(l.gap_pct >= 0.04, false) as int) + cast(l.volume >= 20 as int) + cast(l.close * l.volume >= 30000 as int) + cast(l.rn >= 65 as int) + cast(coalesce(f.close_pos_in_range >= 0.7, false) as int)
-  + cast(coalesce((l.prev_high - l.prev_low) < f.atr_20 * 0.5 or l.prev_close < l.prev_open, false) as int) + cast(coalesce(w1 <= 0 or w2 <= 0, false) as int) + cast(coalesce(f.prior_breakouts_30d, 0) <= 2 as int)
-  + cast(coalesce(cast(l.close > f.ma_20 as int) + cast(f.ret_5d > 0 as int) + cast(coalesce(nullif(f.r2_65, 0), 0) >= 0.7 as int) >= 2, false) as int) + cast(coalesce(f.vol_dryup_ratio < 1.3, false) as int) n_passed
-  from lagged l left join compat f using (symbol, date) where l.gap_pct >= 0.04"""))
-def o8_gap_scan(spark, sf):
-    cfg = candidates.ScanConfig(min_volume=20, min_value=30_000.0)
-    return candidates.gap_scan(daily(spark, sf), rounded(feats(spark, sf)), cfg).select("symbol", "date", "gap_pct", "n_passed")
-
-
-@query()
-def a15_scan_check_counts(spark, sf):
-    return reports.check_counts(candidates.gap_scan(daily(spark, sf), feats(spark, sf), candidates.ScanConfig(min_volume=20, min_value=30_000.0)))
-
-
-@query()
-def o9_gap_signals(spark, sf):
-    return candidates.gap_signals(daily(spark, sf), feats(spark, sf)).select("symbol", "date", "gap_pct", "filter_ti65", "filters_passed")
-
-
-@query()
-def o10_watch_list(spark, sf):
-    return candidates.watch_list(daily(spark, sf), feats(spark, sf), "1998-06-01", Params(min_price=0, min_value=0, min_volume=0)).select("symbol", "date", "trigger_price", "selection_score", "selection_rank")
-
-
 def trades(spark, sf) -> DataFrame:
     p = Params(min_filters=3, **LIMITS)
     return research.backtest(daily(spark, sf), rounded(feats(spark, sf)), p).withColumn("exp_id", F.lit("breakout"))
 
 
-TRADE_SQL = (DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), BREAKOUT_RANK, TRADES)
-
-
-@query(sql(*TRADE_SQL, select="select symbol, date, entry_price, initial_stop, exit_date, exit_price, final_reason exit_reason, holding_days, qty, round(gross_pnl, 4) gross_pnl, round(pnl_pct, 6) pnl_pct, round(pnl_r, 6) pnl_r from trades"))
-def o4_o7_backtest_trades(spark, sf):
-    return trades(spark, sf).select("symbol", "date", "entry_price", "initial_stop", "exit_date", "exit_price", "exit_reason", F.col("holding_days").cast("long").alias("holding_days"), F.col("qty").cast("double").alias("qty"), F.round("gross_pnl", 4).alias("gross_pnl"), F.round("pnl_pct", 6).alias("pnl_pct"), F.round("pnl_r", 6).alias("pnl_r"))
-
-
-def report_sql(keys: str) -> str:
-    return sql(*TRADE_SQL, select=f"select {keys}, count(*) trades, count(*) filter (pnl_r > 0) winners, round(avg(pnl_pct), 4) avg_pct, round(avg(pnl_r), 4) avg_r, avg(holding_days) avg_days from trades group by all")
-
-
-def report(df: DataFrame, *keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("trades"), F.count_if(F.col("pnl_r") > 0).alias("winners"), F.round(F.avg("pnl_pct"), 4).alias("avg_pct"), F.round(F.avg("pnl_r"), 4).alias("avg_r"), F.avg("holding_days").alias("avg_days"))
+def trade_rows(t: DataFrame) -> DataFrame:
+    money = (F.round(c, n).alias(c) for c, n in (("gross_pnl", 4), ("cost", 2), ("net_pnl", 4), ("pnl_pct", 6), ("pnl_r", 6)))
+    return t.select("symbol", "date", "entry_price", "initial_stop", "exit_date", "exit_price", "exit_reason", F.col("holding_days").cast("long").alias("holding_days"), F.col("qty").cast("double").alias("qty"), *money)
 
 
-@query(report_sql("final_reason exit_reason"))
-def a9_exit_reasons(spark, sf):
-    return report(trades(spark, sf), "exit_reason")
-
-
-@query(report_sql("symbol"))
-def a9_by_symbol(spark, sf):
-    return report(trades(spark, sf), "symbol")
+TRADE_ROWS = "select symbol, date, entry_price, initial_stop, exit_date, exit_price, final_reason exit_reason, holding_days, qty, round(gross_pnl, 4) gross_pnl, round(cost, 2) as cost, round(net_pnl, 4) net_pnl, round(pnl_pct, 6) pnl_pct, round(pnl_r, 6) pnl_r from trades"
+TRADE_SQL = (DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), BREAKOUT_RANK, TRADES)
 
 
-@query(report_sql("year, strftime(date, '%Y-%m') as month"))
-def a9_by_month(spark, sf):
-    return report(trades(spark, sf), "year", F.date_format("date", "yyyy-MM").alias("month"))
+@query(sql(*TRADE_SQL, select="select symbol, date, entry_price, initial_stop, exit_date, exit_price, final_reason exit_reason, holding_days, qty, round(gross_pnl, 4) gross_pnl, round(cost, 2) as cost, round(net_pnl, 4) net_pnl, round(pnl_pct, 6) pnl_pct, round(pnl_r, 6) pnl_r from trades"))
+def o4_o7_backtest_trades(spark, sf):
+    return trade_rows(trades(spark, sf))
 
 
 @query(sql(*TRADE_SQL, select="select round(quantile_cont(pnl_r, 0.1), 6) p10, round(quantile_cont(pnl_r, 0.25), 6) p25, round(median(pnl_r), 6) p50, round(quantile_cont(pnl_r, 0.75), 6) p75, round(quantile_cont(pnl_r, 0.9), 6) p90, round(max(pnl_r), 6) max_r, round(min(pnl_r), 6) min_r from trades"))
@@ -271,50 +212,12 @@ def a12_r_distribution(spark, sf):
     return reports.r_distribution(trades(spark, sf)).select(*(F.round(n, 6).alias(n) for n in names))
 
 
-@query()
-def a10_yearly_metrics(spark, sf):
-    return reports.yearly_metrics(trades(spark, sf))
-
-
-@query()
-def a11_experiment_summary(spark, sf):
-    return reports.experiment_summary(trades(spark, sf))
-
-
-@query()
-def w21_equity_curve(spark, sf):
-    return reports.equity_curve(trades(spark, sf), keys=("exp_id",))
-
-
-@query()
-def a9_month_by_weekday(spark, sf):
-    return reports.month_by_day(trades(spark, sf))
-
-
-@query()
-def a17_filter_effects(spark, sf):
-    return reports.filter_effects(trades(spark, sf), candidates.FLAGS)
-
-
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), select="select " + " || ".join(f"case when coalesce(filter_{x}, false) then '{x.upper()}' else '-' end" for x in "hnycl2") + " combination, count(*) n from cand group by 1 order by n desc, combination limit 20"))
 def a17_filter_combinations(spark, sf):
     rows = candidates.breakout(daily(spark, sf), rounded(feats(spark, sf)), Params(**LIMITS))
     return reports.filter_combinations(rows, candidates.FLAGS)
 
 
-@query()
-def o13_parameter_sweep(spark, sf):
-    p = Params(**LIMITS)
-    return research.sweep(daily(spark, sf), rounded(feats(spark, sf)), {"threshold": [0.04, 0.06], "min_filters": [3, 4], "budget": [0, 10]}, p)
-
-
-@query()
-def o12_o14_best_by_fold(spark, sf):
-    folds = research.rolling_windows(spark, date(1993, 1, 1), date(1998, 12, 1), 504, 126, 126)
-    t = trades(spark, sf).withColumn("param_id", F.pmod(F.xxhash64("symbol"), F.lit(4)))
-    return research.best_by_fold(t, folds)
-
-
 OPENING = """trig as (select s.symbol, s.date, p.prior_day_close * 1.002 trigger_price from (select distinct symbol, date from bars) s join prior p using (symbol, date)),
 m0 as (select b.*, t.trigger_price, hour(candle_time) * 60 + minute(candle_time) as minute from bars b join trig t using (symbol, date)),
 m1 as (select *, min(low) over (partition by symbol, date order by candle_time) session_low from m0 where minute between 0 and 600),
@@ -334,17 +237,6 @@ def o2_intraday_entries(spark, sf):
     return opening_entries(spark, sf)[1].select("symbol", "date", "entry_time", "entry_price", "initial_stop")
 
 
-@query()
-def o3_same_day_exits(spark, sf):
-    b, e = opening_entries(spark, sf)
-    return outcomes.same_day_exits(e, b, ladder=True)
-
-
-@query()
-def o6_entry_gate(spark, sf):
-    return reports.funnel(outcomes.gate(opening_entries(spark, sf)[1]))
-
-
 @query(sql(DAILY, select="select symbol, avg(close * volume) avg_value from daily where date between date '1995-01-01' and date '1996-12-31' group by 1 order by avg_value desc, symbol limit 50"))
 def a3_liquid_universe(spark, sf):
     return reports.liquid_universe(daily(spark, sf), 50, "1995-01-01", "1996-12-31")
@@ -447,35 +339,12 @@ def q10_missing_coverage(spark, sf):
     return quality.missing_intraday(src.intraday_to_daily(b), b.where(F.hour("candle_time") < 1)).select("symbol", "date")
 
 
-@query()
-def q12_full_scan(spark, sf):
-    b = intraday(spark, sf)
-    found = quality.scan(src.intraday_to_daily(b), b)
-    return found.groupBy("issue_code").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols")).withColumn("severity", quality.severity(F.col("issue_code")))
-
-
-@query()
-def q13_validate_rows(spark, sf):
-    return quality.validate_rows(daily(spark, sf))
-
-
-@query()
-def q14_monitor(spark, sf):
-    return quality.monitor(daily(spark, sf), "1997-06-02")
-
-
 @query(sql(DAILY, select="""select count(*) n_rows, count(distinct symbol) n_symbols, count(distinct date) n_days, min(date) first_date, max(date) last_date, count(*) filter (high < low or close > high or close < low or open > high or open < low) bad_ranges,
   cast(count(distinct date) as double) / len(list_filter(generate_series(min(date), max(date), interval 1 day), lambda d: isodow(d) < 6)) coverage from daily"""))
 def q15_dataset_report(spark, sf):
     return quality.dataset_report(daily(spark, sf)).select("n_rows", "n_symbols", "n_days", "first_date", "last_date", "bad_ranges", "coverage")
 
 
-@query(sql(DAILY, select="select symbol, count(*) n_rows, min(date) first_date, max(date) last_date from daily where symbol not in (select cast(s_suppkey as varchar) from supplier where s_suppkey % 3 <> 0) group by 1"))
-def q17_dead_symbols(spark, sf):
-    listed = src.table(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("string").alias("symbol"))
-    return quality.dead_symbols(daily(spark, sf), listed)
-
-
 @query(sql(DAILY, select="select cast(s_suppkey as varchar) symbol from supplier where cast(s_suppkey as varchar) not in (select symbol from daily where date < date '1992-06-01')"))
 def j5_missing_symbols(spark, sf):
     universe = src.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"))
@@ -493,50 +362,8 @@ def j15_latest_before(spark, sf):
     return reconcile.latest_before(daily(spark, sf), "1996-01-01")
 
 
-@query(sql(DAILY, select="select d.symbol, d.date, d.close, s.s_name, n.n_name from daily d left join supplier s on cast(s.s_suppkey as varchar) = d.symbol left join nation n on n.n_nationkey = s.s_nationkey"))
-def j13_names(spark, sf):
-    s = src.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), "s_name", F.col("s_nationkey").alias("n_nationkey"))
-    n = src.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    return daily(spark, sf).join(s, "symbol", "left").join(n, "n_nationkey", "left").select("symbol", "date", "close", "s_name", "n_name")
-
-
-SHIFTED = """live as (select symbol, strftime(candle_time, '%H:%M') bar, open, high, low, close, volume from bars where date = (select min(date) from bars)),
-stored as (select symbol, bar, open, high, low, case when volume > 1 then close + 1 else close end as close, volume * 2 volume from live where bar >= '01:00')"""
-
-
-@query(sql(BARS, SHIFTED, select="""select symbol, bar, kind, field from (select symbol, bar, 'extra' kind, cast(null as varchar) field from live where bar < '01:00'
-  union all select l.symbol, l.bar, case when k = 'volume' then 'volume_diff' else 'price_diff' end, k from live l join stored s using (symbol, bar), (values ('close'), ('volume')) v(k)
-  where (k = 'close' and abs(l.close - s.close) > 0.01) or (k = 'volume' and abs(l.volume - s.volume) > s.volume * 0.4))"""))
-def j9_reconcile_bars(spark, sf):
-    b = intraday(spark, sf)
-    live = b.join(F.broadcast(b.agg(F.min("date").alias("date"))), "date")
-    stored = live.where(F.hour("candle_time") >= 1).withColumns({"close": F.when(F.col("volume") > 1, F.col("close") + 1).otherwise(F.col("close")), "volume": F.col("volume") * 2})
-    return reconcile.reconcile_bars(live, stored, 0.01, 0.4).select("symbol", "bar", "kind", "field")
-
-
-@query()
-def j10_parity(spark, sf):
-    t = trades(spark, sf)
-    other = t.where("year < 1998").withColumn("entry_price", F.when(F.col("symbol").cast("int") % 2 == 0, F.col("entry_price") * 1.02).otherwise(F.col("entry_price")))
-    return reconcile.parity(t, other, ["symbol", "date"]).groupBy("parity").agg(F.count("*").alias("n"))
-
-
-@query()
-def j11_holding_rows(spark, sf):
-    d = daily(spark, sf)
-    s = d.where("volume > 45").select("symbol", "date")
-    return outcomes.holding_rows(s, d, 3).select("symbol", "date", "day", "bar_date", "close")
-
-
-ORACLE["j11_holding_rows"] = sql(DAILY, f"num as (select symbol, date, close, volume, row_number() over {W} n from daily)", select="select a.symbol, a.date, cast(b.n - a.n as int) as day, b.date bar_date, b.close from num a join num b on b.symbol = a.symbol and b.n between a.n + 1 and a.n + 3 where a.volume > 45")
 
 
-@query()
-def p15_p16_p17_costs_and_sizes(spark, sf):
-    c = F.col
-    d = daily(spark, sf)
-    cost = ex.Costs().round_trip(c("close"), c("high"), F.lit(100), F.lit("LONG"))
-    return d.select("symbol", "date", "close", ex.slippage_bps(c("close") * c("volume")).alias("bps"), ex.position_shares(c("close"), c("low"), F.lit(1_000_000.0)).alias("shares"), cost.alias("cost"))
 
 
 @query(sql(DAILY, select="select symbol, min(date) first, max(date) last from daily group by 1"))
@@ -544,21 +371,6 @@ def s10_coverage(spark, sf):
     return src.coverage(daily(spark, sf))
 
 
-@query()
-def m3_incremental_daily(spark, sf):
-    return incremental.daily_since(daily(spark, sf), date(1998, 1, 1)).select("symbol", "date", "ret_252d", "atr_20", "range_percentile_252")
-
-
-@query()
-def m5_incremental_breadth(spark, sf):
-    return incremental.breadth_since(feats(spark, sf), date(1998, 1, 1))
-
-
-@query()
-def m2_dataset_state(spark, sf):
-    return incremental.dataset_state(daily(spark, sf))
-
-
 @query(sql(DAILY, select="select symbol, date, close from daily where symbol not in (select symbol from daily where date < date '1992-02-01') union all select symbol, date, close * 2 from daily where symbol in (select symbol from daily where date < date '1992-02-01')"))
 def u5_replace_symbols(spark, sf):
     d = daily(spark, sf).select("symbol", "date", "close")
@@ -566,43 +378,3 @@ def u5_replace_symbols(spark, sf):
     return incremental.replace_symbols(d, d.join(early, "symbol", "left_semi").withColumn("close", F.col("close") * 2))
 
 
-@query()
-def u6_issue_registry(spark, sf):
-    b = intraday(spark, sf)
-    found = quality.flagged(b, quality.intraday_rules())
-    half = found.where("issue_code <> 'EXTREME_CANDLE'")
-    none = spark.createDataFrame([], "symbol string, issue_code string, is_active boolean, acknowledged boolean, first_seen date, last_seen date")
-    return quality.upsert_issues(quality.upsert_issues(none, found, "2024-01-01"), half, "2024-01-02")
-
-
-@query("""select symbol, ts, delta from (select event_type symbol, ts, case when lag(n) over (partition by event_type order by ts, n) is null then 0 else 1 end delta from (select *, row_number() over (partition by event_type order by ts, event_id) n from events))""")
-def r2_volume_deltas(spark, sf):
-    from ..streaming import ticks
-
-    t = ticks.volume_deltas(ticks.ticks_from_events(src.table(spark, sf, "events")))
-    return t.select("symbol", "ts", F.col("delta").cast("int").alias("delta"))
-
-
-@query()
-def r1_tick_bars(spark, sf):
-    from ..streaming import ticks
-
-    return ticks.bars(ticks.ticks_from_events(src.table(spark, sf, "events")))
-
-
-@query()
-def r6_entry_alerts(spark, sf):
-    from ..streaming import ticks
-
-    b = ticks.bars(ticks.ticks_from_events(src.table(spark, sf, "events")))
-    watch = b.groupBy("symbol").agg((F.avg("high") * 1.5).alias("trigger_price"))
-    return ticks.entry_alerts_batch(b, watch)
-
-
-@query()
-def r7_track_stops(spark, sf):
-    from ..streaming import ticks
-
-    b = ticks.bars(ticks.ticks_from_events(src.table(spark, sf, "events")))
-    p = b.groupBy("symbol").agg(F.min_by("open", "bar_start").alias("entry_price")).withColumn("stop", F.col("entry_price") * 0.5)
-    return ticks.track_stops_batch(b, p)

@@ -31,14 +31,6 @@ def p7_directed_filter(spark, sf):
     return feats(spark, sf).select("symbol", "date", ex.directed_h(side, F.col("close_pos_in_range")).alias("h"))
 
 
-@query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(True), f"ranked_atr as (select *, avg(atr_20) over (partition by symbol order by date rows between 19 preceding and current row) a from cand0 where gap_pct > -0.04)", select="select symbol, date from ranked_atr where round(atr_20, 6) > round(a, 6)"))
-def p8_w18_short_options(spark, sf):
-    p = Params("breakdown", skip_gap_down=True, **LIMITS)
-    rows = candidates.breakdown(daily(spark, sf), rounded(feats(spark, sf)), p)
-    recent = F.avg("atr_20").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-19, 0))
-    return rows.withColumn("_a", recent).where(F.round("atr_20", 6) > F.round("_a", 6)).select("symbol", "date")
-
-
 @query(sql(DAILY, FEATURES, "share as (select date, cast(count(*) filter (close >= 10 and close < ma_20) as double) / nullif(count(*) filter (close >= 10 and ma_20 is not null), 0) s from feat group by 1)", oracle.lagged(), oracle.threshold_candidates(True), select="select c.symbol, c.date from cand0 c left join share on share.date = c.watch_date where coalesce(s, 0) > 0.5"))
 def j8_breadth_gate(spark, sf):
     p = Params("breakdown", breadth_threshold=0.5, **LIMITS)
@@ -62,26 +54,12 @@ def p21_buckets(spark, sf):
     return f.groupBy("gap", ex.weekday(F.col("date")).alias("weekday"), F.month("date").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query()
-def p20_fingerprints(spark, sf):
-    d = daily(spark, sf)
-    return d.select("symbol", "date", ex.fingerprint("symbol", "date", "close").alias("fingerprint"))
-
-
 @query(sql(DAILY, select=f"select symbol, date, symbol || ' moved ' || cast(cast(floor(abs(r) * 100) as int) as varchar) || '% on ' || strftime(date, '%Y-%m-%d') detail from (select *, close / nullif(lag(close) over {W}, 0) - 1 r from daily) where abs(r) > 0.5"))
 def p23_detail_text(spark, sf):
     m = feats(spark, sf).where(F.abs("ret_1d") > 0.5)
     return m.select("symbol", "date", F.concat("symbol", F.lit(" moved "), F.floor(F.abs("ret_1d") * 100).cast("int").cast("string"), F.lit("% on "), F.date_format("date", "yyyy-MM-dd")).alias("detail"))
 
 
-@query(sql(DAILY, FEATURES, oracle.lagged(), select="select l.symbol, l.date, l.watch_date, f.ret_5d watch_ret_5d, s.ret_5d from lagged l left join feat f on f.symbol = l.symbol and f.date = l.watch_date left join feat s on s.symbol = l.symbol and s.date = l.date where l.gap_pct > 0.3"))
-def j1_feature_joins(spark, sf):
-    f = feats(spark, sf)
-    rows = candidates.with_lags(daily(spark, sf), Params()).where("gap_pct > 0.3").select("symbol", "date", "watch_date")
-    rows = rows.join(f.select("symbol", F.col("date").alias("watch_date"), F.col("ret_5d").alias("watch_ret_5d")), ["symbol", "watch_date"], "left")
-    return rows.join(f.select("symbol", "date", "ret_5d"), ["symbol", "date"], "left").select("symbol", "date", "watch_date", "watch_ret_5d", "ret_5d")
-
-
 @query(sql(BARS, BARS_DAILY, select="select b.symbol, b.date, b.candle_time, b.close, d.high day_high from bars b join (select * from bdaily where high > low * 50) d using (symbol, date)"))
 def j3_bars_of_signal_days(spark, sf):
     b = intraday(spark, sf)
@@ -95,27 +73,9 @@ def j4_semi_join(spark, sf):
     return src.scoped(daily(spark, sf), symbols=s, columns=["symbol", "date", "close"])
 
 
-@query(sql(DAILY, select="select symbol, date, close from daily where date = (select max(date) from daily where date < date '1997-01-01')"))
-def j7_latest_prior_session(spark, sf):
-    before = daily(spark, sf).where("date < date'1997-01-01'")
-    return before.join(F.broadcast(before.agg(F.max("date").alias("date"))), "date").select("symbol", "date", "close")
-
-
 FOLDS = "folds as (select row_number() over (order by s) - 1 fold, s train_start, s + 503 train_end, s + 504 test_start, least(s + 629, date '1998-12-01') test_end from (select cast(unnest(generate_series(date '1993-01-01', date '1998-12-01', interval 126 day)) as date) s) where s + 504 <= date '1998-12-01')"
 
 
-@query(sql(DAILY, FOLDS, select="select fold, case when date between test_start and test_end then 'test' else 'train' end part, count(*) n from daily join folds on date between train_start and test_end group by all"))
-def j12_fold_assignment(spark, sf):
-    folds = research.rolling_windows(spark, date(1993, 1, 1), date(1998, 12, 1), 504, 126, 126)
-    return reconcile.assign_folds(daily(spark, sf), folds).groupBy("fold", "part").agg(F.count("*").alias("n")).withColumn("fold", F.col("fold").cast("long"))
-
-
-@query(sql(FOLDS, select="select fold, train_start, train_end, test_start, test_end from folds"))
-def o12_rolling_windows(spark, sf):
-    src.table(spark, sf, "region")
-    return research.rolling_windows(spark, date(1993, 1, 1), date(1998, 12, 1), 504, 126, 126).withColumn("fold", F.col("fold").cast("long"))
-
-
 @query(sql(DAILY, "days as (select date, row_number() over (order by date) - 1 n from (select distinct date from daily))", select="select a.n // 63 fold, a.date train_start, b.date train_end, c.date test_start, d.date test_end from days a join days b on b.n = a.n + 251 join days c on c.n = a.n + 252 join days d on d.n = least(a.n + 314, (select max(n) from days)) where a.n % 63 = 0"))
 def o12_session_windows(spark, sf):
     return research.session_windows(daily(spark, sf)).withColumn("fold", F.col("fold").cast("long"))
@@ -137,17 +97,6 @@ def a14_execution_funnel(spark, sf):
     return reports.funnel(outcomes.gate(opening_entries(spark, sf)[1]))
 
 
-@query(sql(*TRADE_SQL, select="select final_reason exit_reason, holding_days, count(*) trades, round(median(pnl_r), 6) median_r from trades group by all"))
-def a16_rollup_by_reason_and_days(spark, sf):
-    t = trades(spark, sf).groupBy("exit_reason", F.col("holding_days").cast("long").alias("holding_days"))
-    return t.agg(F.count("*").alias("trades"), F.round(F.median("pnl_r"), 6).alias("median_r"))
-
-
-@query()
-def a22_profit_factor(spark, sf):
-    return reports.trade_report(trades(spark, sf), "year")
-
-
 @query(sql(DAILY, FEATURES, select="select 'vol_20' param, round(abs(corr(vol_20, ret_1d)) * (max(ret_1d) - min(ret_1d)) / abs(avg(ret_1d)), 4) score from feat where ret_1d <> 0"))
 def a23_sensitivity(spark, sf):
     runs = feats(spark, sf).select(F.lit("vol_20").alias("param"), F.col("vol_20").alias("value"), F.col("ret_1d").alias("metric"))
@@ -160,23 +109,12 @@ def a24_fold_consistency(spark, sf):
     return reports.fold_consistency(t).select(F.round("calmar_cv", 4).alias("calmar_cv"), "thin_folds", "folds")
 
 
-@query(sql(DAILY, select="select symbol, date, close from daily where symbol in ('1', '2') order by date desc, symbol limit 100"))
-def t1_t5_latest_rows(spark, sf):
-    return daily(spark, sf).where(F.col("symbol").isin("1", "2")).orderBy(F.desc("date"), "symbol").select("symbol", "date", "close").limit(100)
-
-
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), BREAKOUT_RANK, select="select symbol, date, slot from (select symbol, date, row_number() over (partition by date order by selection_score desc, symbol) slot from c3) where slot <= 3"))
 def t4_t7_slots(spark, sf):
     rows = candidates.breakout_score(candidates.generate(daily(spark, sf), rounded(feats(spark, sf)), Params(min_filters=3, **LIMITS)))
     return candidates.take_slots(rows, 3, "date").select("symbol", "date", "slot")
 
 
-@query()
-def t6_rank_experiments(spark, sf):
-    t = trades(spark, sf).withColumn("exp_id", F.concat(F.lit("year-"), F.col("year")))
-    return reports.rank_experiments(reports.experiment_summary(t), "calmar", 5)
-
-
 @query("select distinct cast(l_suppkey as varchar) symbol, cast(l_shipdate as date) date from lineitem")
 def u2_distinct_symbol_dates(spark, sf):
     return daily(spark, sf).select("symbol", "date").distinct()
@@ -211,31 +149,6 @@ def o5_carry_rule(spark, sf):
     return outcomes.end_of_day(held, f).select("symbol", "date", "carry_action", "next_carry_stop")
 
 
-@query(sql(DAILY, select=f"select distinct symbol from daily where date = date '1997-06-02' and symbol not in (select symbol from daily where volume < 5)"))
-def o11_tradeable(spark, sf):
-    d = daily(spark, sf)
-    issues = d.where("volume < 5").select("symbol", F.lit("ZERO_PRICE").alias("issue_code"), F.lit(True).alias("is_active"))
-    return candidates.tradeable(d, issues, "1997-06-02")
-
-
-@query(sql(DAILY, select="select symbol, count(*) n from daily where volume <= 3 group by 1"))
-def q8_low_volume_days(spark, sf):
-    return quality.flagged(daily(spark, sf), {"LOW_VOLUME_DAY": F.col("volume") <= 3}).groupBy("symbol").agg(F.count("*").alias("n"))
-
-
-@query("select l_orderkey, l_linenumber, count(*) n from (select l_orderkey, l_linenumber from lineitem union all select l_orderkey, l_linenumber from lineitem where l_quantity > 40) group by 1, 2 having count(*) > 2")
-def q6_duplicate_keys(spark, sf):
-    rows = src.table(spark, sf, "lineitem")
-    both = rows.select("l_orderkey", "l_linenumber").union(rows.where("l_quantity > 40").select("l_orderkey", "l_linenumber"))
-    return reports.duplicates(both).where("n > 2")
-
-
-@query(sql(DAILY, select="select case when n < 100 then 'short' else 'long' end as kind, count(*) symbols from (select symbol, count(distinct date) n from daily group by 1) group by 1"))
-def q11_history_lengths(spark, sf):
-    n = daily(spark, sf).groupBy("symbol").agg(F.countDistinct("date").alias("n"))
-    return n.groupBy(F.when(F.col("n") < 100, "short").otherwise("long").alias("kind")).agg(F.count("*").alias("symbols"))
-
-
 @query(sql(DAILY, select="select count(*) filter (volume is not null) valid, count(*) filter (volume is null) quarantined from (select symbol, date, case when volume < 5 then null else volume end volume from daily)"))
 def q16_quarantine(spark, sf):
     d = daily(spark, sf).withColumn("volume", F.when(F.col("volume") < 5, None).otherwise(F.col("volume")))
@@ -243,29 +156,6 @@ def q16_quarantine(spark, sf):
     return good.agg(F.count("*").alias("valid")).join(F.broadcast(bad.agg(F.count("*").alias("quarantined"))))
 
 
-@query()
-def q18_result_gates(spark, sf):
-    s = reports.experiment_summary(trades(spark, sf)).withColumn("strategy", F.lit("breakout"))
-    rules = spark.createDataFrame([("breakout", "trades", 100.0, 10.0, True), ("breakout", "max_drawdown", 20.0, 50.0, False), ("breakout", "win_rate", 40.0, 20.0, True)], "strategy string, metric string, warn double, fail double, higher_is_better boolean")
-    return quality.result_gates(s, rules)
-
-
-@query()
-def q19_regressions(spark, sf):
-    t = trades(spark, sf)
-    side = lambda rows: rows.groupBy(F.lit("breakout").alias("strategy"), F.col("exit_reason").alias("metric")).agg(F.avg("pnl_r").alias("value"))
-    return quality.regressions(side(t.where("year < 1996")), side(t.where("year >= 1996")))
-
-
-@query(sql(DAILY, select="select symbol, case when max(date) < (select max(date) from daily) then 'range_extended' else '' end reasons from daily group by 1"))
-def m6_stale_runs(spark, sf):
-    d = daily(spark, sf)
-    same = [F.lit("h").alias(c) for c in ("strategy_hash", "dataset_hash", "code_hash")]
-    runs = d.groupBy("symbol").agg(F.max("date").alias("end_date")).select("symbol", F.lit("x").alias("strategy"), *same, F.lit(None).cast("date").alias("start_date"), "end_date")
-    now = d.agg(F.max("date").alias("end_date")).select(F.lit("x").alias("strategy"), *same, F.lit(None).cast("date").alias("start_date"), "end_date")
-    return incremental.stale_runs(runs, now).select("symbol", F.array_join("reasons", ",").alias("reasons"))
-
-
 @query(sql(BARS, BARS_DAILY, "spine as (select distinct date from bdaily)", "grid as (select s.symbol, d.date from (select distinct symbol from bdaily) s, spine d)", select="select g.symbol, g.date, coalesce(last_value(b.close ignore nulls) over (partition by g.symbol order by g.date), first_value(b.close ignore nulls) over (partition by g.symbol order by g.date rows between current row and unbounded following)) as close from grid g left join bdaily b using (symbol, date)"))
 def o4_union_calendar(spark, sf):
     return outcomes.union_calendar(src.intraday_to_daily(intraday(spark, sf))).select("symbol", "date", "close")
@@ -281,11 +171,3 @@ def r6_alert_times(spark, sf):
     return ticks.entry_alerts_batch(b.withColumnRenamed("candle_time", "bar_start"), top).select("symbol", "day", "bar_start")
 
 
-@query(sql(BARS, "r as (select symbol, candle_time, sum(close - open) over (partition by symbol order by candle_time) equity from bars)", "p as (select *, greatest(100.0, max(equity) over (partition by symbol order by candle_time)) peak from r)", select="select symbol, candle_time, strftime(candle_time, '%H:%M') >= '15:15' as late from p"))
-def r9_risk_flags(spark, sf):
-    from ..streaming import ticks
-
-    order = Window.partitionBy("symbol").orderBy("candle_time").rowsBetween(Window.unboundedPreceding, 0)
-    b = intraday(spark, sf).withColumns({"ts": F.col("candle_time"), "day_pnl": F.col("close") - F.col("open"), "equity": F.sum(F.col("close") - F.col("open")).over(order), "capital": F.lit(1000.0)})
-    b = b.withColumn("peak", F.greatest(F.lit(100.0), F.max("equity").over(order)))
-    return ticks.risk_flags(b).select("symbol", "candle_time", F.array_contains("flags", "cutoff").alias("late"))

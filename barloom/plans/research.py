@@ -15,8 +15,18 @@ from ..operators.candidates import Params
 
 def rolling_windows(spark: SparkSession, start: date, end: date, train_days: int = 252, test_days: int = 63, step_days: int = 63, anchored: bool = False) -> DataFrame:
     """Folds of calendar days: a train window and the test window right after it, moved on by step_days; anchored ones keep their start."""
-    one = spark.range(1).select(F.lit(start).alias("s"), F.lit(end).alias("e"))
-    folds = one.select("s", "e", F.posexplode(F.sequence("s", "e", F.expr(f"interval {step_days} days"))).alias("fold", "train_start"))
+    return windows_over(spark.range(1).select(F.lit(start).alias("s"), F.lit(end).alias("e")), train_days, test_days, step_days, anchored)
+
+
+def windows_of(bars: DataFrame, train_days: int = 252, test_days: int = 63, step_days: int = 63, anchored: bool = False) -> DataFrame:
+    """The same over the span of the bars."""
+    return windows_over(bars.agg(F.min("date").alias("s"), F.max("date").alias("e")), train_days, test_days, step_days, anchored)
+
+
+def windows_over(span: DataFrame, train_days: int, test_days: int, step_days: int, anchored: bool) -> DataFrame:
+    """Folds of the spans (s, e), one row each; none of a span without dates."""
+    span = span.where(F.col("s").isNotNull())
+    folds = span.select("s", "e", F.posexplode(F.sequence("s", "e", F.expr(f"interval {step_days} days"))).alias("fold", "train_start"))
     folds = folds.withColumn("train_end", F.date_add("train_start", train_days - 1))
     folds = folds.withColumns({"test_start": F.date_add("train_end", 1), "test_end": F.least(F.date_add("train_end", test_days), F.col("e"))})
     kept = folds.where(F.col("test_start") <= F.col("e"))
@@ -83,13 +93,13 @@ def backtest(daily: DataFrame, features: DataFrame, p: Params, bars: DataFrame |
     return outcomes.economics(exits.where(F.col("exit_price").isNotNull()), costs=costs)
 
 
-def sweep(daily: DataFrame, features: DataFrame, axes: dict[str, list[float]], p: Params = Params()) -> DataFrame:
-    """Metrics of every parameter set (threshold, min_filters, budget) from one pass over the candidates.
+def sweep_trades(daily: DataFrame, features: DataFrame, axes: dict[str, list[float]], p: Params = Params()) -> DataFrame:
+    """Trades of every parameter set (threshold, min_filters, budget), with its param_id, from one pass over the candidates.
 
     Candidates of the loosest threshold and minimum are generated once; every
     parameter set keeps its own of them by conditions, ranks them by its own
     budget, and takes its trades from exits that are computed once for each
-    threshold.  Ranked by total percent.
+    threshold.
     """
     spark = daily.sparkSession
     values = {"threshold": axes.get("threshold", [p.threshold]), "min_filters": axes.get("min_filters", [p.min_filters]), "budget": axes.get("budget", [p.budget])}
@@ -101,16 +111,21 @@ def sweep(daily: DataFrame, features: DataFrame, axes: dict[str, list[float]], p
     level = scored.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in sorted(set(values["threshold"]))))))
     level = level.withColumn("trigger_price", F.col("prev_close") * F.when(short, 1 - F.col("threshold")).otherwise(1 + F.col("threshold")))
     level = level.where(F.when(short, F.col("low") <= F.col("trigger_price")).otherwise(F.col("high") >= F.col("trigger_price")))
-    entries = daily_entries(level)
-    parts = [outcomes.multi_day_exits(entries.where(F.col("threshold") == t), daily) for t in sorted(set(values["threshold"]))]
+    parts = [outcomes.multi_day_exits(daily_entries(level.where(F.col("threshold") == t)), daily) for t in sorted(set(values["threshold"]))]
     trades = parts[0]
     for x in parts[1:]:
         trades = trades.unionByName(x)
     trades = outcomes.economics(trades.where(F.col("exit_price").isNotNull()))
+    # the list that the user states, not data
     sets = grid(spark, {"threshold": values["threshold"], "min_filters": values["min_filters"], "budget": values["budget"]})
     j = trades.join(F.broadcast(sets), "threshold").where(F.col("filters_passed") >= F.col("min_filters"))
     order = Window.partitionBy("param_id", "date").orderBy(F.desc_nulls_last("selection_score"), F.desc_nulls_last("value_traded"), "symbol")
-    j = j.withColumn("selection_rank", F.row_number().over(order)).where((F.col("budget") <= 0) | (F.col("selection_rank") <= F.col("budget")))
+    return j.withColumn("selection_rank", F.row_number().over(order)).where((F.col("budget") <= 0) | (F.col("selection_rank") <= F.col("budget")))
+
+
+def sweep(daily: DataFrame, features: DataFrame, axes: dict[str, list[float]], p: Params = Params()) -> DataFrame:
+    """Metrics of every parameter set, ranked by total percent; see sweep_trades."""
+    j = sweep_trades(daily, features, axes, p)
     report = reports.trade_report(j, "param_id", "threshold", "min_filters", "budget")
     totals = j.groupBy("param_id").agg(F.sum("pnl_pct").alias("total_pct"))
     return report.join(totals, "param_id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_pct"), "param_id")))

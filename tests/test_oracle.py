@@ -5,7 +5,7 @@ from __future__ import annotations
 import compare
 import pytest
 
-from barloom.plans import registry, registry_more  # noqa: F401
+from barloom.plans import registry, registry_more, registry_results  # noqa: F401
 
 
 @pytest.fixture(scope="module")
