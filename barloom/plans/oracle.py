@@ -144,7 +144,12 @@ ranked as (select *, row_number() over (partition by date order by selection_sco
 def order_cost(price: str, selling: str) -> str:
     """Charges of an order by the fee schedule of expressions.Costs."""
     v = f"({price} * qty)"
-    return f"round_even(20 + {v} * (0.0000345 + 0.000001) + (20 + {v} * 0.0000345) * 0.18 + case when {selling} then {v} * 0.00025 else {v} * 0.00003 end, 2)"
+    return cents(f"20 + {v} * (0.0000345 + 0.000001) + (20 + {v} * 0.0000345) * 0.18 + case when {selling} then {v} * 0.00025 else {v} * 0.00003 end")
+
+
+def cents(x: str) -> str:
+    """Half to even by the decimal digits that a number is written with, which both engines do not do for doubles."""
+    return f"cast(round_even(cast(cast({x} as varchar) as decimal(38, 18)), 2) as double)"
 
 
 def trade_tables(short: bool = False, t: float = 0.04, budget: int = 30) -> str:
@@ -178,7 +183,7 @@ h7 as (select *, case when open >= entry + abs(entry) * 0.2 then 'ABNORMAL_GAP_E
     case when open >= entry + abs(entry) * 0.2 or open < stop_before then open when low <= stop_before then stop_before when day <= 2 and high >= entry + abs(entry) * 0.1 then close when close <= stop_after then stop_after else close end price from h6),
 exits as (select symbol, date, arg_min(bar_date, day) exit_date, arg_min(price, day) exit_price, arg_min(reason, day) exit_reason, min(day) holding_days from h7 where reason is not null group by 1, 2),
 t0 as (select e.*, x.exit_date, x.exit_price * {sign} exit_price, x.exit_reason, x.holding_days, floor(100000.0 / entry_price) qty, x.exit_price * {sign} / entry_price > 2.5 or x.exit_price * {sign} / entry_price < 0.625 bad from entries e join exits x using (symbol, date)),
-t1 as (select *, case when bad then 0 else (exit_price - entry_price) * {sign} * qty end gross_pnl, case when bad then 0 else round_even({order_cost('entry_price', 'true' if short else 'false')} + {order_cost('exit_price', 'false' if short else 'true')}, 2) end as cost,
+t1 as (select *, case when bad then 0 else (exit_price - entry_price) * {sign} * qty end gross_pnl, case when bad then 0 else {cents(order_cost('entry_price', 'true' if short else 'false') + ' + ' + order_cost('exit_price', 'false' if short else 'true'))} end as cost,
     case when bad then 0 else (exit_price - entry_price) * {sign} / entry_price * 100 end pnl_pct, case when bad then 0 else (exit_price - entry_price) * {sign} / nullif(abs(entry_price - initial_stop), 0) end pnl_r, case when bad then 'DATA_INVALIDATION' else exit_reason end final_reason, year(date) as year from t0),
 trades as (select *, gross_pnl - cost net_pnl from t1)"""
 

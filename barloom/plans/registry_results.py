@@ -347,7 +347,7 @@ def shares(bound: str) -> str:
 @query(sql(DAILY, "v as (select symbol, date, close, high, low, 100 qty, close entry_price, high exit_price, close * volume traded, case when close > low then floor(10000.0 / (close - low)) end s0 from daily)",
   f"s1 as (select *, case when s0 * close > 500000 then {shares('500000.0')} else s0 end a from v)", f"s2 as (select *, case when a * close < 10000 then {shares('10000.0')} else a end b from s1)",
   select=f"""select symbol, date, case when traded >= 100000000 then 5.0 when traded >= 20000000 then 10.0 else 20.0 end bps, cast(coalesce(case when b * close > 100000 then {shares('100000.0')} else b end, 0) as bigint) shares,
-  round_even({oracle.order_cost('entry_price', 'false')} + {oracle.order_cost('exit_price', 'true')}, 2) as cost from s2"""))
+  {oracle.cents(oracle.order_cost('entry_price', 'false') + ' + ' + oracle.order_cost('exit_price', 'true'))} as cost from s2"""))
 def p15_p16_p17_costs_and_sizes(spark, sf):
     c = F.col
     cost = ex.Costs().round_trip(c("close"), c("high"), F.lit(100), F.lit("LONG"))
