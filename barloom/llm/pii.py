@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
+PIECE = 4 << 20
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base: addresses with a scheme, and account numbers after a cue.
 KINDS = (*BASE_KINDS, "address", "account")
@@ -147,7 +150,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for batch in batches:
+        for batch in pieces(batches, "text", PIECE):
             found = [find(t, anchors) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), span_array(found)], ["doc_id", "spans"])
 
@@ -160,7 +163,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for batch in batches:
+        for batch in pieces(batches, text_col, PIECE):
             i = batch.schema.get_field_index(text_col)
             texts = [redact(t, find(t, anchors)) if t else t for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, type=batch.schema.field(i).type))

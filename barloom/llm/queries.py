@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from . import byte_bpe, decontamination, licences, minhash, oracle, pii, ranking, repetition, secret_scan, substring_dedup, toxicity
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by the task's Python at once.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by the task's Python at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """The session sends at most BATCH_BYTES, or one row, in an Arrow batch.
+
+    This is configuration of the application that runs these queries.  The
+    operators set nothing: without it they get Spark's own bound (64 MB).
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus; from then on the session sends at most BATCH_ROWS rows in an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the corpus, read with bounded_batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,9 @@ Every document becomes a short vector of measures of its whole text.  From a
 bounded sample of labelled documents, preference pairs (a good one over a bad
 one) are drawn, and weights are learned by logistic loss on the differences of
 their vectors.  A document's strength is the weighted sum; the cut is a
-quantile of the sample's strengths, and scores are scaled so that it is 0.3.
+quantile of the strengths of labelled documents that drew no pairs (fold 1),
+that which tells their labels apart best, and scores are scaled so that it is
+0.3.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from .common import LINE, NON_BLANK, Spans, byte_table, covered, flat, gram_hash
 from .labelled import SAMPLE, fold, training_sample
 
 CUT = 0.3
-#: Pairs for each document of the rarer class, and in total.
+#: Pairs drawn for each document of the rarer class, and in total at most; both are parameters of the fit.
 PAIRS_EACH, PAIRS = 24, 100_000
+#: Fold whose labelled documents choose the cut instead of drawing pairs.
+CUT_FOLD = 1
 PIECE = 2 << 20
 
 SHARES = ["symbols", "bars", "capitals", "shouts", "stutter", "same_lines", "same_grams3", "same_grams5", "digits"]
@@ -86,24 +90,21 @@ class Ranking:
     weights: np.ndarray
     cut: float
     slope: float
+    #: The share of the strengths below the cut.
+    quantile: float = float("nan")
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (x @ self.weights - self.cut) + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, seed: int = 7) -> Ranking:
-    """Bradley-Terry weights by Newton steps on the logistic loss of feature differences.
-
-    Without both classes there are no pairs: all weights are 0 and every score
-    is on the side of the only class.
-    """
+def pair_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, seed: int = 7, pairs_each: int = PAIRS_EACH, most_pairs: int = PAIRS) -> np.ndarray:
+    """Bradley-Terry weights by Newton steps on the logistic loss of feature differences; 0 without both classes."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return Ranking(np.zeros(x.shape[1]), -1.0 if len(good) or not len(bad) else 1.0, 1.0)
+        return np.zeros(x.shape[1])
     rng = np.random.default_rng(seed)
-    rarer = max(1, min(len(good), len(bad)))
-    pairs = min(PAIRS, rarer * PAIRS_EACH)
+    pairs = min(most_pairs, min(len(good), len(bad)) * pairs_each)
     difference = x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)]
     scale = np.maximum(x.std(axis=0), 1e-6)
     difference = difference / scale
@@ -116,23 +117,40 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, seed: int = 7) -
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    w /= scale
-    strength = x @ w
-    # the cut: the quantile of the strengths, midway between two, that tells the labels apart best
+    return w / scale
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray, chooses: np.ndarray | None = None, **options) -> Ranking:
+    """The ranking of rows x with labels y; rows of `chooses` choose the cut, the others draw the pairs.
+
+    Without both classes there are no pairs: all weights are 0 and every score
+    is on the side of the only class.  Where one of the two parts lacks a
+    class, all rows serve for both.
+    """
+    if not len(y) or y.min() == y.max():
+        return Ranking(np.zeros(x.shape[1]), -1.0 if not len(y) or y[0] == 1 else 1.0, 1.0)
+    chooses = np.zeros(len(y), dtype=bool) if chooses is None else chooses
+    if any(len(set(y[part].tolist())) < 2 for part in (chooses, ~chooses)):
+        w, own, label = pair_weights(x, y, **options), x, y
+    else:
+        w, own, label = pair_weights(x[~chooses], y[~chooses], **options), x[chooses], y[chooses]
+    strength = own @ w
+    # the quantile, midway between two strengths, that tells the labels apart best
     order = np.argsort(strength, kind="stable")
-    ranked, s = y[order], strength[order]
+    ranked, s = label[order], strength[order]
     right = np.concatenate(([0], np.cumsum(ranked == 0))) + (ranked == 1).sum() - np.concatenate(([0], np.cumsum(ranked == 1)))
     edges = np.concatenate(([s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]))
     free = np.concatenate(([True], s[1:] > s[:-1], [True]))
-    best = int(np.flatnonzero(free & (right == right[free].max()))[-1])
+    best = np.flatnonzero(free & (right == right[free].max()))
+    best = int(best[len(best) // 2])
     cut = float(edges[best])
     # the slope of a logistic curve through the cut
     spread, slope = strength - cut, 1.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(slope * spread + np.log(CUT / (1 - CUT)), -40, 40)))
-        g, h = float(((y - p) * spread).sum()), float((p * (1 - p) * spread**2).sum()) + 1e-6
+        g, h = float(((label - p) * spread).sum()), float((p * (1 - p) * spread**2).sum()) + 1e-6
         slope = float(np.clip(slope + np.clip(g / h, -0.5, 0.5), 0.05, 20))
-    return Ranking(w, cut, slope)
+    return Ranking(w, cut, slope, best / len(s))
 
 
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -150,24 +168,36 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return kept.mapInArrow(measure, f"doc_id long, {extra}features array<double>")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE) -> Ranking:
-    """The ranking learned from at most `limit` labelled documents outside the held-out fold."""
-    sample = quality_features(training_sample(docs, labels, label, limit=limit), keep=("label",)).orderBy("doc_id").toArrow()
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE, **options) -> Ranking:
+    """The ranking learned from at most `limit` labelled documents outside the held-out fold; options go to pair_weights."""
+    sample = quality_features(training_sample(docs, labels, label, limit=limit), keep=("label",)).withColumn("fold", fold("doc_id")).orderBy("doc_id").toArrow()
     if not sample.num_rows:
         return fit_pairs(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.array(sample.column("features").combine_chunks().flatten()).reshape(-1, len(FEATURES))
-    return fit_pairs(x, np.array(sample.column("label")))
+    return fit_pairs(x, np.array(sample.column("label")), np.array(sample.column("fold")) == CUT_FOLD, **options)
+
 
+def score_quality(docs: DataFrame, model: Ranking, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs, all columns, with the score of every row in score_col; a null text counts as empty.
 
-def score_quality(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
-    """docs, all columns but one named score, with the score of every row; a null text counts as empty."""
+    A column that is already named so is an error, not overwritten.
+    """
+    if score_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {score_col}")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, PIECE):
-            yield batch.append_column("score", pa.array(model.score(features(batch.column(text_col)))))
+            yield batch.append_column(score_col, pa.array(model.score(features(batch.column(text_col)))))
+
+    return docs.mapInArrow(score, docs.withColumn(score_col, F.lit(0.0)).schema)
+
 
-    out = docs.drop("score") if text_col != "score" else docs
-    return out.mapInArrow(score, out.withColumn("score", F.lit(0.0)).schema)
+def keep_quality(docs: DataFrame, model: Ranking, text_col: str = "text", least: float = CUT) -> DataFrame:
+    """docs, all columns as they are, without the rows of a lower score."""
+    name = "quality_score"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return score_quality(docs, model, text_col, name).where(F.col(name) >= least).drop(name)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pii import SPAN_SQL, span_array
+from .common import pieces
+from .pii import PIECE, SPAN_SQL, span_array
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Added kinds: prefixed tokens with a CRC-32 in their last six base-62 digits, signed JSON tokens, private key blocks.
@@ -117,7 +118,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keywords = automaton()
-        for batch in batches:
+        for batch in pieces(batches, "text", PIECE):
             found = [find(t, keywords) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), span_array(found)], ["doc_id", "spans"])
 

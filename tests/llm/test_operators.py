@@ -424,7 +424,7 @@ def test_classifiers_rank_and_are_calibrated(spark, name, label, least, error, c
 
 def test_classifiers_without_labels(spark, frame):
     none = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    scored = ranking.score_quality(frame, ranking.fit_quality(frame, none))
+    scored = ranking.score_quality(frame, ranking.fit_quality(frame, none), score_col="quality")
     assert scored.count() == frame.count()
     found = toxicity.score_toxicity(frame, toxicity.fit_toxicity(frame, none)).collect()
     assert len(found) == frame.count() and all(r.score == 0.5 for r in found)
@@ -438,7 +438,7 @@ def test_empty_tables(spark):
     for df in (
         substring_dedup.deduplicate_substrings(empty), licences.scan_licences(empty), decontamination.find_contamination(empty, bench), pii.scan_pii(empty),
         secret_scan.scan_secrets(empty), minhash.near_duplicates(empty), byte_bpe.decode(byte_bpe.encode(empty, path, pattern), path), repetition.quality_rules(empty),
-        ranking.score_quality(empty, ranking.fit_quality(empty, labels)), toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels)),
+        ranking.score_quality(empty, ranking.fit_quality(empty, labels), score_col="quality"), toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels)),
     ):
         assert df.count() == 0
 
