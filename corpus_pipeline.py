@@ -19,16 +19,12 @@ from barloom.llm.shared import keep
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = ranking.fit_quality(docs, queries.table(spark, sf_dir, "labels"))
-    return ranking.score_quality(docs, model).where(F.col("score") >= ranking.CUT).select(docs.columns)
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", queries.BATCH_ROWS)
+    return ranking.keep_quality(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id.  Shingles have five words; similarity is 0.8 or more."""
-    small_batches(spark)
+    queries.bounded_batches(spark)
     gone = minhash.near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -40,13 +36,13 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and n_chars counted again."""
-    small_batches(spark)
+    queries.bounded_batches(spark)
     return pii.redact_pii(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), and the digest of the bytes they decode to."""
-    small_batches(spark)
+    queries.bounded_batches(spark)
     vocabulary, pattern = queries.tokenizer()
     coded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, pattern), vocabulary)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
