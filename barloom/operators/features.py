@@ -37,7 +37,37 @@ def daily_features(bars: DataFrame) -> DataFrame:
     base = bars.select("symbol", "date", "open", "high", "low", "close", "volume", *(v.alias(f"close_lag_{n}") for n, v in c.items())).where(F.col("close").isNotNull())
     o, h, l, x = (F.col(k) for k in ("open", "high", "low", "close"))
     lag = lambda n: F.col(f"close_lag_{n}")
+    ret_1d, value = growth(x, lag(1)), x * F.col("volume")
+    # windows first, while rows are narrow: each one copies them, and a long frame is gone over for every row
     base = base.withColumns(
+        {"rn": F.row_number().over(by_date()), "_y": x - F.first("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0))}
+        | {f"_{end}_{n}": f("close").over(last_rows(n)) for end, f in (("low", F.min), ("high", F.max)) for n in (63, 252)}
+    )
+    up, down = F.when(ret_1d >= 0.04, 1).otherwise(0), F.when(ret_1d <= -0.04, 1).otherwise(0)
+    summed = {"range": h - l, "close": x, "volume": F.col("volume"), "value": value, "up": up, "down": down, "y": F.col("_y"), "yy": F.col("_y") * F.col("_y"), "xy": F.col("_y") * F.col("rn")}
+    base = running_sums(base, summed | {"volumes": F.when(F.col("volume").isNotNull(), 1).otherwise(0)})
+    rows = lambda n: F.least(F.col("rn"), F.lit(n))
+    known = lambda n: F.nullif(trailing("volumes", n), F.lit(0))
+    base = base.withColumns(
+        {
+            "atr_14": trailing("range", 14) / rows(14),
+            "atr_20": trailing("range", 20) / rows(20),
+            "ma_7": trailing("close", 7) / rows(7),
+            "ma_65_sma": trailing("close", 65) / rows(65),
+            "vol_20": trailing("volume", 20) / known(20),
+            "dollar_vol_20": trailing("value", 20) / known(20),
+            "breakout_4pct_up_30d": trailing("up", 30, 1),
+            "breakout_4pct_up_90d": trailing("up", 90, 1),
+            "breakdown_4pct_down_90d": trailing("down", 90, 1),
+            "_y65": trailing("y", 65),
+            "_yy65": trailing("yy", 65),
+            "_xy65": trailing("xy", 65),
+        }
+    )
+    base = base.withColumn("r2_65", straightness(rows(65)))
+    base = running_sums(base.drop(*(c for c in base.columns if c.startswith("_sum_")), "_y", "_y65", "_yy65", "_xy65"), {"atr": F.col("atr_20")})
+    base = base.withColumn("_atr_before", trailing("atr", 50, 1) / F.least(F.col("rn") - 1, F.lit(49)))
+    return base.withColumns(
         {f"ret_{n}d": growth(x, lag(n)) for n in (1, 2, 5, 10, 20, 63, 252)}
         | {
             "true_range": h - l,
@@ -48,38 +78,44 @@ def daily_features(bars: DataFrame) -> DataFrame:
             "gap_low_vs_prev_close": gap(l, lag(1)),
             **candle_shape(o, h, l, x),
             "true_range3": true_range3(h, l, lag(1)),
-            "dollar_vol": x * F.col("volume"),
-        }
-        | {f"ma_{n}": lag(n) for n in (20, 50, 65, 200)}
-    )
-    base = base.withColumns(
-        {
-            "atr_14": F.avg("true_range").over(last_rows(14)),
-            "atr_20": F.avg("true_range").over(last_rows(20)),
-            "ma_7": F.avg("close").over(last_rows(7)),
-            "ma_65_sma": F.avg("close").over(last_rows(65)),
-            "vol_20": F.avg("volume").over(last_rows(20)),
-            "dollar_vol_20": F.avg("dollar_vol").over(last_rows(20)),
-            "rn": F.row_number().over(by_date()),
-        }
-        | {f"_low_{n}": F.min("close").over(last_rows(n)) for n in (63, 252)}
-        | {f"_high_{n}": F.max("close").over(last_rows(n)) for n in (63, 252)}
-    )
-    base = base.withColumn("_atr_before", F.avg("atr_20").over(last_rows(50, 1)))
-    up, down = F.when(F.col("ret_1d") >= 0.04, 1).otherwise(0), F.when(F.col("ret_1d") <= -0.04, 1).otherwise(0)
-    return base.withColumns(
-        {
-            "rs_252": F.col("ret_252d"),
+            "dollar_vol": value,
+            "rs_252": growth(x, lag(252)),
             "range_percentile_63": position_in_range(63),
             "range_percentile_252": position_in_range(252),
-            "breakout_4pct_up_30d": F.sum(up).over(last_rows(30, 1)),
-            "breakout_4pct_up_90d": F.sum(up).over(last_rows(90, 1)),
-            "breakdown_4pct_down_90d": F.sum(down).over(last_rows(90, 1)),
-            "r2_65": F.regr_r2("close", "rn").over(last_rows(65)),
             "atr_compress_ratio": ratio(F.col("atr_20"), F.col("_atr_before")),
             "vol_dryup_ratio": ratio(F.col("volume"), F.col("vol_20")),
         }
-    ).drop("_low_63", "_high_63", "_low_252", "_high_252", "_atr_before")
+        | {f"ma_{n}": lag(n) for n in (20, 50, 65, 200)}
+    ).drop("_low_63", "_high_63", "_low_252", "_high_252", "_atr_before", "_sum_atr")
+
+
+def running_sums(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with _sum_name for each: the sum of all rows of the symbol so far, null values being none.
+
+    A window's sum is the difference of two of them, whatever its length; a
+    sliding frame would be added up again for every row.  Sums of whole numbers
+    stay exact; those of fractions lose what the last bits of the longer sum do.
+    """
+    run = by_date().rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({f"_sum_{n}": F.coalesce(F.sum(c).over(run), F.lit(0)) for n, c in columns.items()})
+
+
+def trailing(name: str, n: int, skip: int = 0) -> Column:
+    """The sum over the frame last_rows(n, skip); NULL where it has no row."""
+    upto = F.lag(f"_sum_{name}", skip).over(by_date()) if skip else F.col(f"_sum_{name}")
+    return upto - F.coalesce(F.lag(f"_sum_{name}", n).over(by_date()), F.lit(0))
+
+
+def straightness(n: Column) -> Column:
+    """R squared of the closes of the last n rows against their numbers 0 to n - 1; 1 if they are all equal, NULL for one row."""
+    y, yy = F.col("_y65"), F.col("_yy65")
+    xy = F.col("_xy65") - (F.col("rn") - n + 1) * y
+    x, xx = n * (n - 1) / 2, (n - 1) * n * (n * 2 - 1) / 6
+    spread = n * yy - y * y
+    # what rounding may leave of equal closes
+    flat = spread <= F.col("_sum_yy") * n * 4e-16
+    together = n * xy - x * y
+    return F.when(n > 1, F.when(flat, 1.0).otherwise(together * together / ((n * xx - x * x) * spread)))
 
 
 #: Names of the compatibility view and the feature columns behind them.

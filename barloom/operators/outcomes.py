@@ -260,3 +260,57 @@ def economics(trades: DataFrame, notional: float = 100_000.0, costs: Costs = Cos
         }
     )
     return t.drop("_bad")
+
+
+def follow_positions(positions: DataFrame, bars: DataFrame, activation: float = 0.08, trail: float = 0.02, tighten_after: int = 3, partial_pct: float | None = None, partial_carry: float = 0.05) -> DataFrame:
+    """Positions (symbol, direction, entry_time, entry_price, stop), at most one a symbol, followed over the bars after their entry.
+
+    Checks of a bar in order: on the first bar of a session from the
+    tighten_after-th on the stop moves to the worst price of the session
+    before; on a carried session's first bar an open through the stop exits
+    there; on the entry day a far enough move takes a part off, once, and
+    sets the stop below its price; a price through the stop exits at it;
+    otherwise the stop trails the bar's best price once that is far enough.
+
+    Per position: partial_time and partial_price, exit_time, exit_price and
+    exit_reason, and the stop at the end.  All are running maxima over
+    mirrored prices, one run before the partial exit and one after it.
+    """
+    c = F.col
+    p = positions.select("symbol", "direction", "entry_time", "entry_price", F.col("stop").alias("initial_stop"))
+    b = bars.join(p, "symbol").where(c("candle_time") > c("entry_time"))
+    short = c("direction") == "SHORT"
+    sign = F.when(short, -1.0).otherwise(1.0)
+    b = b.withColumns({"best": F.when(short, -c("low")).otherwise(c("high")), "worst": F.when(short, -c("high")).otherwise(c("low")), "at_open": c("open") * sign, "entry": c("entry_price") * sign, "stop0": c("initial_stop") * sign, "day": F.to_date("candle_time")})
+    order = Window.partitionBy("symbol").orderBy("candle_time")
+    whole = Window.partitionBy("symbol")
+    b = b.withColumns({"first_bar": ~F.lag("day").over(order).eqNullSafe(c("day")), "entry_day": c("day") == F.to_date("entry_time")})
+    b = b.withColumn("session", F.sum((c("first_bar") & ~c("entry_day")).cast("int")).over(order))
+    of_day = Window.partitionBy("symbol", "day")
+    b = b.withColumn("day_worst", F.min("worst").over(of_day)).withColumn("prior_worst", F.when(c("first_bar"), F.lag("day_worst").over(order)))
+    far = lambda share: c("entry") + F.abs("entry") * share
+    reached = (c("entry_day") & (c("best") >= far(partial_pct))) if partial_pct else F.lit(False)
+    taken_price = F.greatest("at_open", far(partial_pct or 0.0))
+    b = b.withColumns({"taken": F.min(F.when(reached, c("candle_time"))).over(whole), "taken_price": taken_price})
+    b = b.withColumn("taken_at", F.max(F.when(c("candle_time") == c("taken"), c("taken_price"))).over(whole))
+    # 0 before the partial exit, 1 on its bar, 2 after it
+    b = b.withColumn("phase", F.when(c("taken").isNull() | (c("candle_time") < c("taken")), 0).when(c("candle_time") == c("taken"), 1).otherwise(2))
+    base = F.when(c("phase") == 2, c("taken_at") - F.abs("taken_at") * partial_carry).otherwise(c("stop0"))
+    run = Window.partitionBy("symbol", "phase").orderBy("candle_time")
+    trailed = F.when((c("best") >= far(activation)) & (c("phase") != 1), c("best") - F.abs("best") * trail)
+    tightened = F.when(c("session") >= tighten_after, c("prior_worst"))
+    so_far_, earlier = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumns({"base": base, "trailed": trailed, "tightened": tightened})
+    b = b.withColumn("stop", F.greatest("base", F.max("trailed").over(earlier), F.max("tightened").over(so_far_)))
+    b = b.withColumn("stop_after", F.greatest("stop", "trailed", F.when(c("phase") == 1, c("taken_at") - F.abs("taken_at") * partial_carry)))
+    gap = c("first_bar") & ~c("entry_day") & (c("at_open") <= c("stop"))
+    near = F.abs(c("stop") - c("entry")) <= F.abs("entry") * 1e-5 + 1e-8
+    why = F.when(gap, "GAP_THROUGH_STOP").when(near, "STOP_BREAKEVEN").when(c("stop") > c("entry"), "STOP_TRAIL").otherwise("STOP_INITIAL")
+    out_now = F.when((c("phase") != 1) & (gap | (c("worst") <= c("stop"))), c("candle_time"))
+    row = F.struct(c("candle_time").alias("exit_time"), (F.when(gap, c("at_open")).otherwise(c("stop")) * sign).alias("exit_price"), why.alias("exit_reason"), (c("stop") * sign).alias("stop"))
+    found = b.groupBy("symbol").agg(F.min_by(row, out_now).alias("x"), F.first("taken").alias("taken"), (F.first("taken_at") * F.first(sign)).alias("taken_at"), F.max_by(F.when(c("phase") == 1, c("taken_at") - F.abs("taken_at") * partial_carry).otherwise(c("stop_after")) * sign, "candle_time").alias("last_stop"))
+    took = c("taken").isNotNull() & (c("x").isNull() | (c("taken") < c("x.exit_time")))
+    return positions.join(found, "symbol", "left").select(
+        *positions.columns, F.when(took, c("taken")).alias("partial_time"), F.when(took, c("taken_at")).alias("partial_price"), c("x.exit_time").alias("exit_time"), c("x.exit_price").alias("exit_price"), c("x.exit_reason").alias("exit_reason"),
+        F.coalesce(c("x.stop"), c("last_stop"), c("stop")).alias("final_stop"),
+    )

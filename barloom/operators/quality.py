@@ -148,6 +148,23 @@ def validate_rows(rows: DataFrame, min_price: float = 0.01, max_price: float = 1
     return out.withColumns({"passed": c("n_errors") == 0, "score": F.greatest(F.lit(0.0), F.lit(1.0) - (c("n_errors") * 1.0 + c("n_warnings") * 0.25) / c("n_rows"))})
 
 
+#: Issues of validate_rows that are errors; the others are warnings.
+ROW_ERRORS = ("missing_ohlc", "price_low", "price_high", "ohlc_order", "negative_volume", "duplicate")
+ROW_WARNINGS = ("zero_volume", "huge_volume", "date_gap", "extreme_return", "volume_spike")
+
+
+def quality_summary(validated: DataFrame) -> DataFrame:
+    """One row over the symbols of validate_rows: passed and failed, pass rate, mean and median score, issues by severity and by type."""
+    one = validated.agg(
+        F.count("*").alias("total_symbols"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.avg(F.col("passed").cast("int")).alias("pass_rate"),
+        F.avg("score").alias("avg_score"), F.median("score").alias("median_score"), F.coalesce(F.sum(F.col("n_errors") + F.col("n_warnings")), F.lit(0)).alias("total_issues"),
+        F.coalesce(F.sum("n_errors"), F.lit(0)).alias("errors"), F.coalesce(F.sum("n_warnings"), F.lit(0)).alias("warnings"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*ROW_ERRORS, *ROW_WARNINGS)),
+    )
+    breakdown = [F.struct(F.lit(f"{c}:{level}").alias("issue"), F.col(c).alias("n")) for names, level in ((ROW_ERRORS, "error"), (ROW_WARNINGS, "warning")) for c in names]
+    return one.withColumn("issue_breakdown", F.filter(F.array(*breakdown), lambda x: x["n"] > 0)).drop(*ROW_ERRORS, *ROW_WARNINGS)
+
+
 def monitor(daily: DataFrame, date, universe: int = 500, move: float = 0.20, volume_times: float = 10.0) -> DataFrame:
     """Checks of one date against the days before: rows, missing prices, bad ranges, large moves, volume spikes, coverage of symbols."""
     day = F.lit(date).cast("date")

@@ -7,6 +7,8 @@ plan over DataFrames, and nothing here loops over symbols or files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,17 +123,33 @@ def number(text: Column) -> Column:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """Daily or minute bars from delimited files with a header line.
-
-    The delimiter is the commonest of , tab ; | in the first line of the
-    files.  Symbols come from a column or else from the file name.  Offsets at
-    the end of a time are dropped: bar times are those of the exchange.
-    Values that are no numbers or dates become NULL; rows without a date go.
+    """Daily or minute bars from delimited files with a header line each.
+
+    Unless one is given, a file's delimiter is the commonest of , tab ; | in
+    its first line.  Files may have headers of their own: those with the same
+    first line are read together.  Symbols come from a column or else from the
+    file name.  Offsets at the end of a time are dropped: bar times are those
+    of the exchange.  Values that are no numbers or dates become NULL; rows
+    without a date go.
     """
-    if delimiter is None:
-        head = spark.read.text(path).limit(1).first()
-        delimiter = max(",\t;|", key=head[0].count) if head else ","
-    raw = normal_names(spark.read.options(header=True, sep=delimiter).csv(path))
+    # one short row a file; Spark's listing holds the files on the driver as well
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head")).collect()
+    kinds: dict[str, list[str]] = {}
+    for row in sorted(heads):
+        kinds.setdefault(row.head, []).append(row.file)
+    parts = [_delimited(spark, files, delimiter or max(",\t;|", key=head.count)) for head, files in sorted(kinds.items())]
+    if not parts:
+        fields = "symbol string, date date, candle_time timestamp_ntz, " + ", ".join(f"{c} double" for c in PRICES) + ", volume long"
+        return spark.createDataFrame([], fields)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _delimited(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
+    raw = normal_names(spark.read.options(header=True, sep=delimiter).csv(files))
     symbol = F.col("symbol") if "symbol" in raw.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
     stamp = F.col("timestamp") if "timestamp" in raw.columns else F.col("date")
     text = F.regexp_replace(F.trim(stamp), r"([ T]?\d{2}:\d{2}(?::\d{2})?)(?:[+-]\d{2}:?\d{2}|Z)$", "$1")
@@ -198,16 +216,23 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_bars(spark: SparkSession, path: str, new: DataFrame, keys: list[str], mode: str = "append") -> None:
-    """Merge bars into a store partitioned by year; only the years that new touches are rewritten."""
+    """Merge bars into a store partitioned by year; only the years that new touches are rewritten.
+
+    The merged years are written beside the store first and moved in from
+    there, so nothing is overwritten that is still to be read: a job lost on
+    the way leaves the store, or the merged years, whole.
+    """
     new = new.withColumn("year", F.year("date"))
+    beside = f"{path.rstrip('/')}-merging-{uuid.uuid4().hex}"
     if mode == "append":
         stored = read_bars(spark, path, T.StructType([*[f for f in new.schema if f.name != "year"], T.StructField("year", T.IntegerType())]))
         touched = stored.join(new.select("year").distinct(), "year", "left_semi")
-        new = merge(touched, new, keys)
-        # read before the same folders are written
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
-        new.count()
+        merge(touched, new, keys).write.parquet(beside)
+        new = spark.read.schema(new.schema).parquet(beside)
     new.repartition("year").sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year").parquet(path)
+    if mode == "append":
+        folder = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def fetch_windows(requests: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,9 +19,17 @@ from ..sources.bars import last_wins
 
 
 def ticks_from_events(events: DataFrame) -> DataFrame:
-    """Ticks of the events table; the counter is the running number of events of a symbol."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("last_price"), F.count("*").over(order).alias("volume"))
+    """Ticks of the events table; the counter is the running number of events of a symbol.
+
+    Events are numbered within a symbol's day, and the days before are added
+    as one number: a symbol's whole history is never sorted in one task.
+    """
+    e = events.select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("last_price"), F.to_date("ts").alias("_day"))
+    before = e.groupBy("symbol", "_day").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    before = before.select("symbol", "_day", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("symbol", "_day").orderBy("ts", "event_id"))
+    return e.withColumn("_place", place).join(before, ["symbol", "_day"]).select("symbol", "ts", "last_price", (F.col("_before") + F.col("_place")).alias("volume"))
 
 
 def bars(ticks: DataFrame, minutes: int = 5, delay: str | None = "10 minutes") -> DataFrame:
@@ -39,9 +48,18 @@ def bars(ticks: DataFrame, minutes: int = 5, delay: str | None = "10 minutes") -
 
 
 def volume_deltas(ticks: DataFrame) -> DataFrame:
-    """Batch: what each tick adds to its symbol's counter; never less than 0, and 0 for the first tick."""
-    rise = F.col("volume") - F.lag("volume").over(Window.partitionBy("symbol").orderBy("ts", "volume"))
-    return ticks.withColumn("delta", F.greatest(F.coalesce(rise, F.lit(0)), F.lit(0)))
+    """Batch: what each tick adds to its symbol's counter; never less than 0, and 0 for the first tick.
+
+    Ticks are compared within a symbol's day, and the first of a day with the
+    last counter of the day before.
+    """
+    t = ticks.withColumn("_day", F.to_date("ts"))
+    last = t.groupBy("symbol", "_day").agg(F.max_by("volume", F.struct("ts", "volume")).alias("_last"))
+    last = last.select("symbol", "_day", F.lag("_last").over(Window.partitionBy("symbol").orderBy("_day")).alias("_yesterday"))
+    before = F.lag("volume").over(Window.partitionBy("symbol", "_day").orderBy("ts", "volume"))
+    rise = F.col("volume") - F.coalesce(F.col("_before"), F.col("_yesterday"))
+    out = t.withColumn("_before", before).join(last, ["symbol", "_day"])
+    return out.select(*ticks.columns, F.greatest(F.coalesce(rise, F.lit(0)), F.lit(0)).alias("delta"))
 
 
 def stream_volume_deltas(ticks: DataFrame) -> DataFrame:
@@ -77,14 +95,11 @@ def entry_alerts(bars_: DataFrame, watch: DataFrame, start_minute: int = 0, cuto
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         low, given = state.get if state.exists else (float("inf"), False)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("bar_start").itertuples():
-            low = min(low, row.low)
-            if not given and row.minute >= start_minute and row.high >= row.trigger_price:
-                given = True
-                out.append((row.symbol, row.day, row.bar_start, max(row.open, row.trigger_price), low))
-        state.update((float(low), bool(given)))
-        yield pd.DataFrame(out, columns=["symbol", "day", "bar_start", "entry_price", "stop"])
+        rows = pd.concat(list(frames)).sort_values("bar_start")
+        rows["stop"] = rows["low"].cummin().clip(upper=low)
+        hit = rows[(rows["minute"] >= start_minute) & (rows["high"] >= rows["trigger_price"])][: 0 if given else 1]
+        state.update((float(rows["stop"].iloc[-1]), bool(given or len(hit))))
+        yield hit.assign(entry_price=hit[["open", "trigger_price"]].max(axis=1))[["symbol", "day", "bar_start", "entry_price", "stop"]]
 
     return b.groupBy("symbol", "day").applyInPandasWithState(step, "symbol string, day date, bar_start timestamp, entry_price double, stop double", "low double, given boolean", "append", GroupStateTimeout.NoTimeout)
 
@@ -110,20 +125,18 @@ def track_stops(bars_: DataFrame, positions: DataFrame, activation: float = 0.08
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stop, best, done = state.get if state.exists else (float("-inf"), float("-inf"), False)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("bar_start").itertuples():
-            if done:
-                break
-            stop = max(stop, row.stop)
-            if row.open <= stop or row.low <= stop:
-                done = True
-                out.append((row.symbol, row.bar_start, row.open if row.open <= stop else stop, "GAP_STOP" if row.open <= stop else "STOP"))
-                break
-            best = max(best, row.high)
-            if best >= row.entry_price * (1 + activation):
-                stop = max(stop, row.entry_price, best * (1 - trail))
-        state.update((float(stop), float(best), bool(done)))
-        yield pd.DataFrame(out, columns=["symbol", "exit_time", "exit_price", "exit_reason"])
+        rows = pd.concat(list(frames)).sort_values("bar_start")
+        # the stop only rises, so what it is before each bar is a running maximum
+        value = {c: rows[c].to_numpy() for c in ("open", "high", "low", "entry_price", "stop")}
+        tops = np.maximum(np.maximum.accumulate(value["high"]), best)
+        moved = np.where(tops >= value["entry_price"] * (1 + activation), np.maximum(value["entry_price"], tops * (1 - trail)), -np.inf)
+        after = np.maximum.accumulate(np.maximum(np.maximum(value["stop"], moved), stop))
+        held = np.maximum(np.concatenate(([stop], after[:-1])), value["stop"])
+        gap = value["open"] <= held
+        hit = np.flatnonzero(gap | (value["low"] <= held))[: 0 if done else 1]
+        state.update((float(after[-1]), float(tops[-1]), bool(done or len(hit))))
+        out = rows.iloc[hit]
+        yield pd.DataFrame({"symbol": out["symbol"], "exit_time": out["bar_start"], "exit_price": np.where(gap[hit], out["open"], held[hit]), "exit_reason": np.where(gap[hit], "GAP_STOP", "STOP")})
 
     return b.groupBy("symbol").applyInPandasWithState(step, "symbol string, exit_time timestamp, exit_price double, exit_reason string", "stop double, best double, done boolean", "append", GroupStateTimeout.NoTimeout)
 
