@@ -437,12 +437,13 @@ def q13_validate_rows(spark, sf):
     return found.select("symbol", "n_rows", *VALID, "n_errors", "n_warnings", "passed", F.round("score", 6).alias("score"))
 
 
+LEVELS = {k: "error" if k in quality.ROW_ERRORS else "warning" for k in VALID}
 SCORE = "greatest(0.0, 1.0 - ((price_low + price_high + ohlc_order) + (date_gap + extreme_return + volume_spike) * 0.25) / n_rows)"
 
 
 @query(sql(DAILY, f"v as (select *, lag(close) over {W} c, lag(date) over {W} d, median(volume) over (partition by symbol) m from daily)", "n as (select symbol, count(*) n_rows, " + ", ".join(f"count(*) filter ({v}) {k}" for k, v in VALID.items()) + " from v group by 1)",
   f"s as (select *, price_low + price_high + ohlc_order e, date_gap + extreme_return + volume_spike w, {SCORE} score from n)",
-  select="select count(*) total_symbols, count(*) filter (e = 0) passed, count(*) filter (e > 0) failed, avg(cast(e = 0 as int)) pass_rate, round(avg(score), 6) avg_score, round(median(score), 6) median_score, cast(sum(e + w) as bigint) total_issues, cast(sum(e) as bigint) errors, cast(sum(w) as bigint) warnings, array_to_string(list_filter([case when sum(date_gap) > 0 then 'date_gap:warning=' || cast(sum(date_gap) as bigint) end, case when sum(extreme_return) > 0 then 'extreme_return:warning=' || cast(sum(extreme_return) as bigint) end, case when sum(volume_spike) > 0 then 'volume_spike:warning=' || cast(sum(volume_spike) as bigint) end], lambda x: x is not null), ',') issues from s"))
+  select="select count(*) total_symbols, count(*) filter (e = 0) passed, count(*) filter (e > 0) failed, avg(cast(e = 0 as int)) pass_rate, round(avg(score), 6) avg_score, round(median(score), 6) median_score, cast(sum(e + w) as bigint) total_issues, cast(sum(e) as bigint) errors, cast(sum(w) as bigint) warnings, array_to_string(list_filter([" + ", ".join(f"case when sum({k}) > 0 then '{k}:{level}=' || cast(sum({k}) as bigint) end" for k, level in LEVELS.items()) + "], lambda x: x is not null), ',') issues from s"))
 def a20_quality_summary(spark, sf):
     found = quality.quality_summary(quality.validate_rows(daily(spark, sf)))
     listed = F.array_join(F.transform("issue_breakdown", lambda x: F.concat_ws("=", x["issue"], x["n"])), ",")
