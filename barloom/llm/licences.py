@@ -39,6 +39,21 @@ SENTENCES = {
     "ccbync4-ref": "Licensed under CC BY-NC 4.0",
     "ccby4-ref": "Licensed under CC BY 4.0",
     "reserved": "All rights reserved",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-ref": "Distributed under the Boost Software License, Version 1.0",
+    "ccbysa4-ref": "Licensed under CC BY-SA 4.0",
+    "ccby4-long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "ccbysa4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc0-ref": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
 }
 
 #: Other published wordings of sentences.
@@ -49,13 +64,23 @@ VARIANTS = {
 #: Licence rules in the order of the report; each is an ordered sequence of sentence identifiers.
 RULES = {
     "MIT": [["mit-ref"], ["mit-grant", "mit-notice", "as-is"]],
-    "Apache-2.0": [["apache-ref"], ["apache-ref", "apache-comply", "apache-copy"]],
+    "Apache-2.0": [["apache-ref"], ["apache-comply", "apache-copy"]],
     "GPL-3.0": [["gpl3-ref"], ["gpl-free", "gpl-hope"]],
     "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]],
     "BSD-2-Clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
     "CC-BY-NC-4.0": [["ccbync4-ref"]],
-    "CC-BY-4.0": [["ccby4-ref"]],
+    "CC-BY-4.0": [["ccby4-ref"], ["ccby4-long"]],
     "proprietary": [["reserved"]],
+    "GPL-2.0": [["gpl2-free", "gpl-hope"]],
+    "LGPL-3.0": [["lgpl3-free"]],
+    "AGPL-3.0": [["agpl3-free", "gpl-hope"]],
+    "ISC": [["isc-grant", "isc-as-is"]],
+    "MPL-2.0": [["mpl2-form"]],
+    "Unlicense": [["unlicense-domain", "unlicense-anyone"]],
+    "Zlib": [["zlib-as-is", "zlib-grant"]],
+    "BSL-1.0": [["boost-ref"]],
+    "CC-BY-SA-4.0": [["ccbysa4-ref"], ["ccbysa4-long"]],
+    "CC0-1.0": [["cc0-ref"]],
 }
 
 SEPARATOR = "\u0001"

@@ -242,6 +242,19 @@ def test_licences_as_published(spark):
         assert licences.scan_licences(rows(spark, [(1, text)])).first().sentence_ids == []
 
 
+def test_every_known_sentence_and_rule_is_reached(spark):
+    """Each published sentence, wrapped and commented, gives its identifier, and each rule's sentences give its licence."""
+    import textwrap
+
+    wrapped = lambda t: "\n".join("# " + line for line in textwrap.wrap(t, 50)) + ("" if t.endswith(":") else ".")
+    names = list(licences.SENTENCES)
+    found = by_id(licences.scan_licences(rows(spark, [(i, wrapped(licences.SENTENCES[n])) for i, n in enumerate(names)])))
+    assert [found[i][1] for i in range(len(names))] == [[n] for n in names]
+    rules = [(name, sequence) for name, every in licences.RULES.items() for sequence in every]
+    found = by_id(licences.scan_licences(rows(spark, [(i, "\n\n".join(wrapped(licences.SENTENCES[n]) for n in sequence)) for i, (_, sequence) in enumerate(rules)])))
+    assert all(name in found[i][2] for i, (name, _) in enumerate(rules))
+
+
 def test_repetition(frame, docs):
     found = {r.doc_id: r for r in repetition.quality_rules(frame).collect()}
     expected = {i: brute.repetition(t) for i, t in docs}
