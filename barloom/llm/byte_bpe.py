@@ -5,11 +5,14 @@
     text is the sequence of its numbers: its pre-tokens by position.  Both are
     stored in the shared folder, so later steps read the same rows whatever
     happens to executors.
-2.  The words are exploded with their block and number and shuffled by word.  A
+2.  The words are exploded with their places, block and number, and shuffled by
+    word.  A
     task meets all rows of a word in a row, encodes it once, and gives each row
-    its ids: the join of the ids back to the words.
-3.  Ids and sequences are shuffled by block and sorted by number.  A task holds
-    the ids of one block and puts them in the places of their numbers.
+    its ids: the join of the ids back to the words.  The ids leave a task
+    packed by block.
+3.  The ids are shuffled by block.  The stored texts are in buckets by block, so
+    they stay where they are; a group puts the ids of its block in the places
+    of their numbers.
 
 A hot word is one row a block, not one row an occurrence.
 
@@ -33,15 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat
-from .shared import keep
+from .common import release
+from .shared import keep_by
 
 #: Text bytes of a block; words in one stored row; text bytes from which pre-tokens are not listed at once.
-BLOCK, LISTED, LONG_TEXT = 16 << 20, 1 << 16, 4 << 20
-#: Numbers of texts begin here, after all numbers of words.
-TEXTS = 1 << 40
-#: Texts that a step holds at once.
-SLICE = 64
+BLOCK, LISTED, LONG_TEXT = 16 << 20, 1 << 14, 4 << 20
+#: Texts that are packed together, those that a step holds at once, and words whose ids a task collects before it packs them.
+PACKED, SLICE, COLLECTED = 512, 64, 1 << 19
+#: A place is the name of a block and, in its low bits, a number there; a block's name is a partition and a number there.
+NUMBER_BITS, BLOCK_BITS = 31, 10
 #: Bytes that a vocabulary may have to be broadcast.
 VOCABULARY = 64 << 20
 
@@ -157,23 +160,30 @@ class Block:
     def rows(self, name: int, pack) -> Iterator[pa.RecordBatch]:
         words = [w.encode() for w in self.seen]
         every = np.concatenate([np.zeros(0, dtype=np.uint32), *self.codes])
-        order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+        # frequent words first, equally frequent ones by their bytes: both pack better so
+        place = np.empty(len(words), dtype=np.int64)
+        place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+        order = np.lexsort((place, -np.bincount(every, minlength=len(words))))
         number = np.empty(len(words), dtype=np.uint32)
         number[order] = np.arange(len(words), dtype=np.uint32)
         words = [words[i] for i in order.tolist()]
         lists = [words[i : i + LISTED] for i in range(0, len(words), LISTED)]
-        n, m = len(lists), len(self.ids)
+        n = len(lists)
         yield pa.RecordBatch.from_pydict({
-            "block": pa.array([name] * n, type=pa.int64()), "number": pa.array(range(0, n * LISTED, LISTED), type=pa.int64()), "doc_id": pa.nulls(n, pa.int64()),
-            "codes": pa.nulls(n, pa.binary()), "words": pa.array(lists, type=pa.list_(pa.binary())), "is_text": pa.array([False] * n, type=pa.bool_()),
+            "block": pa.array([name] * n, type=pa.int64()), "first": pa.array(range(0, n * LISTED, LISTED), type=pa.int64()), "words": pa.array(lists, type=pa.list_(pa.binary())),
+            "doc_ids": pa.nulls(n, pa.list_(pa.int64())), "codes": pa.nulls(n, pa.binary()), "is_text": pa.array([False] * n, type=pa.bool_()),
         })
+        # texts are packed together: one by one they are too short for it
+        parts = range(0, len(self.ids), PACKED)
+        m = len(parts)
+        packed = [pack(planes(np.array([len(c) for c in self.codes[i : i + PACKED]])) + planes(number[np.concatenate(self.codes[i : i + PACKED])])) for i in parts]
         yield pa.RecordBatch.from_pydict({
-            "block": pa.array([name] * m, type=pa.int64()), "number": pa.array(range(TEXTS, TEXTS + m), type=pa.int64()), "doc_id": pa.array(self.ids, type=pa.int64()),
-            "codes": pa.array([pack(planes(number[c])) for c in self.codes], type=pa.binary()), "words": pa.nulls(m, pa.list_(pa.binary())), "is_text": pa.array([True] * m, type=pa.bool_()),
+            "block": pa.array([name] * m, type=pa.int64()), "first": pa.array(parts, type=pa.int64()), "words": pa.nulls(m, pa.list_(pa.binary())),
+            "doc_ids": pa.array([self.ids[i : i + PACKED] for i in parts], type=pa.list_(pa.int64())), "codes": pa.array(packed, type=pa.binary()), "is_text": pa.array([True] * m, type=pa.bool_()),
         })
 
 
-BLOCK_SQL = "block long, number long, doc_id long, codes binary, words array<binary>, is_text boolean"
+BLOCK_SQL = "block long, first long, words array<binary>, doc_ids array<long>, codes binary, is_text boolean"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
@@ -181,62 +191,103 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Reco
     import zstandard
 
     split, pack = splitter(pattern), zstandard.ZstdCompressor(level=3).compress
-    block, name = Block(), TaskContext.get().partitionId() << 32
+    block, name = Block(), TaskContext.get().partitionId() << BLOCK_BITS
+    last = name + (1 << BLOCK_BITS) - 1  # takes what is left of a partition of more than 16 GB
     for batch in batches:
         for i in range(0, batch.num_rows, SLICE):
             part = batch.slice(i, SLICE)
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 block.add(doc_id, split(text) if text else (), len(text or ""))
-                if block.bytes >= BLOCK:
+                if block.bytes >= BLOCK and name < last:
                     yield from block.rows(name, pack)
                     block, name = Block(), name + 1
+                    release()
     if block.ids:
         yield from block.rows(name, pack)
+    block = None
+    release()
+
+
+def pack_ids(number: np.ndarray, size: np.ndarray, ids: bytes, pack) -> bytes:
+    """Numbers of words, how many ids each has, and the ids."""
+    order = np.argsort(number)
+    first = np.cumsum(size) - size
+    size = size[order]
+    at = np.arange(int(size.sum())) + np.repeat(first[order] - (np.cumsum(size) - size), size)
+    arrays = [np.diff(number[order], prepend=0), size, np.frombuffer(ids, dtype="<u4")[at]]
+    return pack(len(number).to_bytes(4, "little") + b"".join(planes(x) for x in arrays))
+
+
+def unpack_ids(packed: bytes, unpack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = unpack(packed)
+    n = 4 * int.from_bytes(raw[:4], "little")
+    return np.cumsum(from_planes(raw[4 : 4 + n]).astype(np.int64)), from_planes(raw[4 + n : 4 + 2 * n]).astype(np.int64), from_planes(raw[4 + 2 * n :])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """The ids of each row's word; rows come sorted by word, so each word is encoded once."""
+    """The ids of all words, packed by block; rows come sorted by word, so each word is encoded once."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
     last, last_ids = None, b""
+    held, rows = [], 0
+
+    def packed() -> pa.RecordBatch:
+        block, number, size = (np.concatenate([h[i] for h in held]) for i in range(3))
+        ids = b"".join(h[3] for h in held)
+        ends = np.cumsum(size)
+        order = np.argsort(block, kind="stable")
+        names, first = np.unique(block[order], return_index=True)
+        out, raw = [], np.frombuffer(ids, dtype="<u4")
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+            some = order[a:b]
+            many = size[some]
+            at = np.arange(int(many.sum())) + np.repeat(ends[some] - many - (np.cumsum(many) - many), many)
+            out.append(pack_ids(number[some], many, raw[at].tobytes(), pack))
+        held.clear()
+        return pa.RecordBatch.from_pydict({"block": pa.array(names), "ids": pa.array(out, type=pa.binary())})
+
     for batch in batches:
         coded = pa.compute.dictionary_encode(batch.column("word"))
         words = coded.dictionary.to_pylist()
         ids = [last_ids if w == last else np.array(merge(w, ranks), dtype="<u4").tobytes() for w in words]
         if words:
             last, last_ids = words[-1], ids[-1]
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), pa.array(ids, type=pa.binary()).take(coded.indices)], ["block", "number", "data"])
-
-
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put the ids of a block's words in the places of their numbers; rows come sorted by block and number, words before texts."""
+        each = pa.array(ids, type=pa.large_binary()).take(coded.indices)
+        place = np.array(batch.column("place"))
+        held.append((place >> NUMBER_BITS, place & ((1 << NUMBER_BITS) - 1), pa.compute.binary_length(each).to_numpy() // 4, b"".join(each.to_pylist())))
+        rows += batch.num_rows
+        if rows >= COLLECTED:
+            yield packed()
+            rows = 0
+            release()
+    if held:
+        yield packed()
+    release()
+
+
+def _assemble(texts: pa.Table, coded: pa.Table) -> pa.Table:
+    """Put the ids of a block's words in the places of their numbers."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    now, found, size, first, ids = None, [], None, None, None
-    for batch in batches:
-        block, number = np.array(batch.column("block")), np.array(batch.column("number"))
-        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-        for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
-            if block[a] != now:
-                now, found, size = block[a], [], None
-            texts = a + int(np.searchsorted(number[a:b], TEXTS))
-            if texts > a:
-                data, offsets = flat(batch.column("data").slice(a, texts - a))
-                found.append((data.copy(), np.diff(offsets) // 4))
-            if texts < b and size is None:
-                size = np.concatenate([np.zeros(0, dtype=np.int64), *(s for _, s in found)])
-                first = np.cumsum(size) - size
-                ids = np.concatenate([np.zeros(0, dtype=np.uint8), *(d for d, _ in found)]).view("<u4")
-                found = []
-            for i in range(texts, b, SLICE):
-                out, part = [], batch.slice(i, min(SLICE, b - i))
-                for packed in part.column("data").to_pylist():
-                    codes = from_planes(unpack(packed))
-                    many = size[codes]
-                    at = np.arange(int(many.sum())) + np.repeat(first[codes] - (np.cumsum(many) - many), many)
-                    out.append(ids[at].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in out], type=pa.int64()), pa.array(out, type=pa.binary())], ["doc_id", "n_tokens", "ids"])
+    parts = [unpack_ids(x, unpack) for x in coded.column("ids").to_pylist()]
+    number, many, ids = (np.concatenate([np.zeros(0, dtype=np.int64), *(p[i] for p in parts)]) for i in range(3))
+    size, first = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
+    size[number], first[number] = many, np.cumsum(many) - many
+    ids = ids.astype("<u4")
+    out, doc_ids = [], []
+    for owners, packed in zip(texts.column("doc_ids").to_pylist(), texts.column("codes").to_pylist(), strict=True):
+        raw, n = unpack(packed), 4 * len(owners)
+        lengths, codes = from_planes(raw[:n]), from_planes(raw[n:])
+        count = size[codes]
+        at = np.arange(int(count.sum())) + np.repeat(first[codes] - (np.cumsum(count) - count), count)
+        every = ids[at]
+        ends = np.append(0, np.cumsum(count))[np.cumsum(lengths)].tolist()
+        out += [every[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+        doc_ids += owners
+    release()
+    return pa.table({"doc_id": pa.array(doc_ids, type=pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out], type=pa.int64()), "ids": pa.array(out, type=pa.binary())})
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,13 +300,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = keep(texts.mapInArrow(lambda batches: _blocks(batches, pattern), BLOCK_SQL), "blocks")
-    words = blocks.where(~F.col("is_text")).select("block", F.col("number").alias("first"), F.posexplode("words").alias("place", "word"))
-    words = words.select("word", "block", (F.col("first") + F.col("place")).alias("number"))
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda batches: _encode(batches, sent.value), "block long, number long, data binary")
-    sequences = blocks.where("is_text").select("block", "number", "doc_id", F.col("codes").alias("data"))
-    rows = coded.select("block", "number", F.lit(None).cast("long").alias("doc_id"), "data").union(sequences)
-    return rows.repartition("block").sortWithinPartitions("block", "number").mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+    blocks = keep_by(texts.mapInArrow(lambda batches: _blocks(batches, pattern), BLOCK_SQL), "block", "blocks")
+    words = blocks.where(~F.col("is_text")).select("block", "first", F.posexplode("words").alias("n", "word"))
+    words = words.select("word", (F.shiftleft("block", NUMBER_BITS) + F.col("first") + F.col("n")).alias("place"))
+    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda batches: _encode(batches, sent.value), "block long, ids binary")
+    sequences = blocks.where("is_text").select("block", "doc_ids", "codes")
+    return sequences.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -283,5 +333,6 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
                 part = batch.slice(i, SLICE)
                 out = [b"".join(map(look, np.frombuffer(x, dtype="<u4").tolist())) for x in part.column("ids").fill_null(b"").to_pylist()]
                 yield part.append_column("decoded", pa.array(out, type=pa.binary()))
+            release()
 
     return tokens.mapInArrow(join, tokens.withColumn("decoded", F.lit(b"")).schema)

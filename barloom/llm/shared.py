@@ -33,6 +33,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keep_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """keep(), in buckets by a key: later joins and groups by it need no shuffle of these rows.
+
+    The table's entry in the catalog lives only until the files are known.
+    """
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    out._kept_at = path
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that keep() wrote, once nothing reads it any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
