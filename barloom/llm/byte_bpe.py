@@ -6,10 +6,9 @@
     stored in the shared folder, so later steps read the same rows whatever
     happens to executors.
 2.  The words are exploded with their places, block and number, and shuffled by
-    word.  A
-    task meets all rows of a word in a row, encodes it once, and gives each row
-    its ids: the join of the ids back to the words.  The ids leave a task
-    packed by block.
+    word.  A task meets all rows of a word in a row, encodes it once, and gives
+    each row its ids: the join of the ids back to the words.  The ids leave a
+    task packed by block.
 3.  The ids are shuffled by block.  The stored texts are in buckets by block, so
     they stay where they are; a group puts the ids of its block in the places
     of their numbers.
