@@ -238,7 +238,7 @@ def gap_scan(bars: DataFrame, features: DataFrame, cfg: ScanConfig = ScanConfig(
     rows = with_lags(bars, Params(), None, None)
     rows = join_features(rows, features, "date")
     if delisted is not None:
-        rows = rows.join(F.broadcast(delisted.select("symbol", "delisting_date")), "symbol", "left")
+        rows = rows.join(delisted.select("symbol", "delisting_date"), "symbol", "left")
     else:
         rows = rows.withColumn("delisting_date", F.lit(None).cast("date"))
     rows = rows.where(c("gap_pct") >= cfg.gap)

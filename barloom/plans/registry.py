@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expressions as ex
 from ..operators import candidates, features, outcomes, quality, reconcile, reports
 from ..operators.candidates import Params
 from ..sources import bars as src

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import date
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..operators import candidates, features, outcomes, quality, reconcile, reports
+from ..operators import candidates, features, outcomes, quality, reports
 from ..operators.candidates import Params
 from ..sources import bars as src
 from . import incremental, oracle, research
