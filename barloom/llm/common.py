@@ -245,6 +245,13 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(steps)[:size] > 0
 
 
+def covered_by(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of size positions lie in some [start, end)."""
+    steps = np.bincount(starts, minlength=size + 1)[: size + 1].astype(np.int64)
+    steps -= np.bincount(ends, minlength=size + 1)[: size + 1]
+    return np.cumsum(steps)[:size] > 0
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur at least twice."""
     ordered = np.sort(keys)

@@ -56,3 +56,55 @@ bad as (select distinct doc_id from chars join (values {_NS}) v(n, most) using (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or n_dup_lines > n_lines * {LINE_LIMIT} or dup_chars > word_chars * {LINE_CHAR_LIMIT} or doc_id in (select doc_id from bad)) kept
 from m"""
+
+
+#: crc32 of the id as text, bit by bit: a byte is mixed in, then come eight steps, marked -1.
+CRC = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: case when b >= 0 then xor(c, b) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295::bigint)"""
+
+PERIODIC_RUNS = f"""
+with w as materialized (select doc_id, {WORDS} ws, {CRC} h from documents),
+placed as (select doc_id, ws, len(ws) n, case when h % 10 = 0 and len(ws) > 0 then (h // 10) % len(ws) else len(ws) end a, h // 10 g from w),
+word as materialized (
+  select doc_id, n, i, ws[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end] x
+  from (select *, unnest(generate_series(0, n - 1)) i from placed where n > 0)),
+pair as (select a.doc_id, a.n, b.i - a.i q, a.i from word a join word b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i and b.i - a.i <= a.n // 4),
+island as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) k from pair),
+stretch as (select doc_id, min(i) s, max(i) + q + 1 e, q from island group by doc_id, q, k having max(i) + q + 1 - min(i) >= greatest(6, 4 * q)),
+run as materialized (select doc_id, s, e - s l, min(q) q from stretch group by doc_id, s, e),
+listed as (select doc_id, count(*) n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) t, list(row(s, l, q) order by l / q desc, s, q)[1] best from run group by 1),
+gone as (select distinct doc_id, unnest(generate_series(s + q, s + l - 1)) i from run),
+kept as (select word.doc_id, string_agg(x, ' ' order by word.i) filter (gone.i is null) t from word left join gone using (doc_id, i) group by 1)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) n_runs, cast(best[1] as bigint) "start", cast(best[2] as bigint) length, cast(best[3] as bigint) period, cast(best[2] * 1000 // best[3] as bigint) exponent_milli,
+  sha256(coalesce(listed.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from w left join listed using (doc_id) left join kept using (doc_id)"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """All levels of the trees over nodes (tree, p, n, h), and each node's siblings to the left and right."""
+    frame = "over (partition by k, tree, p // 8 order by p rows between"
+    return f"""
+{name}(k, tree, p, n, h) as (select 0, tree, p, n, h from {nodes} union all select k + 1, tree, p // 8, max((n + 7) // 8), sha256(string_agg(h, '' order by p)) from {name} where n > 1 group by k, tree, p // 8),
+{name}_near as (select k, tree, p, n, h, coalesce(string_agg(h, '') {frame} unbounded preceding and 1 preceding), '') l, coalesce(string_agg(h, '') {frame} 1 following and unbounded following), '') r from {name})"""
+
+
+def _walk(name: str, tree: str, first: str) -> str:
+    """From the nodes of first (doc_id, tree, p) up: siblings so far, and what the digest d folds to."""
+    return f"""
+{name}(doc_id, k, tree, p, sib, d) as ({first} union all
+  select w.doc_id, w.k + 1, w.tree, w.p // 8, w.sib || l || r, sha256(l || w.d || r) from {name} w join {tree}_near t using (k, tree, p) where t.n > 1)"""
+
+
+MERKLE = f"""
+with recursive leaf as materialized (
+  select doc_id, lang, {_leaf("text")} h, case when {CRC} % 3 = 0 then {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} else {_leaf("text")} end t from documents),
+placed as materialized (select *, dense_rank() over (order by lang nulls first) - 1 tree, row_number() over (partition by lang order by doc_id nulls first) - 1 p, count(*) over (partition by lang) n from leaf),{_tree("low", "placed")},
+sub as (select tree, h, tree p, count(*) over () n from low where n = 1),
+subs as (select 0 tree, p, n, h from sub),{_tree("up", "subs")},{_walk("climb", "low", "select doc_id, 0, tree, p, '', t from placed")},
+half as (select c.* from climb c join low using (k, tree, p) where low.n = 1),{_walk("rise", "up", "select doc_id, 0, 0, tree, sib, d from half")},
+done as (select r.doc_id, sib, d, up.h root from rise r join up using (k, tree, p) where up.n = 1)
+select doc_id, placed.h leaf, sub.h subroot, root, sha256(sib) proof_sha256, d folded_root, d = root verified from placed join sub using (tree) join done using (doc_id)"""

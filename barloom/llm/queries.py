@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, licences, minhash, oracle, pii, ranking, repetition, secret_scan, substring_dedup, toxicity
+from . import byte_bpe, decontamination, licences, manifest, minhash, oracle, pieces, pii, ranking, repetition, runs, secret_scan, substring_dedup, toxicity
 
 
 #: Bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by the task's Python at once.
@@ -94,8 +94,30 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.run_digest(runs.periodic_runs(docs.select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest.manifest_digest(manifest.merkle_manifest(docs, manifest.COVERED, others={"tampered": manifest.tampered_leaf(docs)}))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_licence_scan, op3_decontamination, op4_toxicity, op5_pii_scan, op6_secret_scan, op7_quality, op8_near_duplicates, op9_byte_bpe, op10_repetition_rules)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_licence_scan, op3_decontamination, op4_toxicity, op5_pii_scan, op6_secret_scan, op7_quality, op8_near_duplicates, op9_byte_bpe, op10_repetition_rules,
+        op11_periodic_runs, op12_merkle_manifest, op13_sentence_pieces,
+    )
 }
 
 ORACLE: dict[str, str] = {
@@ -104,4 +126,6 @@ ORACLE: dict[str, str] = {
     "op3_decontamination": oracle.CONTAMINATION,
     "op8_near_duplicates": oracle.NEAR_DUPLICATES,
     "op10_repetition_rules": oracle.REPETITION,
+    "op11_periodic_runs": oracle.PERIODIC_RUNS,
+    "op12_merkle_manifest": oracle.MERKLE,
 }

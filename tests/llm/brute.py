@@ -161,3 +161,55 @@ def toxicity(texts, sample, toxic, k=15):
             votes = [(1 / (0.02 + max(1 - c, 0)), t) for c, t in above] + [(part / (0.02 + max(1 - c, 0)), t) for c, t in level]
             out[i] = sum(v for v, t in votes if t) / sum(v for v, _ in votes)
     return out
+
+
+def periodic_runs(words: list) -> list[tuple[int, int, int]]:
+    """Start, length and smallest period of all runs, trying every period from every word."""
+    n, found = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            if i > start and i + q - start >= max(6, 4 * q):
+                found.setdefault((start, i + q), q)
+            i += i == start
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def collapsed(words: list[str], runs: list[tuple[int, int, int]]) -> str:
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def merkle(rows: list[tuple[object, object, list]], arity: int) -> dict:
+    """Per (key, group): a list of (leaf, subroot, root, path), a path being pairs of digests before and after in each run."""
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    text = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def tree(hashes):
+        levels = [hashes]
+        while len(levels[-1]) > 1:
+            x = levels[-1]
+            levels.append([digest("".join(x[i : i + arity])) for i in range(0, len(x), arity)])
+        return levels
+
+    def path(levels, i):
+        out = []
+        for x in levels[:-1]:
+            b = i - i % arity
+            out.append(("".join(x[b:i]), "".join(x[i + 1 : b + arity])))
+            i //= arity
+        return out
+
+    groups, out = {}, {}
+    for key, group, values in rows:
+        groups.setdefault(group, []).append((key is not None, key, digest("".join(map(text, values)))))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: (sorted(groups[g]), tree([h for *_, h in sorted(groups[g])])) for g in order}
+    top = tree([trees[g][1][-1][0] for g in order])
+    for j, g in enumerate(order):
+        for i, (_, key, h) in enumerate(trees[g][0]):
+            out.setdefault((key, g), []).append((h, trees[g][1][-1][0], top[-1][0], path(trees[g][1], i) + path(top, j)))
+    return out
