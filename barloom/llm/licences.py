@@ -102,6 +102,11 @@ def rule_pattern(sequence: list[str]) -> str:
     return "," + ",(?:.*,)?".join(sequence) + ","
 
 
+def in_order(sequence: list[str]) -> str:
+    """The same for a text like ,a,,b,,c, read once from its start: each part takes the first identifier it can and keeps it."""
+    return "^" + "".join(f"(?>.*?,{i},)" for i in sequence)
+
+
 def spellings() -> dict[str, tuple[str, str]]:
     """Identifier and pattern of each normalised known sentence, the longest first."""
     out = {}
@@ -119,23 +124,25 @@ def marked_pieces(text: Column) -> Column:
     return F.concat(F.lit(SEPARATOR), F.trim(out), F.lit(SEPARATOR))
 
 
-def licence_columns(text: Column) -> dict[str, Column]:
+def sentence_columns(marked: Column) -> dict[str, Column]:
+    """The number of pieces of marked_pieces(), and the identifiers of those that are known sentences."""
     known = spellings()
-    marked = marked_pieces(text)
     sentences = F.filter(F.split(marked, r"[\x01\x02]"), lambda s: s != "")
     names = F.create_map(*(F.lit(x) for spelled, (i, _) in known.items() for x in (spelled, i)))
     any_known = r"(?<=[\x01\x02])(?:" + "|".join(pattern for _, pattern in known.values()) + r")(?=[\x01\x02])"
     ids = F.transform(F.regexp_extract_all(marked, F.lit(any_known), F.lit(0)), lambda s: F.element_at(names, F.translate(s, SEPARATOR + LINE_END, "  ")))
-    listed = F.concat(F.lit(","), F.array_join(F.col("sentence_ids"), ","), F.lit(","))
-    found = [F.when(_any(listed, sequences), F.lit(name)) for name, sequences in RULES.items()]
-    return {"n_sentences": F.size(sentences).cast("long"), "sentence_ids": ids, "licences": F.array_compact(F.array(*found))}
+    return {"n_sentences": F.size(sentences).cast("long"), "sentence_ids": ids}
 
 
-def _any(listed: Column, sequences: list[list[str]]) -> Column:
-    out = F.lit(False)
-    for s in sequences:
-        out |= listed.rlike(rule_pattern(s))
-    return out
+def licences_of(listed: Column) -> Column:
+    """Names of the rules of which a sequence is in the identifiers, listed like ,a,,b,,c, in the text's order."""
+    found = []
+    for name, sequences in RULES.items():
+        held = F.lit(False)
+        for sequence in sequences:
+            held |= listed.rlike(in_order(sequence))
+        found.append(F.when(held, F.lit(name)))
+    return F.when(listed == ",,", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*found)))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,12 +151,11 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_sentences counts the pieces, as the SQL does: a wrapped line is one.  A null or empty text has no sentences and no licences.  Rows are scanned
     one by one: ids may be null or repeated, other columns are not read.
     """
-    c = licence_columns(F.col("text"))
-    return (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .select("doc_id", c["n_sentences"].alias("n_sentences"), c["sentence_ids"].alias("sentence_ids"))
-        .withColumn("licences", c["licences"])
-    )
+    # each step reads the one before more than once, so they stay apart in the plan
+    marked = docs.select(F.col(id_col).alias("doc_id"), marked_pieces(F.col(text_col)).alias("_marked"))
+    named = marked.select("doc_id", *(c.alias(n) for n, c in sentence_columns(F.col("_marked")).items()))
+    listed = named.withColumn("_listed", F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(",")))
+    return listed.select("doc_id", "n_sentences", "sentence_ids", licences_of(F.col("_listed")).alias("licences"))
 
 
 def oracle_sql() -> str:

@@ -39,7 +39,8 @@ ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}+")
 CRC = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+")
+PART = re.compile(r"[A-Za-z0-9_-]+")
 KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -52,14 +53,8 @@ def crc_holds(body: str) -> bool:
     return value == zlib.crc32(body[:-6].encode())
 
 
-#: Longest header that is read, in characters; those of signed tokens have a few names and short values.
-HEADER = 4096
-
-
 def header_holds(part: str) -> bool:
-    """Whether the part is a JSON object with an "alg".  Headers beyond HEADER, too deep or malformed ones do not count."""
-    if len(part) > HEADER:
-        return False
+    """Whether the part is a JSON object with an "alg", however long; too deep or malformed ones do not count."""
     try:
         header = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
     except (binascii.Error, ValueError, TypeError, RecursionError):
@@ -98,6 +93,8 @@ def find(text: str, keywords) -> list[tuple[str, int, int]]:
         elif kind == "json_token":
             m = JWT.match(text, p)
             good = m and header_holds(m[1])
+            if not m:  # what follows this run fails the later starts in it too
+                ends[kind] = PART.match(text, p).end()
         else:
             good = m = KEY.match(text, p)
         if m:
