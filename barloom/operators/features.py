@@ -26,47 +26,56 @@ def position_in_range(n: int) -> Column:
     return ratio(F.col("close") - F.col(f"_low_{n}"), F.col(f"_high_{n}") - F.col(f"_low_{n}"))
 
 
+def known(column: str, df: DataFrame) -> Column:
+    """The column with NaN as NULL: a price or volume that is not a number is not known."""
+    c = F.col(column)
+    return F.when(~F.isnan(c), c).alias(column) if dict(df.dtypes)[column] in ("double", "float") else c
+
+
 def daily_features(bars: DataFrame) -> DataFrame:
     """Returns, ranges, shapes, trailing means, positions, counters and trend of each daily bar.
 
-    Trailing means begin on short frames.  ma_20, ma_50, ma_65 and ma_200 are
-    closes that many rows back, and close_lag_n names them as such; ma_7 and
-    ma_65_sma are averages.
+    Trailing means begin on short frames and are over the values known in their
+    frame: NULL and NaN are unknown, and a row without a close is no bar.  A
+    frame is added up for itself, so a bad bar (infinite, or out of all
+    proportion) has no effect on frames without it.  ma_20, ma_50, ma_65 and
+    ma_200 are closes that many rows back, and close_lag_n names them as such;
+    ma_7 and ma_65_sma are averages.
     """
-    c = {n: F.lag("close", n).over(by_date()) for n in (1, 2, 5, 10, 20, 50, 63, 65, 200, 252)}
-    base = bars.select("symbol", "date", "open", "high", "low", "close", "volume", *(v.alias(f"close_lag_{n}") for n, v in c.items())).where(F.col("close").isNotNull())
+    base = bars.select("symbol", "date", *(known(c, bars) for c in ("open", "high", "low", "close", "volume"))).where(F.col("close").isNotNull())
     o, h, l, x = (F.col(k) for k in ("open", "high", "low", "close"))
     lag = lambda n: F.col(f"close_lag_{n}")
-    ret_1d, value = growth(x, lag(1)), x * F.col("volume")
-    # windows first, while rows are narrow: each one copies them, and a long frame is gone over for every row
+    mean = lambda c, n, skip=0: F.avg(c).over(last_rows(n, skip))
+    value = x * F.col("volume")
+    # three windows, each over what the one before gives; rows are narrow there, as each window copies them
     base = base.withColumns(
-        {"rn": F.row_number().over(by_date()), "_y": x - F.first("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0))}
-        | {f"_{end}_{n}": f("close").over(last_rows(n)) for end, f in (("low", F.min), ("high", F.max)) for n in (63, 252)}
+        {f"close_lag_{n}": F.lag("close", n).over(by_date()) for n in (1, 2, 5, 10, 20, 50, 63, 65, 200, 252)}
+        | {
+            "rn": F.row_number().over(by_date()),
+            "atr_14": mean(h - l, 14),
+            "atr_20": mean(h - l, 20),
+            "ma_7": mean(x, 7),
+            "ma_65_sma": mean(x, 65),
+            "vol_20": mean(F.col("volume").cast("double"), 20),
+            "dollar_vol_20": mean(value.cast("double"), 20),
+            "_low_8": F.min("close").over(last_rows(8)),
+            "_high_8": F.max("close").over(last_rows(8)),
+        }
     )
+    ret_1d = growth(x, lag(1))
     up, down = F.when(ret_1d >= 0.04, 1).otherwise(0), F.when(ret_1d <= -0.04, 1).otherwise(0)
-    summed = {"range": h - l, "close": x, "volume": F.col("volume"), "value": value, "up": up, "down": down, "y": F.col("_y"), "yy": F.col("_y") * F.col("_y"), "xy": F.col("_y") * F.col("rn")}
-    base = running_sums(base, summed | {"volumes": F.when(F.col("volume").isNotNull(), 1).otherwise(0)})
-    rows = lambda n: F.least(F.col("rn"), F.lit(n))
-    known = lambda n: F.nullif(trailing("volumes", n), F.lit(0))
     base = base.withColumns(
-        {
-            "atr_14": trailing("range", 14) / rows(14),
-            "atr_20": trailing("range", 20) / rows(20),
-            "ma_7": trailing("close", 7) / rows(7),
-            "ma_65_sma": trailing("close", 65) / rows(65),
-            "vol_20": trailing("volume", 20) / known(20),
-            "dollar_vol_20": trailing("value", 20) / known(20),
-            "breakout_4pct_up_30d": trailing("up", 30, 1),
-            "breakout_4pct_up_90d": trailing("up", 90, 1),
-            "breakdown_4pct_down_90d": trailing("down", 90, 1),
-            "_y65": trailing("y", 65),
-            "_yy65": trailing("yy", 65),
-            "_xy65": trailing("xy", 65),
+        widened(8, 63)
+        | {
+            "r2_65": F.regr_r2("close", "rn").over(last_rows(65)),
+            "_atr_before": mean("atr_20", 50, 1),
+            "_ups": F.sum(up).over(so_far()),
+            "_downs": F.sum(down).over(so_far()),
         }
-    )
-    base = base.withColumn("r2_65", straightness(rows(65)))
-    base = running_sums(base.drop(*(c for c in base.columns if c.startswith("_sum_")), "_y", "_y65", "_yy65", "_xy65"), {"atr": F.col("atr_20")})
-    base = base.withColumn("_atr_before", trailing("atr", 50, 1) / F.least(F.col("rn") - 1, F.lit(49)))
+    ).drop("_low_8", "_high_8")
+    base = base.withColumns(
+        widened(63, 252) | {"breakout_4pct_up_30d": counted("_ups", 30), "breakout_4pct_up_90d": counted("_ups", 90), "breakdown_4pct_down_90d": counted("_downs", 90)}
+    ).drop("_ups", "_downs")
     return base.withColumns(
         {f"ret_{n}d": growth(x, lag(n)) for n in (1, 2, 5, 10, 20, 63, 252)}
         | {
@@ -86,36 +95,23 @@ def daily_features(bars: DataFrame) -> DataFrame:
             "vol_dryup_ratio": ratio(F.col("volume"), F.col("vol_20")),
         }
         | {f"ma_{n}": lag(n) for n in (20, 50, 65, 200)}
-    ).drop("_low_63", "_high_63", "_low_252", "_high_252", "_atr_before", "_sum_atr")
+    ).drop("_low_63", "_high_63", "_low_252", "_high_252", "_atr_before")
 
 
-def running_sums(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with _sum_name for each: the sum of all rows of the symbol so far, null values being none.
+def so_far():
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
-    A window's sum is the difference of two of them, whatever its length; a
-    sliding frame would be added up again for every row.  Sums of whole numbers
-    stay exact; those of fractions lose what the last bits of the longer sum do.
-    """
-    run = by_date().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f"_sum_{n}": F.coalesce(F.sum(c).over(run), F.lit(0)) for n, c in columns.items()})
-
-
-def trailing(name: str, n: int, skip: int = 0) -> Column:
-    """The sum over the frame last_rows(n, skip); NULL where it has no row."""
-    upto = F.lag(f"_sum_{name}", skip).over(by_date()) if skip else F.col(f"_sum_{name}")
-    return upto - F.coalesce(F.lag(f"_sum_{name}", n).over(by_date()), F.lit(0))
-
-
-def straightness(n: Column) -> Column:
-    """R squared of the closes of the last n rows against their numbers 0 to n - 1; 1 if they are all equal, NULL for one row."""
-    y, yy = F.col("_y65"), F.col("_yy65")
-    xy = F.col("_xy65") - (F.col("rn") - n + 1) * y
-    x, xx = n * (n - 1) / 2, (n - 1) * n * (n * 2 - 1) / 6
-    spread = n * yy - y * y
-    # what rounding may leave of equal closes
-    flat = spread <= F.col("_sum_yy") * n * 4e-16
-    together = n * xy - x * y
-    return F.when(n > 1, F.when(flat, 1.0).otherwise(together * together / ((n * xx - x * x) * spread)))
+
+def counted(name: str, n: int) -> Column:
+    """How many of the last n rows but the latest were counted in the running count; NULL on the first row.  Counts are whole, so their difference is exact."""
+    return F.lag(name, 1).over(by_date()) - F.lag(name, n, 0).over(by_date())
+
+
+def widened(m: int, n: int) -> dict[str, Column]:
+    """_low_n and _high_n, the extremes of the last n rows, from those of the last m: of frames m rows apart, the last one overlapping, so that no row is gone over n times."""
+    back = [*range(0, n - m, m), n - m]
+    ends = {"low": F.least, "high": F.greatest}
+    return {f"_{end}_{n}": f(*(F.lag(f"_{end}_{m}", k).over(by_date()) if k else F.col(f"_{end}_{m}") for k in back)) for end, f in ends.items()}
 
 
 #: Names of the compatibility view and the feature columns behind them.
