@@ -85,6 +85,32 @@ def directed_h(direction: Column, close_pos: Column, threshold: float = 0.70) ->
     return F.coalesce(good, F.lit(False))
 
 
+def directed_checks(direction: Column, h_threshold: float = 0.70, narrow: float = 0.5, most_breakouts: int = 2, dry_up: float = 1.3, least_trend: int = 2) -> dict[str, Column]:
+    """The six setup checks of each row for its own direction, from derived columns; what is unknown fails.
+
+    h and n are mirrored for shorts: a close near the low, and a narrow or a
+    green day before.  2, y, c and l are the same for both sides.
+    """
+    c = F.col
+    holds = lambda test: F.coalesce(test, F.lit(False))
+    day_before = c("prev_range").isNotNull() & c("prev_close").isNotNull() & c("prev_open").isNotNull() & c("atr_20").isNotNull()
+    tired = F.when(direction == "SHORT", c("prev_close") > c("prev_open")).otherwise(c("prev_close") < c("prev_open"))
+    trend = sum((as_int(holds(t)) for t in (c("close") > c("ma_20"), c("ret_5d") > 0)), as_int(holds((c("r2_65") != 0) & (c("r2_65") >= 0.70))))
+    return {
+        "h": directed_h(direction, c("close_pos_in_range"), h_threshold),
+        "n": holds(day_before & ((c("prev_range") < c("atr_20") * narrow) | tired)),
+        "2": holds(c("ret_1d_lag1") <= 0) | holds(c("ret_1d_lag2") <= 0),
+        "y": holds(c("prior_breakouts_30d") <= most_breakouts),
+        "c": holds(c("vol_dryup_ratio") < dry_up),
+        "l": trend >= least_trend,
+    }
+
+
+def passes(checks: dict[str, Column], least: int = 5) -> Column:
+    """Whether at least so many of the checks hold."""
+    return sum((as_int(x) for x in checks.values()), F.lit(0)) >= least
+
+
 def entry_window(bar_number: Column) -> Column:
     return F.when(bar_number <= 6, "first_30min").when(bar_number <= 12, "first_60min").when(bar_number <= 18, "first_90min").otherwise("after_90min")
 

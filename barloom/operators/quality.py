@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import growth, ratio
 from ..sources.bars import PRICES, minute_of_day
@@ -213,6 +214,34 @@ def quarantine(raw: DataFrame, required: tuple[str, ...] = ("symbol", "date", *P
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = ("symbol", "date", *PRICES), **options: str) -> DataFrame:
+    """Delimited files as rows of the schema with reason, NULL for a valid row, and line, the text of a malformed one.
+
+    A line with too few or too many fields, or with a field that is not of its
+    type, is malformed; then come values that are missing, a high below the low,
+    prices outside of both, and a negative volume.  Valid and bad rows come from
+    one scan: write_checked() keeps them apart in one job.
+    """
+    if lacking := [c for c in required if c not in schema.names]:
+        raise ValueError(f"missing columns: {lacking}")
+    whole = T.StructType([*schema.fields, T.StructField("line", T.StringType())])
+    raw = spark.read.schema(whole).options(**({"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line"} | options)).csv(path)
+    empty = F.lit(False)
+    for c in required:
+        empty |= F.col(c).isNull()
+    c = F.col
+    outside = (F.least("open", "close") < c("low")) | (F.greatest("open", "close") > c("high"))
+    why = F.when(c("line").isNotNull(), "malformed_line").when(empty, "null_value").when(c("high") < c("low"), "high_below_low").when(outside, "price_outside_range")
+    if "volume" in schema.names:
+        why = why.when(c("volume") < 0, "negative_volume")
+    return raw.withColumn("reason", why)
+
+
+def write_checked(rows: DataFrame, path: str) -> None:
+    """Rows of read_checked() below kept=true and kept=false, in one job."""
+    rows.withColumn("kept", F.col("reason").isNull()).write.mode("overwrite").partitionBy("kept").parquet(path)
+
+
 def dead_symbols(daily: DataFrame, listed: DataFrame) -> DataFrame:
     """Stored symbols that are no longer listed, with their rows and dates."""
     return daily.join(listed.select("symbol").distinct(), "symbol", "left_anti").groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))

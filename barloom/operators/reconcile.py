@@ -54,12 +54,15 @@ def with_names(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFr
 
 
 def by_alias(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Symbols replaced by what they were an alias of on the row's date: an equi join on the alias, then its validity."""
-    a = aliases.select(F.col("alias").alias("symbol"), F.col("symbol").alias("_to"), "valid_from", "valid_to")
-    fits = F.col("date").between(F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
-    j = rows.join(a, "symbol", "left").withColumn("_fits", F.col("_to").isNotNull() & F.coalesce(fits, F.lit(False)))
-    best = Window.partitionBy(*rows.columns).orderBy(F.desc("_fits"), F.desc_nulls_last("valid_from"))
-    return j.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("symbol", F.when(F.col("_fits"), F.col("_to")).otherwise(F.col("symbol"))).select(rows.columns)
+    """Symbols replaced by what they were an alias of on the row's date; of several the one valid last.
+
+    The aliases meet the distinct symbols and dates, so repeated rows stay what
+    they are.  A row without a date, or whose date no validity holds, keeps its symbol.
+    """
+    a = aliases.select(F.col("alias").alias("symbol"), F.col("symbol").alias("_to"), F.coalesce("valid_from", F.lit("0001-01-01").cast("date")).alias("_from"), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")).alias("_until"))
+    days = rows.select("symbol", "date").distinct().join(a, "symbol").where(F.col("date").between(F.col("_from"), F.col("_until")))
+    named = days.groupBy("symbol", "date").agg(F.max_by("_to", F.struct("_from", "_to")).alias("_to"))
+    return rows.join(named, ["symbol", "date"], "left").withColumn("symbol", F.coalesce("_to", "symbol")).select(rows.columns)
 
 
 def missing_symbols(universe: DataFrame, table: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import features as feats
-from ..sources.bars import last_wins
+from ..sources.bars import last_wins, row_hash
+from ..sources.shared import stored
 
 #: Calendar days that give the longest window its rows, and sessions for breadth.
 DAILY_CONTEXT, BREADTH_CONTEXT = 372, 130
@@ -38,10 +39,15 @@ def refresh_plan(policy: str, last_end: date | None, new_start: date, new_end: d
 
 
 def dataset_state(bars: DataFrame) -> DataFrame:
-    """Rows, symbols, range and a hash of all rows that does not depend on their order."""
-    content = F.sum(F.xxhash64(*sorted(bars.columns)).cast("decimal(38,0)")).cast("string")
-    s = bars.agg(F.count("*").alias("n_rows"), F.countDistinct("symbol").alias("n_symbols"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), content.alias("content"))
-    return s.withColumn("dataset_hash", F.substring(F.sha2(F.to_json(F.struct("content", "first_date", "last_date", "n_rows", "n_symbols")), 256), 1, 16)).drop("content")
+    """Rows, symbols, range and a hash of all rows that does not depend on their order, and tells nulls and repeated rows."""
+    content = F.coalesce(F.sum(row_hash(bars.columns)), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return with_hash(bars.agg(F.count("*").alias("n_rows"), F.countDistinct("symbol").alias("n_symbols"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), content.alias("content")))
+
+
+def with_hash(state: DataFrame) -> DataFrame:
+    """States with dataset_hash in place of content: of the rows, their range and their hashes, not of what may be an estimate."""
+    whole = F.concat_ws(":", "content", F.coalesce(F.col("first_date").cast("string"), F.lit("-")), F.coalesce(F.col("last_date").cast("string"), F.lit("-")), F.col("n_rows").cast("string"))
+    return state.withColumn("dataset_hash", F.substring(F.sha2(whole, 256), 1, 16)).drop("content")
 
 
 def unchanged(state: DataFrame, feature: str, version: str, dataset_hash: str) -> bool:
@@ -68,6 +74,29 @@ def daily_since(bars: DataFrame, since: date, rows: int | None = None) -> DataFr
     return feats.daily_features(context).where(F.col("date") >= first)
 
 
+def years_needed(states: DataFrame, since: date, rows: int) -> DataFrame:
+    """(symbol, year) of the stored partitions that hold, of each symbol with rows in or after the year of `since`, all rows from that year on and the last `rows` before it.
+
+    states (symbol, year, row_count) are those of the store's partitions, so no bar is read.
+    """
+    later = F.sum(F.when(F.col("year") < since.year, F.col("row_count")).otherwise(0)).over(Window.partitionBy("symbol").orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1))
+    alive = F.max("year").over(Window.partitionBy("symbol")) >= since.year
+    marked = states.select("symbol", "year", (F.coalesce(later, F.lit(0)) < rows).alias("_short"), alive.alias("_alive"))
+    return marked.where("_short and _alive").select("symbol", "year")
+
+
+def daily_from_store(store: DataFrame, states: DataFrame, since: date, rows: int = ROW_CONTEXT) -> DataFrame:
+    """Daily features from a date on out of a store partitioned by year, reading only the partitions that years_needed() names.
+
+    The years are a handful and prune the scan's folders; within them only the
+    symbols that need a year are kept.  Equal to a full build filtered by date.
+    """
+    need = years_needed(states, since, rows)
+    years = [r.year for r in need.select("year").distinct().collect()]
+    context = store.where(F.col("year").isin(years)).join(need, ["symbol", "year"], "left_semi").drop("year")
+    return feats.daily_features(context).where(F.col("date") >= F.lit(since))
+
+
 def intraday_since(bars: DataFrame, daily: DataFrame, since: date) -> DataFrame:
     """Intraday features from a date on; of the daily bars only each symbol's last session before it is needed besides."""
     return feats.intraday_features(bars.where(F.col("date") >= F.lit(since)), daily)
@@ -122,6 +151,25 @@ def stale_runs(runs: DataFrame, versions: DataFrame) -> DataFrame:
     return j.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("stale", F.size("reasons") > 0).select(*runs.columns, "reasons", "stale")
 
 
+def stale_cascade(changed: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Everything to rebuild: the changed names (name), and what depends on them directly or over others, with the steps to the nearest changed one.
+
+    dependencies are pairs (name, depends_on).  The frontier of new names is
+    joined with them until it is empty, so cycles end and each name comes once;
+    every round is stored, so the next one's plan is as short.  Null names are none.
+    """
+    edges = dependencies.select("name", "depends_on").where("name is not null and depends_on is not null").distinct()
+    edges = stored(edges, "edges")
+    found = stored(changed.select("name").where("name is not null").distinct().withColumn("steps", F.lit(0)), "found")
+    frontier, steps = found, 0
+    while not frontier.isEmpty():
+        steps += 1
+        reached = edges.join(frontier.select(F.col("name").alias("depends_on")), "depends_on", "left_semi").select("name").distinct()
+        frontier = stored(reached.join(found, "name", "left_anti").withColumn("steps", F.lit(steps)), "found")
+        found = found.unionByName(frontier)
+    return found
+
+
 def experiment_id(params: dict, dataset_hash: str, code_hash: str) -> str:
     """The same id for the same parameters, data and code."""
     import hashlib

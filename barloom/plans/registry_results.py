@@ -495,7 +495,7 @@ def u6_issue_registry(spark, sf):
 
 @query(sql(DAILY, select="select year(date) as year, count(*) row_count, min(date) first_date, max(date) last_date, 'READY' state from daily group by 1"))
 def s16_partition_registry(spark, sf):
-    return src.partition_registry(daily(spark, sf).withColumn("year", F.year("date")), ["year"]).drop("content_hash")
+    return src.partition_registry(daily(spark, sf).withColumn("year", F.year("date")), ["year"]).drop("content_hash", "symbols")
 
 
 @query(sql(DAILY, FEATURES, select="select symbol, date, ret_252d, round(atr_20, 6) atr_20, range_percentile_252, ma_200, breakout_4pct_up_90d, r2_65, atr_compress_ratio from feat where date >= date '1998-01-01'"))

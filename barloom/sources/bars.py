@@ -286,10 +286,41 @@ def repair_alignment(bars: DataFrame, issues: DataFrame, shift: str = "INTERVAL
     return out.withColumn("date", F.when(F.col("_bad"), F.to_date("candle_time")).otherwise(F.col("date"))).drop("_bad").select(bars.columns)
 
 
+def row_hash(columns: list[str]) -> Column:
+    """A number of 60 bits for a row, the start of the SHA-256 of its values as text: `-` for null, else the length in bytes, a colon and the text.
+
+    Two rows that differ in where a null is differ here too, and any engine with
+    SHA-256 can check it.
+    """
+    texts = [F.col(f"`{c}`").cast("string") for c in sorted(columns)]
+    whole = F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts))
+    return F.conv(F.substring(F.sha2(whole, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def partition_states(bars: DataFrame, keys: list[str], distinct: str = "symbol") -> DataFrame:
+    """Per partition: rows, date range, the sum of the row hashes and a sketch of the distinct symbols; states of disjoint rows add up (merged_state)."""
+    rest = [c for c in bars.columns if c not in keys]
+    return bars.groupBy(*keys).agg(
+        F.count("*").alias("row_count"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum(row_hash(rest)).cast("decimal(38,0)").alias("content"), F.hll_sketch_agg(distinct).alias("symbols")
+    )
+
+
+def merged_state(states: DataFrame, *keys: str) -> DataFrame:
+    """The state of all rows, or of those of each key, from partition states alone.
+
+    Rows, dates and content are exact: the sum of hashes does not depend on the
+    order of rows or on how they were parted, and counts repeated rows.  The
+    number of symbols is an estimate, within about 2 % (12 bits a sketch).
+    """
+    return states.groupBy(*keys).agg(
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("symbols")).alias("n_symbols"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+        F.coalesce(F.sum("content"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content"),
+    )
+
+
 def partition_registry(bars: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
     """Per partition: rows, date range, content hash and state; against an earlier registry STALE or SUPERSEDED marks changes."""
-    content = F.sum(F.xxhash64(*sorted(bars.columns)).cast("decimal(38,0)")).cast("string")
-    now = bars.groupBy(*keys).agg(F.count("*").alias("row_count"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), content.alias("content_hash"))
+    now = partition_states(bars, keys).withColumn("content_hash", F.col("content").cast("string")).drop("content")
     now = now.withColumn("state", F.when(F.col("row_count") > 0, "READY").otherwise("FAILED"))
     if known is None:
         return now

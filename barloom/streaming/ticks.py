@@ -83,25 +83,33 @@ def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def entry_alerts(bars_: DataFrame, watch: DataFrame, start_minute: int = 0, cutoff_minute: int = 24 * 60) -> DataFrame:
+def entry_alerts(bars_: DataFrame, watch: DataFrame, start_minute: int = 0, cutoff_minute: int = 24 * 60, delay: str | None = "10 minutes") -> DataFrame:
     """Stream: the first bar of each watched symbol and day that reaches its trigger, with the session's low as the stop.
 
     watch (symbol, trigger_price) is a static table; the session's extreme and
-    the alert already given are keyed state by symbol and day.
+    the alert already given are keyed state by symbol and day.  The state of a
+    day ends when the watermark, `delay` behind the bars (None: bars_ has one),
+    passes the day: no bar of it can come any more.
     """
     minute = F.hour("bar_start") * 60 + F.minute("bar_start")
-    b = bars_.join(watch.select("symbol", "trigger_price"), "symbol").withColumns({"day": F.to_date("bar_start"), "minute": minute})
-    b = b.where(F.col("minute") <= cutoff_minute).select("symbol", "day", "bar_start", "minute", "open", "high", "low", "trigger_price")
+    b = bars_.withWatermark("bar_start", delay) if delay and bars_.isStreaming else bars_
+    b = b.join(watch.select("symbol", "trigger_price"), "symbol").withColumns({"day": F.to_date("bar_start"), "minute": minute})
+    b = b.withColumn("ends", F.unix_millis(F.date_add("day", 1).cast("timestamp")))
+    b = b.where(F.col("minute") <= cutoff_minute).select("symbol", "day", "bar_start", "minute", "open", "high", "low", "trigger_price", "ends")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         low, given = state.get if state.exists else (float("inf"), False)
         rows = pd.concat(list(frames)).sort_values("bar_start")
         rows["stop"] = rows["low"].cummin().clip(upper=low)
         hit = rows[(rows["minute"] >= start_minute) & (rows["high"] >= rows["trigger_price"])][: 0 if given else 1]
         state.update((float(rows["stop"].iloc[-1]), bool(given or len(hit))))
+        state.setTimeoutTimestamp(max(int(rows["ends"].iloc[0]), state.getCurrentWatermarkMs() + 1))
         yield hit.assign(entry_price=hit[["open", "trigger_price"]].max(axis=1))[["symbol", "day", "bar_start", "entry_price", "stop"]]
 
-    return b.groupBy("symbol", "day").applyInPandasWithState(step, "symbol string, day date, bar_start timestamp, entry_price double, stop double", "low double, given boolean", "append", GroupStateTimeout.NoTimeout)
+    return b.groupBy("symbol", "day").applyInPandasWithState(step, "symbol string, day date, bar_start timestamp, entry_price double, stop double", "low double, given boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def entry_alerts_batch(bars_: DataFrame, watch: DataFrame, start_minute: int = 0, cutoff_minute: int = 24 * 60) -> DataFrame:
@@ -153,6 +161,11 @@ def track_stops_batch(bars_: DataFrame, positions: DataFrame, activation: float
     return hit.groupBy("symbol").agg(F.min_by(row, "bar_start").alias("x")).select("symbol", "x.*")
 
 
+def once(stream: DataFrame, keys: list[str], time: str, delay: str = "10 minutes") -> DataFrame:
+    """Rows of a key that come again within the delay, in one batch or in later ones, are left out; state ends with the watermark."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def idempotent_sink(path: str, keys: list[str] = ["session_id", "symbol", "bar_end"]) -> Callable[[DataFrame, int], None]:  # noqa: B006
     """A foreachBatch function: rows of known keys are replaced, so a batch may come twice."""
 
