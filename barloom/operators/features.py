@@ -47,7 +47,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
     lag = lambda n: F.col(f"close_lag_{n}")
     mean = lambda c, n, skip=0: F.avg(c).over(last_rows(n, skip))
     value = x * F.col("volume")
-    # three windows, each over what the one before gives; rows are narrow there, as each window copies them
+    # windows, each over what the one before gives; rows are narrow there, as each window copies them
     base = base.withColumns(
         {f"close_lag_{n}": F.lag("close", n).over(by_date()) for n in (1, 2, 5, 10, 20, 50, 63, 65, 200, 252)}
         | {
@@ -60,19 +60,25 @@ def daily_features(bars: DataFrame) -> DataFrame:
             "dollar_vol_20": mean(value.cast("double"), 20),
             "_low_8": F.min("close").over(last_rows(8)),
             "_high_8": F.max("close").over(last_rows(8)),
+            "_mean_8": mean(x, 8),
         }
     )
     ret_1d = growth(x, lag(1))
     up, down = F.when(ret_1d >= 0.04, 1).otherwise(0), F.when(ret_1d <= -0.04, 1).otherwise(0)
     base = base.withColumns(
         widened(8, 63)
+        | widened(8, TREND)
         | {
-            "r2_65": F.regr_r2("close", "rn").over(last_rows(65)),
+            "_var_8": F.var_pop("close").over(last_rows(8)),
+            "_cov_8": F.covar_pop("close", "rn").over(last_rows(8)),
+            "_r2_so_far": F.regr_r2("close", "rn").over(so_far()),
             "_atr_before": mean("atr_20", 50, 1),
             "_ups": F.sum(up).over(so_far()),
             "_downs": F.sum(down).over(so_far()),
         }
     ).drop("_low_8", "_high_8")
+    # the trend's terms between two windows: with all other columns in one step, the code of it would be too long to be compiled
+    base = straightened(base.withColumns(eights())).drop("_mean_8", "_var_8", "_cov_8")
     base = base.withColumns(
         widened(63, 252) | {"breakout_4pct_up_30d": counted("_ups", 30), "breakout_4pct_up_90d": counted("_ups", 90), "breakdown_4pct_down_90d": counted("_downs", 90)}
     ).drop("_ups", "_downs")
@@ -98,6 +104,38 @@ def daily_features(bars: DataFrame) -> DataFrame:
     ).drop("_low_63", "_high_63", "_low_252", "_high_252", "_atr_before")
 
 
+#: Rows of the trend: eight groups of eight and one more.
+TREND = 65
+
+
+def eights() -> dict[str, Column]:
+    """Mean, variance and covariance with the row number of each eight rows of the last TREND, k rows back, and the close of the one row more."""
+    back = lambda c, k: F.lag(c, k).over(by_date()) if k else F.col(c)
+    return {f"{c}_{k}": back(c, k) for c in ("_mean_8", "_var_8", "_cov_8") for k in range(0, TREND - 1, 8)} | {"_first": F.lag("close", TREND - 1).over(by_date())}
+
+
+def straightened(df: DataFrame) -> DataFrame:
+    """df with r2_65: R squared of the closes of the last 65 rows against their row numbers; 1 if they are all equal, NULL for one row.
+
+    Variances of groups of eight rows are put together with those of their
+    means, so nothing large is subtracted from something large, and a frame is
+    not gone over row by row.  The first rows have the running _r2_so_far.
+    """
+    groups = range(0, TREND - 1, 8)
+    g = lambda c, k: F.col(f"_{c}_8_{k}")
+    # row numbers from the middle of the frame
+    centre = lambda k: TREND // 2 - k - 3.5
+    mean, first = F.col("_mean"), F.col("_first")
+    df = df.withColumn("_mean", (sum(g("mean", k) for k in groups) * 8 + first) / TREND)
+    away = lambda k: g("mean", k) - mean
+    yy = sum((g("var", k) + away(k) * away(k) for k in groups), F.lit(0.0)) * 8 + (first - mean) * (first - mean)
+    xy = sum((g("cov", k) + away(k) * centre(k) for k in groups), F.lit(0.0)) * 8 - (first - mean) * (TREND // 2)
+    df = df.withColumns({"_yy": yy, "_xy": xy})
+    full = F.when(F.col("_low_65") == F.col("_high_65"), 1.0).otherwise(F.col("_xy") * F.col("_xy") / (F.col("_yy") * (TREND * (TREND * TREND - 1) / 12)))
+    out = df.withColumn("r2_65", F.when(F.col("rn") >= TREND, full).otherwise(F.col("_r2_so_far")))
+    return out.drop("_low_65", "_high_65", "_mean", "_yy", "_xy", "_first", "_r2_so_far", *(f"_{c}_8_{k}" for c in ("mean", "var", "cov") for k in groups))
+
+
 def so_far():
     return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
