@@ -238,11 +238,19 @@ class Index:
         least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
         above, level = cosine > least, cosine == least
         weight = above + level * ((k - above.sum(axis=1, keepdims=True)) / level.sum(axis=1, keepdims=True))
-        weight = weight / (0.02 + np.maximum(1 - cosine, 0))
-        return weight @ self.labels / weight.sum(axis=1)
-
-    def search(self, column: pa.Array, finder: Finder, k: int = NEIGHBOURS) -> tuple[np.ndarray, list[list[int]]]:
-        """Votes, and the ids of up to three nearest examples, nearest first."""
+        weight = weight * (cosine >= 0) / (0.02 + np.maximum(1 - cosine, 0))
+        return weight @ self.labels / np.maximum(weight.sum(axis=1), 1e-9)
+
+    def own(self, ids: pa.Array) -> np.ndarray:
+        """The example that each id is itself, or -1."""
+        wanted = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(self.ids)
+        at = order[np.minimum(np.searchsorted(self.ids, wanted, sorter=order), len(order) - 1)] if len(order) else np.zeros(len(wanted), dtype=np.int64)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(known & (self.ids[at] == wanted), at, -1) if len(order) else np.full(len(wanted), -1)
+
+    def search(self, ids: pa.Array, column: pa.Array, finder: Finder, k: int = NEIGHBOURS) -> tuple[np.ndarray, list[list[int]]]:
+        """Votes, and the ids of up to three nearest examples, nearest first; an example is none of its own."""
         n = len(column)
         base = (self.labels.sum() + 1) / (len(self.labels) + 2)
         vote, evidence = np.full(n, (self.labels[self.bare].sum() + base) / (self.bare.sum() + 1)), [[] for _ in range(n)]
@@ -250,11 +258,16 @@ class Index:
         if len(doc):
             weight = unit_vectors(doc, at, count, self.weights, n)
             some, doc = np.unique(doc, return_inverse=True)
-            cosine = self.cosines(doc, at, weight, len(some), k)
-            vote[some] = self.votes(cosine, k)
+            # one more than the votes need, as a document that is an example itself leaves
+            cosine = self.cosines(doc, at, weight, len(some), k + 1)
+            itself = self.own(ids)[some]
+            rows = np.flatnonzero(itself >= 0)
+            cosine[rows, itself[rows]] = -1
+            alone = (cosine < 0).all(axis=1)
+            vote[some] = np.where(alone, vote[some], self.votes(cosine, k))
             near = np.argsort(-np.round(cosine, 6), axis=1, kind="stable")[:, :3] if cosine.shape[1] <= 3 else _top3(np.round(cosine, 6))
-            for j, ids in zip(some.tolist(), self.ids[near].tolist(), strict=True):
-                evidence[j] = ids
+            for j, found, close in zip(some.tolist(), self.ids[near].tolist(), np.take_along_axis(cosine, near, axis=1).tolist(), strict=True):
+                evidence[j] = [i for i, c in zip(found, close, strict=True) if c >= 0]
         return vote, evidence
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
@@ -292,7 +305,7 @@ def _search(index: dict, k: int, also: tuple[str, ...]):
         for piece in pieces(batches, "text", PIECE):
             for i in range(0, piece.num_rows, QUERIES):
                 batch = piece.slice(i, QUERIES)
-                vote, evidence = e.search(batch.column("text"), finder, k)
+                vote, evidence = e.search(batch.column("doc_id"), batch.column("text"), finder, k)
                 rest = [batch.column(c) for c in ("doc_id", *also)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(e.calibrated(vote)), pa.array(vote), pa.array(evidence, type=pa.list_(pa.int64()))], ["doc_id", *also, "score", "vote", "evidence"])
 
@@ -337,8 +350,9 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     """Per row: doc_id, score, and evidence (ids of the nearest examples, nearest first, at most three).
 
     Texts without any term of the index (null and empty ones too) get the share
-    of toxic examples among those without any term, and no evidence.  Rows are
-    scored one by one: ids may be null or repeated, other columns are not read.
+    of toxic examples among those without any term, and no evidence.  A row whose
+    id is an example's is scored by the others.  Rows are scored one by one: ids
+    may be null or repeated, other columns are not read.
     Without examples every score is 0.5.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index.plain())

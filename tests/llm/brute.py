@@ -127,7 +127,7 @@ def repetition(text):
 
 
 def toxicity(texts, sample, toxic, k=15):
-    """Votes for all texts: TF-IDF over all words of the sample, weighted by how surely they tell its labels apart."""
+    """Votes for all texts, none by itself: TF-IDF over all words of the sample, weighted by how surely they tell its labels apart."""
     counts = {i: Counter(re.findall(r"[a-z0-9\x80-\U0010ffff]+", fold(t or ""))) for i, t in texts.items()}
     known = set().union(*(counts[i] for i in sample))
     seen = Counter(x for c in counts.values() for x in c)
@@ -154,7 +154,7 @@ def toxicity(texts, sample, toxic, k=15):
     for i, q in vectors.items():
         out[i] = (sum(j in toxic for j in bare) + share) / (len(bare) + 1)
         if q:
-            near = sorted(((round(sum(v * vectors[j].get(x, 0) for x, v in q.items()), 6), j in toxic) for j in sample), reverse=True)
+            near = sorted(((round(sum(v * vectors[j].get(x, 0) for x, v in q.items()), 6), j in toxic) for j in sample if j != i), reverse=True)
             last = near[min(k, len(near)) - 1][0]
             above, level = [x for x in near if x[0] > last], [x for x in near if x[0] == last]
             part = (min(k, len(near)) - len(above)) / len(level)

@@ -415,6 +415,25 @@ def test_toxicity_of_the_smallest_table_equals_brute_force(spark, sf):
         assert abs(found[i][0] - fitted.calibrated(np.array([vote]))[0]) < 1e-4, i
 
 
+def test_examples_do_not_vote_for_themselves(spark):
+    """Random texts with random labels: indexed documents are told no better than others, and are no evidence for themselves."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("bcdfgaeiou", k=5)) for _ in range(300)]
+    texts = [(i, " ".join(rng.choices(vocabulary, k=40))) for i in range(600)]
+    truth = {i: rng.randrange(2) for i, _ in texts}
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    frame = rows(spark, texts)
+    fitted = toxicity.fit_toxicity(frame, labels)
+    found = by_id(toxicity.score_toxicity(frame, fitted))
+    indexed = set(fitted.ids.tolist())
+    assert len(indexed) > 300 and not any(i in found[i][1] for i in indexed) and all(len(found[i][1]) == 3 for i in indexed)
+    # their texts are the same under other ids, where each is its own nearest example
+    again = by_id(toxicity.score_toxicity(rows(spark, [(i + 10_000, t) for i, t in texts]), fitted))
+    assert all(again[i + 10_000][1][0] == i for i in indexed)
+    one = toxicity.fit_toxicity(rows(spark, texts[:1]), spark.createDataFrame([(i, 1) for i in range(1)], "doc_id long, toxic int"))
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(rows(spark, texts[:3]), one).collect())
+
+
 def area(score, truth):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
