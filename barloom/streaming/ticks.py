@@ -83,6 +83,27 @@ def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def write_replay(rows: DataFrame, path: str, time: str) -> None:
+    """Recorded rows as files whose order of writing is that of their days: what replay_ordered() reads as a stream.
+
+    The rows are parted by day in one job and the days written one after the
+    other, as a file stream goes by the times of files, not by their names.  A
+    lost job may be repeated: days that are there already stay.  Rows without a time are left out.
+    """
+    spark = rows.sparkSession
+    parted = f"{path.rstrip('/')}-days"
+    known = rows.where(F.col(time).isNotNull()).withColumn("_day", F.to_date(time))
+    known.repartition("_day").write.mode("overwrite").partitionBy("_day").parquet(parted)
+    days = [r[0] for r in spark.read.parquet(parted).select("_day").distinct().orderBy("_day").collect()]
+    for day in days:
+        spark.read.schema(rows.schema).parquet(f"{parted}/_day={day}").sortWithinPartitions(time).write.mode("ignore").parquet(f"{path.rstrip('/')}/day={day}")
+
+
+def replay_ordered(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """The rows of write_replay() as a stream, day after day; a run with the same checkpoint goes on behind the last day it had."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path.rstrip('/')}/day=*")
+
+
 def entry_alerts(bars_: DataFrame, watch: DataFrame, start_minute: int = 0, cutoff_minute: int = 24 * 60, delay: str | None = "10 minutes") -> DataFrame:
     """Stream: the first bar of each watched symbol and day that reaches its trigger, with the session's low as the stop.
 
