@@ -72,7 +72,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) ->
 
 
 def families(nodes: DataFrame, arity: int) -> DataFrame:
-    """Each node of a run of two or more levels' end: its place, and the digests left and right of it in its run."""
+    """Each node with the digests left and right of it in its run, end to end."""
     slot, at = F.col("at") % arity, F.col("at")
     run = F.array(at, at.bitwiseXOR(F.lit(1).cast("long"))) if arity == 2 else F.array(*(at - slot + (slot + shift) % arity for shift in range(arity)))
     asked = nodes.select("tree", "at", "many", F.explode(run).alias("_in")).where(F.col("_in") < F.col("many"))

@@ -257,17 +257,19 @@ class Index:
         doc, at, count = term_counts(column, finder)
         if len(doc):
             weight = unit_vectors(doc, at, count, self.weights, n)
-            some, doc = np.unique(doc, return_inverse=True)
-            # one more than the votes need, as a document that is an example itself leaves
-            cosine = self.cosines(doc, at, weight, len(some), k + 1)
-            itself = self.own(ids)[some]
-            rows = np.flatnonzero(itself >= 0)
-            cosine[rows, itself[rows]] = -1
-            alone = (cosine < 0).all(axis=1)
-            vote[some] = np.where(alone, vote[some], self.votes(cosine, k))
-            near = np.argsort(-np.round(cosine, 6), axis=1, kind="stable")[:, :3] if cosine.shape[1] <= 3 else _top3(np.round(cosine, 6))
-            for j, found, close in zip(some.tolist(), self.ids[near].tolist(), np.take_along_axis(cosine, near, axis=1).tolist(), strict=True):
-                evidence[j] = [i for i, c in zip(found, close, strict=True) if c >= 0]
+            itself = self.own(ids)
+            for rows, extra in ((np.unique(doc[itself[doc] < 0]), 0), (np.unique(doc[itself[doc] >= 0]), 1)):
+                if not len(rows):
+                    continue
+                chosen = itself[doc] >= 0 if extra else itself[doc] < 0
+                # a document that is an example leaves itself, so it needs one more
+                cosine = self.cosines(np.searchsorted(rows, doc[chosen]), at[chosen], weight[chosen], len(rows), k + extra)
+                if extra:
+                    cosine[np.arange(len(rows)), itself[rows]] = -1
+                vote[rows] = np.where((cosine < 0).all(axis=1), vote[rows], self.votes(cosine, k)) if extra else self.votes(cosine, k)
+                near = np.argsort(-np.round(cosine, 6), axis=1, kind="stable")[:, :3] if cosine.shape[1] <= 3 else _top3(np.round(cosine, 6))
+                for j, found, close in zip(rows.tolist(), self.ids[near].tolist(), np.take_along_axis(cosine, near, axis=1).tolist(), strict=True):
+                    evidence[j] = [i for i, c in zip(found, close, strict=True) if c >= 0]
         return vote, evidence
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
