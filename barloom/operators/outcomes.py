@@ -123,9 +123,12 @@ def holding_rows(signals: DataFrame, bars: DataFrame, days: int) -> DataFrame:
     return at.join(numbered.withColumnRenamed("date", "bar_date"), ["symbol", "bar_no"]).drop("bar_no")
 
 
-def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = ExitRules(), delistings: DataFrame | None = None) -> DataFrame:
+def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = ExitRules(), delistings: DataFrame | None = None, variant: tuple[str, ...] = ()) -> DataFrame:
     """The exit of each signal (symbol, date, direction, entry_price, initial_stop, carry_stop).
 
+    Signals of one symbol, date and direction are told apart by the columns of
+    `variant`, so that all levels of a parameter go through one plan.
+
     Checks of a day in order: delisting, open far in favour, open through the
     stop, the stop, a large profit on the first two days, and the close through
     the stop after it has moved.  A stop moves to break-even after a close in
@@ -135,7 +138,8 @@ def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = Exit
     """
     c = F.col
     # options ride on the bars, so signals may carry columns of any name
-    s = signals.select("symbol", "date", "direction", "entry_price", "initial_stop", "carry_stop")
+    keys = ["symbol", "date", "direction", *variant]
+    s = signals.select(*keys, "entry_price", "initial_stop", "carry_stop")
     r = holding_rows(s, bars, rules.time_stop_days)
     if delistings is not None:
         r = r.join(delistings.select("symbol", "delisting_date"), "symbol", "left")
@@ -145,7 +149,7 @@ def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = Exit
     sign = F.when(short, -1.0).otherwise(1.0)
     r = r.withColumns({"sign": sign, "best": F.when(short, -c("low")).otherwise(c("high")), "worst": F.when(short, -c("high")).otherwise(c("low")), "o": c("open") * sign, "x": c("close") * sign, "entry": c("entry_price") * sign})
     r = r.withColumn("stop0", F.greatest(c("initial_stop") * sign, c("carry_stop") * sign))
-    order = Window.partitionBy("symbol", "date", "direction").orderBy("day")
+    order = Window.partitionBy(*keys).orderBy("day")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     far = lambda share: c("entry") + F.abs("entry") * share
     r = r.withColumn("top", F.greatest("entry", F.max("best").over(run)))
@@ -181,9 +185,9 @@ def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = Exit
     r = r.withColumn("found", found)
     hit = F.min_by(F.struct("day", "bar_date", "found"), F.when(c("found").isNotNull(), c("day")))
     last = F.max_by(F.struct("day", "bar_date", made(c("x"), F.lit("TIME_EXIT")).alias("found")), "day")
-    out = r.groupBy("symbol", "date", "direction").agg(F.coalesce(hit, last).alias("e"), F.first("sign").alias("sign"))
-    out = out.select("symbol", "date", "direction", c("e.day").alias("holding_days"), c("e.bar_date").alias("exit_date"), (c("e.found.price") * c("sign")).alias("exit_price"), c("e.found.reason").alias("exit_reason"))
-    return signals.drop("exit_date", "exit_price", "exit_reason", "holding_days").join(out, ["symbol", "date", "direction"], "left")
+    out = r.groupBy(*keys).agg(F.coalesce(hit, last).alias("e"), F.first("sign").alias("sign"))
+    out = out.select(*keys, c("e.day").alias("holding_days"), c("e.bar_date").alias("exit_date"), (c("e.found.price") * c("sign")).alias("exit_price"), c("e.found.reason").alias("exit_reason"))
+    return signals.drop("exit_date", "exit_price", "exit_reason", "holding_days").join(out, keys, "left")
 
 
 def union_calendar(bars: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,15 @@ def flagged(bars: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return bars.select("symbol", "date", F.explode(found).alias("issue_code"))
 
 
+def observed(bars: DataFrame, rules: dict[str, Column], name: str) -> tuple[DataFrame, Observation]:
+    """bars as they are, and counts of all rows and of those that break each rule, known once something has read bars: no scan of their own.
+
+    The counts are of rows that pass here; a task that runs twice is counted once.
+    """
+    counts = Observation(name)
+    return bars.observe(counts, F.count("*").alias("n_rows"), *(F.count_if(F.coalesce(t, F.lit(False))).alias(c) for c, t in rules.items())), counts
+
+
 def by_symbol(found: DataFrame) -> DataFrame:
     """One row per symbol and code: rows, first and last date."""
     return found.groupBy("symbol", "issue_code").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))

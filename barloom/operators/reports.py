@@ -134,7 +134,9 @@ def experiment_summary(trades: DataFrame, years: float | None = None, key: str =
     order = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     curve = by_day.withColumn("sum", F.sum("p").over(order)).withColumn("drop", F.greatest(F.lit(0.0), F.max("sum").over(order)) - F.col("sum"))
     worst = trades.groupBy(key, "year").agg(F.sum("pnl_pct").alias("p")).groupBy(key).agg(F.min("p").alias("worst_year"))
-    s = t.join(curve.groupBy(key).agg(F.max("drop").alias("max_drawdown")), key).join(worst, key)
+    # one row a key on each side: put together by the key without a join, which would be a product where the key is a constant
+    s = t.unionByName(curve.groupBy(key).agg(F.max("drop").alias("max_drawdown")), allowMissingColumns=True).unionByName(worst, allowMissingColumns=True)
+    s = s.groupBy(key).agg(*(F.max(c).alias(c) for c in s.columns if c != key))
     span = F.lit(years) if years else F.greatest(F.col("_years"), F.lit(1 / 365.25))
     s = s.withColumn("annual_pct", F.col("total_pct") / span)
     calmar = F.when(F.col("max_drawdown") > 0, F.col("annual_pct") / F.col("max_drawdown"))

@@ -98,8 +98,8 @@ def sweep_trades(daily: DataFrame, features: DataFrame, axes: dict[str, list[flo
 
     Candidates of the loosest threshold and minimum are generated once; every
     parameter set keeps its own of them by conditions, ranks them by its own
-    budget, and takes its trades from exits that are computed once for each
-    threshold.
+    budget, and takes its trades from exits that one plan gives for all
+    thresholds.
     """
     spark = daily.sparkSession
     values = {"threshold": axes.get("threshold", [p.threshold]), "min_filters": axes.get("min_filters", [p.min_filters]), "budget": axes.get("budget", [p.budget])}
@@ -111,10 +111,7 @@ def sweep_trades(daily: DataFrame, features: DataFrame, axes: dict[str, list[flo
     level = scored.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in sorted(set(values["threshold"]))))))
     level = level.withColumn("trigger_price", F.col("prev_close") * F.when(short, 1 - F.col("threshold")).otherwise(1 + F.col("threshold")))
     level = level.where(F.when(short, F.col("low") <= F.col("trigger_price")).otherwise(F.col("high") >= F.col("trigger_price")))
-    parts = [outcomes.multi_day_exits(daily_entries(level.where(F.col("threshold") == t)), daily) for t in sorted(set(values["threshold"]))]
-    trades = parts[0]
-    for x in parts[1:]:
-        trades = trades.unionByName(x)
+    trades = outcomes.multi_day_exits(daily_entries(level), daily, variant=("threshold",))
     trades = outcomes.economics(trades.where(F.col("exit_price").isNotNull()))
     # the list that the user states, not data
     sets = grid(spark, {"threshold": values["threshold"], "min_filters": values["min_filters"], "budget": values["budget"]})

@@ -182,6 +182,11 @@ def track_stops_batch(bars_: DataFrame, positions: DataFrame, activation: float
     return hit.groupBy("symbol").agg(F.min_by(row, "bar_start").alias("x")).select("symbol", "x.*")
 
 
+def late_rows(query) -> int:
+    """Rows that a stream's stateful steps have dropped so far for being behind the watermark."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for progress in query.recentProgress for op in progress["stateOperators"])
+
+
 def once(stream: DataFrame, keys: list[str], time: str, delay: str = "10 minutes") -> DataFrame:
     """Rows of a key that come again within the delay, in one batch or in later ones, are left out; state ends with the watermark."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

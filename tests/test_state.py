@@ -150,3 +150,13 @@ def test_checked_lines(spark, tmp_path):
     assert sorted(reasons["malformed_line"]) == sorted([lines[2], lines[3], lines[4], lines[9]])
     with pytest.raises(ValueError):
         quality.read_checked(spark, str(tmp_path / "in"), T.StructType(schema.fields[1:]))
+
+
+def test_rules_are_counted_within_the_scan(spark, tmp_path):
+    bars = some_bars(spark).withColumn("high", F.when(F.col("volume") % 7 == 0, F.col("low") - 1).otherwise(F.col("high"))).withColumn("open", F.when(F.col("volume") % 11 != 0, F.col("open"))).cache()
+    rules = {"bad_range": quality.bad_range(), "null_price": quality.any_price(lambda p: p.isNull())}
+    seen, counts = quality.observed(bars, rules, "rules")
+    seen.write.parquet(str(tmp_path / "out"))
+    expected = {r.issue_code: r["count"] for r in quality.flagged(bars, rules).groupBy("issue_code").count().collect()}
+    assert counts.get == {"n_rows": bars.count()} | expected and all(expected.values())
+    assert seen._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") == 1

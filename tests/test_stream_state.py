@@ -149,3 +149,14 @@ def test_replay_in_the_order_of_time(spark, tmp_path):
     days = [(n, t.date()) for n, t in seen]
     assert days == sorted(days) and len({n for n, _ in days}) == len({d for _, d in days})
     assert all(t.date() >= early.date() for _, t in seen[first:])
+
+
+def test_late_ticks_are_counted(spark, tmp_path):
+    schema = "symbol string, ts timestamp, last_price double, volume long"
+    tick = lambda m: ("a", START + datetime.timedelta(minutes=m), 1.0, m)
+    for batch in ([tick(0), tick(60)], [tick(61)], [tick(2), tick(3), tick(62)], [tick(300)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = st.bars(st.replay(spark, str(tmp_path / "in"), schema), delay="10 minutes").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    # two ticks of one bar are partly added up before they are found late
+    assert st.late_rows(q) == 1 and {r.n_ticks for r in spark.table("late").collect()} == {1, 3}
