@@ -71,7 +71,7 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Model:
-    """Pieces of a model file.  What encoding builds stays in the process and is not pickled."""
+    """Pieces of a model file.  What encoding builds and remembers stays in the process."""
 
     def __init__(self, raw: bytes):
         if len(raw) > LARGEST:
@@ -109,8 +109,19 @@ class Model:
     def _fresh(self) -> None:
         self.automaton, self.segments, self.pairs = None, {}, {}
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"automaton": None, "segments": {}, "pairs": {}}
+    def plain(self) -> dict:
+        """What is sent to the tasks: lists, arrays and numbers only, so that they need not know this class."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "segments", "pairs")}
+
+    @classmethod
+    def restored(cls, plain: dict) -> Model:
+        """The model of plain(), which stays with it in a process, and so does what it remembers."""
+        if "model" not in plain:
+            model = cls.__new__(cls)
+            model.__dict__.update(plain)
+            model._fresh()
+            plain["model"] = model
+        return plain["model"]
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging: the pair with the best score first, then the leftmost."""
@@ -216,7 +227,7 @@ class Segments(Spans):
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    model = model.value
+    model = Model.restored(model.value)
     for batch in pieces(batches, "text", PIECE):
         marked = pc.replace_substring(batch.column("text").cast(pa.large_string()).fill_null(""), " ", MARK)
         marked = pc.if_else(pc.equal(pc.binary_length(marked), 0), marked, pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), marked, pa.scalar("", pa.large_string())))
@@ -248,7 +259,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     normalising rules, without byte fallback) is refused.
     """
     with open(model, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(Model(file.read()))
+        shared = docs.sparkSession.sparkContext.broadcast(Model(file.read()).plain())
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(lambda batches: _encoded(batches, shared), "doc_id long, ids array<int>")
 
