@@ -23,6 +23,16 @@ def gap(now: Column, before: Column) -> Column:
     return ratio(now - before, before)
 
 
+def places(x: Column, n: int) -> Column:
+    """x to n places: the nearest whole number of 10^-n, halves away from zero.
+
+    It is the scaled number that is rounded, as engines do that round doubles;
+    F.round goes by the digits that a double is written with, and parts from
+    them where those end in a five.
+    """
+    return F.round(x * float(10**n)) / float(10**n)
+
+
 def range_share(part: Column, high: Column, low: Column) -> Column:
     """part / (high - low), or NULL where the bar has no range."""
     return F.when(high - low > 0, part / (high - low))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import places
 from ..operators import candidates, features, outcomes, quality, reconcile, reports
 from ..operators.candidates import Params
 from ..sources import bars as src
@@ -191,7 +192,7 @@ def trades(spark, sf) -> DataFrame:
 
 
 def trade_rows(t: DataFrame) -> DataFrame:
-    money = (F.round(c, n).alias(c) for c, n in (("gross_pnl", 4), ("cost", 2), ("net_pnl", 4), ("pnl_pct", 6), ("pnl_r", 6)))
+    money = (places(F.col(c), n).alias(c) for c, n in (("gross_pnl", 4), ("cost", 2), ("net_pnl", 4), ("pnl_pct", 6), ("pnl_r", 6)))
     return t.select("symbol", "date", "entry_price", "initial_stop", "exit_date", "exit_price", "exit_reason", F.col("holding_days").cast("long").alias("holding_days"), F.col("qty").cast("double").alias("qty"), *money)
 
 

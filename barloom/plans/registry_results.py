@@ -22,7 +22,7 @@ CANDIDATES = (DAILY, FEATURES, oracle.lagged())
 
 def number(columns: dict[str, int]) -> list:
     """Columns rounded to so many places: sums in another order differ in the last bits."""
-    return [F.round(c, n).alias(c) for c, n in columns.items()]
+    return [ex.places(F.col(c), n).alias(c) for c, n in columns.items()]
 
 
 # Trades and their reports
