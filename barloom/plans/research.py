@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import Costs
+from ..functions.expressions import Costs, places
 from ..operators import candidates, outcomes, reports
 from ..operators.candidates import Params
 
@@ -125,13 +125,22 @@ def sweep(daily: DataFrame, features: DataFrame, axes: dict[str, list[float]], p
     j = sweep_trades(daily, features, axes, p)
     report = reports.trade_report(j, "param_id", "threshold", "min_filters", "budget")
     totals = j.groupBy("param_id").agg(F.sum("pnl_pct").alias("total_pct"))
-    return report.join(totals, "param_id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_pct"), "param_id")))
+    return by_total(report.join(totals, "param_id"))
+
+
+def by_total(sets: DataFrame) -> DataFrame:
+    """Parameter sets with their rank by total percent.
+
+    Totals are compared to four places: sets that take the same trades are
+    equal and go by their number, in whatever order their trades were added up.
+    """
+    return sets.withColumn("rank", F.row_number().over(Window.orderBy(places(F.col("total_pct"), 4).desc(), "param_id")))
 
 
 def best_by_fold(trades: DataFrame, folds: DataFrame, key: str = "param_id") -> DataFrame:
-    """Per fold the parameter set with the best train result, and its test result."""
+    """Per fold the parameter set with the best train result, to four places, and its test result."""
     from ..operators.reconcile import assign_folds
 
     m = assign_folds(trades, folds).groupBy("fold", key).agg(F.sum(F.when(F.col("part") == "train", F.col("pnl_pct"))).alias("train_pct"), F.sum(F.when(F.col("part") == "test", F.col("pnl_pct"))).alias("test_pct"))
-    order = Window.partitionBy("fold").orderBy(F.desc_nulls_last("train_pct"), key)
+    order = Window.partitionBy("fold").orderBy(places(F.col("train_pct"), 4).desc_nulls_last(), key)
     return m.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
