@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Costs, invalidated, minutes_from_open
+from .candidates import AHEAD
 
 
 def bars_of_day():
@@ -115,6 +116,12 @@ class ExitRules:
     abnormal_gap: float = 0.20
 
 
+def kept_rows(signals: DataFrame) -> DataFrame:
+    """holding_rows of signals with bars_ahead, each followed as far as that reaches; one row without a bar for a signal that nothing follows."""
+    rows = signals.select("*", F.posexplode(AHEAD).alias("day", "_bar")).where(F.col("_bar").isNotNull() | (F.col("day") == 0))
+    return rows.select(*(c for c in signals.columns if c != AHEAD), (F.col("day") + 1).alias("day"), "_bar.*")
+
+
 def holding_rows(signals: DataFrame, bars: DataFrame, days: int) -> DataFrame:
     """Each signal with the `days` bars after its own: an equi join on the bar's number, at most `days` rows a signal."""
     order = Window.partitionBy("symbol").orderBy("date")
@@ -123,7 +130,7 @@ def holding_rows(signals: DataFrame, bars: DataFrame, days: int) -> DataFrame:
     return at.join(numbered.withColumnRenamed("date", "bar_date"), ["symbol", "bar_no"]).drop("bar_no")
 
 
-def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = ExitRules(), delistings: DataFrame | None = None, variant: tuple[str, ...] = ()) -> DataFrame:
+def multi_day_exits(signals: DataFrame, bars: DataFrame | None, rules: ExitRules = ExitRules(), delistings: DataFrame | None = None, variant: tuple[str, ...] = ()) -> DataFrame:
     """The exit of each signal (symbol, date, direction, entry_price, initial_stop, carry_stop).
 
     Signals of one symbol, date and direction are told apart by the columns of
@@ -135,12 +142,15 @@ def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = Exit
     favour, trails the best price once that is far enough, and from the day
     min_hold_days on follows the day's worst price.  Without an exit the last
     day's close is taken.  A signal without later bars has no exit.
+
+    Without bars, signals have bars_ahead, of time_stop_days bars (candidates.Params.ahead).
     """
     c = F.col
     # options ride on the bars, so signals may carry columns of any name
     keys = ["symbol", "date", "direction", *variant]
-    s = signals.select(*keys, "entry_price", "initial_stop", "carry_stop")
-    r = holding_rows(s, bars, rules.time_stop_days)
+    columns = [x for x in signals.columns if x not in ("exit_date", "exit_price", "exit_reason", "holding_days", AHEAD)]
+    s = signals.select(*keys, "entry_price", "initial_stop", "carry_stop", *([] if bars is not None else [AHEAD, F.struct(*columns).alias("_signal")]))
+    r = kept_rows(s) if bars is None else holding_rows(s, bars, rules.time_stop_days)
     if delistings is not None:
         r = r.join(delistings.select("symbol", "delisting_date"), "symbol", "left")
     else:
@@ -184,10 +194,12 @@ def multi_day_exits(signals: DataFrame, bars: DataFrame, rules: ExitRules = Exit
     )
     r = r.withColumn("found", found)
     hit = F.min_by(F.struct("day", "bar_date", "found"), F.when(c("found").isNotNull(), c("day")))
-    last = F.max_by(F.struct("day", "bar_date", made(c("x"), F.lit("TIME_EXIT")).alias("found")), "day")
-    out = r.groupBy(*keys).agg(F.coalesce(hit, last).alias("e"), F.first("sign").alias("sign"))
-    out = out.select(*keys, c("e.day").alias("holding_days"), c("e.bar_date").alias("exit_date"), (c("e.found.price") * c("sign")).alias("exit_price"), c("e.found.reason").alias("exit_reason"))
-    return signals.drop("exit_date", "exit_price", "exit_reason", "holding_days").join(out, keys, "left")
+    last = F.max_by(F.struct("day", "bar_date", made(c("x"), F.lit("TIME_EXIT")).alias("found")), F.when(c("bar_date").isNotNull(), c("day")))
+    out = r.groupBy(*keys).agg(F.coalesce(hit, last).alias("e"), F.first("sign").alias("sign"), *([F.first("_signal").alias("_signal")] if bars is None else []))
+    # a signal that has its bars with it comes through the groups whole; joined to them, all that led to it would run twice
+    head = keys if bars is not None else [c(f"_signal.{x}").alias(x) for x in columns]
+    out = out.select(*head, c("e.day").alias("holding_days"), c("e.bar_date").alias("exit_date"), (c("e.found.price") * c("sign")).alias("exit_price"), c("e.found.reason").alias("exit_reason"))
+    return out if bars is None else signals.select(*columns).join(out, keys, "left")
 
 
 def union_calendar(bars: DataFrame) -> DataFrame:

@@ -152,43 +152,43 @@ CANDIDATE = "symbol date watch_date prev_close gap_pct value_traded filter_h fil
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), select=f"select {', '.join(CANDIDATE)} from cand where filters_passed >= 3"))
 def o1_breakout_candidates(spark, sf):
-    return candidates.generate(daily(spark, sf), rounded(feats(spark, sf)), Params(min_filters=3, **LIMITS)).select(*CANDIDATE)
+    return candidates.generate(None, rounded(feats(spark, sf)), Params(min_filters=3, **LIMITS)).select(*CANDIDATE)
 
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(True), select=f"select {', '.join(CANDIDATE)} from cand where filters_passed >= 3"))
 def o1_breakdown_candidates(spark, sf):
-    return candidates.generate(daily(spark, sf), rounded(feats(spark, sf)), Params("breakdown", min_filters=3, **LIMITS)).select(*CANDIDATE)
+    return candidates.generate(None, rounded(feats(spark, sf)), Params("breakdown", min_filters=3, **LIMITS)).select(*CANDIDATE)
 
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), select="""select l.symbol, l.date, l.gap_pct, l.close * l.volume value_traded, case when l.gap_pct > 0 then 'LONG' else 'SHORT' end direction, l.close > f.ma_20 above_ma20, f.ret_5d > 0 positive_momentum
   from lagged l left join compat f using (symbol, date) where l.rn > 2 and abs(l.gap_pct) >= 0.05 and l.prev_close is not null and l.close >= 10 and l.close * l.volume >= 30000 and l.volume >= 20 and f.close_pos_in_range is not null"""))
 def o1_episodic_candidates(spark, sf):
-    return candidates.generate(daily(spark, sf), feats(spark, sf), Params("episodic", **LIMITS)).select("symbol", "date", "gap_pct", "value_traded", "direction", "above_ma20", "positive_momentum")
+    return candidates.generate(None, feats(spark, sf), Params("episodic", **LIMITS)).select("symbol", "date", "gap_pct", "value_traded", "direction", "above_ma20", "positive_momentum")
 
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), select="""select symbol, date, gap_pct, filters_passed from (select l.symbol, l.date, l.gap_pct, cast(coalesce(f.close_pos_in_range >= 0.7, false) as int) + cast(coalesce((l.prev_high - l.prev_low) < f.atr_20 * 0.5 or l.prev_close < l.prev_open, false) as int)
   + cast(coalesce(f.prior_breakouts_30d, 0) <= 2 as int) + cast(coalesce(f.vol_dryup_ratio < 1.3, false) as int) + cast(coalesce(cast(l.close > f.ma_20 as int) + cast(f.ret_5d > 0 as int) + cast(coalesce(nullif(f.r2_65, 0), 0) >= 0.7 as int) >= 2, false) as int) + cast(coalesce(w1 <= 0 or w2 <= 0, false) as int) filters_passed
   from lagged l left join compat f using (symbol, date) where l.gap_pct >= 0.04 and l.close >= 10 and l.close * l.volume >= 30000 and l.volume >= 20 and f.close_pos_in_range is not null) where filters_passed >= 3"""))
 def o1_legacy_candidates(spark, sf):
-    return candidates.generate(daily(spark, sf), rounded(feats(spark, sf)), Params("legacy", min_filters=3, **LIMITS)).select("symbol", "date", "gap_pct", "filters_passed")
+    return candidates.generate(None, rounded(feats(spark, sf)), Params("legacy", min_filters=3, **LIMITS)).select("symbol", "date", "gap_pct", "filters_passed")
 
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), BREAKOUT_RANK, select="select symbol, date, selection_score, selection_rank, selection_rank <= 30 selected from ranked"))
 def w19_breakout_ranking(spark, sf):
     p = Params(min_filters=3, **LIMITS)
-    return candidates.select_candidates(candidates.generate(daily(spark, sf), rounded(feats(spark, sf)), p), p).select("symbol", "date", "selection_score", "selection_rank", "selected")
+    return candidates.select_candidates(candidates.generate(None, rounded(feats(spark, sf)), p), p).select("symbol", "date", "selection_score", "selection_rank", "selected")
 
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(True), BREAKDOWN_RANK, select="select symbol, date, round(selection_score, 4) selection_score, selection_rank <= 5 selected from ranked"))
 def w20_breakdown_ranking(spark, sf):
     p = Params("breakdown", min_filters=3, budget=5, **LIMITS)
-    out = candidates.select_candidates(candidates.generate(daily(spark, sf), rounded(feats(spark, sf)), p), p)
+    out = candidates.select_candidates(candidates.generate(None, rounded(feats(spark, sf)), p), p)
     return out.select("symbol", "date", F.round("selection_score", 4).alias("selection_score"), "selected")
 
 
 def trades(spark, sf) -> DataFrame:
     p = Params(min_filters=3, **LIMITS)
-    return research.backtest(daily(spark, sf), rounded(feats(spark, sf)), p).withColumn("exp_id", F.lit("breakout"))
+    return research.backtest(None, rounded(feats(spark, sf)), p).withColumn("exp_id", F.lit("breakout"))
 
 
 def trade_rows(t: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def a12_r_distribution(spark, sf):
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), select="select " + " || ".join(f"case when coalesce(filter_{x}, false) then '{x.upper()}' else '-' end" for x in "hnycl2") + " combination, count(*) n from cand group by 1 order by n desc, combination limit 20"))
 def a17_filter_combinations(spark, sf):
-    rows = candidates.breakout(daily(spark, sf), rounded(feats(spark, sf)), Params(**LIMITS))
+    rows = candidates.breakout(None, rounded(feats(spark, sf)), Params(**LIMITS))
     return reports.filter_combinations(rows, candidates.FLAGS)
 
 

@@ -32,7 +32,7 @@ def p7_directed_filter(spark, sf):
 @query(sql(DAILY, FEATURES, "share as (select date, cast(count(*) filter (close >= 10 and close < ma_20) as double) / nullif(count(*) filter (close >= 10 and ma_20 is not null), 0) s from feat group by 1)", oracle.lagged(), oracle.threshold_candidates(True), select="select c.symbol, c.date from cand0 c left join share on share.date = c.watch_date where coalesce(s, 0) > 0.5"))
 def j8_breadth_gate(spark, sf):
     p = Params("breakdown", breadth_threshold=0.5, **LIMITS)
-    return candidates.breakdown(daily(spark, sf), rounded(feats(spark, sf)), p).select("symbol", "date")
+    return candidates.breakdown(None, rounded(feats(spark, sf)), p).select("symbol", "date")
 
 
 @query(sql(BARS, select="select symbol, candle_time, hour(candle_time) * 60 + minute(candle_time) - 555 as from_open from bars"))
@@ -109,7 +109,7 @@ def a24_fold_consistency(spark, sf):
 
 @query(sql(DAILY, FEATURES, oracle.lagged(), oracle.threshold_candidates(False), BREAKOUT_RANK, select="select symbol, date, slot from (select symbol, date, row_number() over (partition by date order by selection_score desc, symbol) slot from c3) where slot <= 3"))
 def t4_t7_slots(spark, sf):
-    rows = candidates.breakout_score(candidates.generate(daily(spark, sf), rounded(feats(spark, sf)), Params(min_filters=3, **LIMITS)))
+    rows = candidates.breakout_score(candidates.generate(None, rounded(feats(spark, sf)), Params(min_filters=3, **LIMITS)))
     return candidates.take_slots(rows, 3, "date").select("symbol", "date", "slot")
 
 

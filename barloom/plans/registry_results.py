@@ -33,7 +33,7 @@ SHORT_SQL = (*CANDIDATES, oracle.threshold_candidates(True), BREAKDOWN_RANK, tra
 @query(sql(*SHORT_SQL, select=TRADE_ROWS))
 def o4_o7_short_trades(spark, sf):
     p = Params("breakdown", min_filters=3, budget=5, **LIMITS)
-    return trade_rows(research.backtest(daily(spark, sf), rounded(feats(spark, sf)), p))
+    return trade_rows(research.backtest(None, rounded(feats(spark, sf)), p))
 
 
 REPORT = {"win_rate": 6, "net_pnl": 2, "avg_pct": 4, "avg_r": 4, "avg_days": 6, "cost": 2, "profit_factor": 6}
@@ -179,7 +179,7 @@ trades as materialized (select * from ranked where budget = 0 or k <= budget)
 
 @query(sweep_sql() + f"select *, row_number() over (order by total_pct desc, param_id) rank from (select cast(param_id as bigint) param_id, cast(threshold as double) threshold, cast(min_filters as double) min_filters, cast(budget as double) budget, {REPORT_SQL}, round(sum(pnl_pct), 4) total_pct from trades group by 1, 2, 3, 4)")
 def o13_parameter_sweep(spark, sf):
-    s = research.sweep(daily(spark, sf), rounded(feats(spark, sf)), AXES, Params(**LIMITS))
+    s = research.sweep(None, rounded(feats(spark, sf)), AXES, Params(**LIMITS))
     return s.select("param_id", "threshold", "min_filters", "budget", "trades", "wins", "losses", *number(REPORT | {"total_pct": 4}), F.col("rank").cast("long").alias("rank"))
 
 
@@ -208,7 +208,7 @@ def j12_fold_assignment(spark, sf):
 select fold, param_id, train_pct, test_pct from (select *, row_number() over (partition by fold order by train_pct desc nulls last, param_id) k from m) where k = 1""")
 def o12_o14_best_by_fold(spark, sf):
     d = daily(spark, sf)
-    t = research.sweep_trades(d, rounded(feats(spark, sf)), AXES, Params(**LIMITS))
+    t = research.sweep_trades(None, rounded(feats(spark, sf)), AXES, Params(**LIMITS))
     best = research.best_by_fold(t, research.windows_of(d, 504, 126, 126))
     return best.select(F.col("fold").cast("long").alias("fold"), "param_id", *number({"train_pct": 4, "test_pct": 4}))
 
@@ -218,7 +218,7 @@ def o12_o14_best_by_fold(spark, sf):
 @query(sql(*CANDIDATES, oracle.threshold_candidates(True), "r as (select *, avg(atr_20) over (partition by symbol order by date rows between 19 preceding and current row) a from cand0 where gap_pct > -0.04)", select="select symbol, date from r where atr_20 > a"))
 def p8_w18_short_options(spark, sf):
     p = Params("breakdown", skip_gap_down=True, require_atr_expansion=True, **LIMITS)
-    return candidates.breakdown(daily(spark, sf), rounded(feats(spark, sf)), p).select("symbol", "date")
+    return candidates.breakdown(None, rounded(feats(spark, sf)), p).select("symbol", "date")
 
 
 FLAG_COLUMNS = ", ".join(FLAGS)
@@ -227,7 +227,7 @@ FLAG_COLUMNS = ", ".join(FLAGS)
 @query(sql(*CANDIDATES, oracle.threshold_candidates(True, strict=True, narrow=True, prior=2), select=f"select symbol, date, {FLAG_COLUMNS} from cand0"))
 def p8_short_variants(spark, sf):
     p = Params("breakdown", strict_trend=True, narrow_only=True, max_prior_breakdowns=2, **LIMITS)
-    return candidates.breakdown(daily(spark, sf), rounded(feats(spark, sf)), p).select("symbol", "date", *FLAGS)
+    return candidates.breakdown(None, rounded(feats(spark, sf)), p).select("symbol", "date", *FLAGS)
 
 
 CHECKS = {
@@ -238,7 +238,7 @@ SCAN = "scan as (select l.symbol, l.date, l.gap_pct, unnest([" + ", ".join(f"{{'
 
 
 def scan(spark, sf) -> DataFrame:
-    return candidates.gap_scan(daily(spark, sf), rounded(feats(spark, sf)), candidates.ScanConfig(min_volume=20, min_value=30_000.0))
+    return candidates.gap_scan(None, rounded(feats(spark, sf)), candidates.ScanConfig(min_volume=20, min_value=30_000.0))
 
 
 @query(sql(*CANDIDATES, SCAN, select="select symbol, date, gap_pct, count(*) filter (x.passed) n_passed, count(*) filter (x.passed) / 10 score, string_agg(x.letter, ',' order by x.letter) filter (x.passed) letters from scan group by 1, 2, 3"))

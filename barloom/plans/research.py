@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 from itertools import product
 
@@ -76,8 +77,14 @@ def daily_entries(rows: DataFrame) -> DataFrame:
     return e.withColumns({"initial_stop": stop, "carry_stop": F.lit(None).cast("double")})
 
 
-def backtest(daily: DataFrame, features: DataFrame, p: Params, bars: DataFrame | None = None, rules: outcomes.ExitRules = outcomes.ExitRules(), costs: Costs = Costs(), start=None, end=None, open_minute: int = 555) -> DataFrame:
-    """Candidates, daily budget, entries, exits over several days and trade economics, as one plan over all years."""
+def backtest(daily: DataFrame | None, features: DataFrame, p: Params, bars: DataFrame | None = None, rules: outcomes.ExitRules = outcomes.ExitRules(), costs: Costs = Costs(), start=None, end=None, open_minute: int = 555) -> DataFrame:
+    """Candidates, daily budget, entries, exits over several days and trade economics, as one plan over all years.
+
+    daily None: the features' table has the bars (candidates), and each row takes
+    the bars that follow it along, so bars are neither joined nor shuffled again.
+    """
+    if daily is None:
+        p = replace(p, ahead=rules.time_stop_days)
     rows = candidates.select_candidates(candidates.generate(daily, features, p, start, end), p).where("selected")
     rows = signals(rows, p.threshold)
     if bars is None:
@@ -93,15 +100,17 @@ def backtest(daily: DataFrame, features: DataFrame, p: Params, bars: DataFrame |
     return outcomes.economics(exits.where(F.col("exit_price").isNotNull()), costs=costs)
 
 
-def sweep_trades(daily: DataFrame, features: DataFrame, axes: dict[str, list[float]], p: Params = Params()) -> DataFrame:
+def sweep_trades(daily: DataFrame | None, features: DataFrame, axes: dict[str, list[float]], p: Params = Params()) -> DataFrame:
     """Trades of every parameter set (threshold, min_filters, budget), with its param_id, from one pass over the candidates.
 
     Candidates of the loosest threshold and minimum are generated once; every
     parameter set keeps its own of them by conditions, ranks them by its own
     budget, and takes its trades from exits that one plan gives for all
-    thresholds.
+    thresholds.  daily None as in backtest.
     """
-    spark = daily.sparkSession
+    spark = features.sparkSession
+    if daily is None:
+        p = replace(p, ahead=outcomes.ExitRules().time_stop_days)
     values = {"threshold": axes.get("threshold", [p.threshold]), "min_filters": axes.get("min_filters", [p.min_filters]), "budget": axes.get("budget", [p.budget])}
     loose = Params(**{**p.__dict__, "threshold": min(values["threshold"]), "min_filters": int(min(values["min_filters"])), "budget": 0})
     rows = candidates.generate(daily, features, loose)
@@ -120,7 +129,7 @@ def sweep_trades(daily: DataFrame, features: DataFrame, axes: dict[str, list[flo
     return j.withColumn("selection_rank", F.row_number().over(order)).where((F.col("budget") <= 0) | (F.col("selection_rank") <= F.col("budget")))
 
 
-def sweep(daily: DataFrame, features: DataFrame, axes: dict[str, list[float]], p: Params = Params()) -> DataFrame:
+def sweep(daily: DataFrame | None, features: DataFrame, axes: dict[str, list[float]], p: Params = Params()) -> DataFrame:
     """Metrics of every parameter set, ranked by total percent; see sweep_trades."""
     j = sweep_trades(daily, features, axes, p)
     report = reports.trade_report(j, "param_id", "threshold", "min_filters", "budget")
