@@ -114,12 +114,13 @@ def eights() -> dict[str, Column]:
     return {f"{c}_{k}": back(c, k) for c in ("_mean_8", "_var_8", "_cov_8") for k in range(0, TREND - 1, 8)} | {"_first": F.lag("close", TREND - 1).over(by_date())}
 
 
-def straightened(df: DataFrame) -> DataFrame:
+def straightened(df: DataFrame, mean_as: str | None = None) -> DataFrame:
     """df with r2_65: R squared of the closes of the last 65 rows against their row numbers; 1 if they are all equal, NULL for one row.
 
     Variances of groups of eight rows are put together with those of their
     means, so nothing large is subtracted from something large, and a frame is
     not gone over row by row.  The first rows have the running _r2_so_far.
+    mean_as names a column for the mean of the 65 rows; NULL before there are so many.
     """
     groups = range(0, TREND - 1, 8)
     g = lambda c, k: F.col(f"_{c}_8_{k}")
@@ -133,6 +134,8 @@ def straightened(df: DataFrame) -> DataFrame:
     df = df.withColumns({"_yy": yy, "_xy": xy})
     full = F.when(F.col("_low_65") == F.col("_high_65"), 1.0).otherwise(F.col("_xy") * F.col("_xy") / (F.col("_yy") * (TREND * (TREND * TREND - 1) / 12)))
     out = df.withColumn("r2_65", F.when(F.col("rn") >= TREND, full).otherwise(F.col("_r2_so_far")))
+    if mean_as:
+        out = out.withColumn(mean_as, mean)
     return out.drop("_low_65", "_high_65", "_mean", "_yy", "_xy", "_first", "_r2_so_far", *(f"_{c}_8_{k}" for c in ("mean", "var", "cov") for k in groups))
 
 
@@ -179,28 +182,36 @@ def derived_features(features: DataFrame, short: bool = False, null_mode: str =
 
 def strict_features(bars: DataFrame) -> DataFrame:
     """Rolling features that are NULL until their window is full."""
-    rows = lambda n: F.count("close").over(last_rows(n))
+    rows = lambda n: F.col("_known") - F.lag("_known", n, 0).over(by_date())
     full = lambda n, v: F.when(rows(n) >= n, v)
     x = F.col("close")
     b = bars.withColumns({"_lag": F.lag("close", 1).over(by_date()), "_n": F.row_number().over(by_date()), "_value": x * F.col("volume")})
     b = b.withColumn("true_range", F.coalesce(true_range3(F.col("high"), F.col("low"), F.col("_lag")), F.col("high") - F.col("low")))
-    b = b.withColumn("atr_20", full(20, F.avg("true_range").over(last_rows(20)))).withColumn("ret_1d", growth(x, F.col("_lag")))
+    b = b.withColumn("ret_1d", growth(x, F.col("_lag")))
+    # counts are whole, so the difference of running ones is exact, and no frame of theirs is gone over
+    b = b.withColumns({"_known": F.count("close").over(so_far()), "_ups": F.sum(F.when(F.col("ret_1d") >= 0.04, 1).otherwise(0)).over(so_far())})
+    b = b.withColumn("atr_20", full(20, F.avg("true_range").over(last_rows(20))))
+    # mean and trend of 65 rows from groups of eight, as in daily_features
+    eight = last_rows(8)
+    b = b.withColumns({"rn": F.col("_n"), "_low_8": F.min("close").over(eight), "_high_8": F.max("close").over(eight), "_mean_8": F.avg("close").over(eight), "_var_8": F.var_pop("close").over(eight), "_cov_8": F.covar_pop("close", "_n").over(eight)})
+    b = b.withColumns(widened(8, TREND) | {"_r2_so_far": F.lit(None).cast("double")}).drop("_low_8", "_high_8")
+    b = straightened(b.withColumns(eights()), "_mean_65").drop("_mean_8", "_var_8", "_cov_8", "rn")
     low, high = F.min("low").over(last_rows(252)), F.max("high").over(last_rows(252))
     return b.withColumns(
         {
             "ret_5d": growth(x, F.lag("close", 5).over(by_date())),
             "ma_20": full(20, F.avg("close").over(last_rows(20))),
-            "ma_65": full(65, F.avg("close").over(last_rows(65))),
+            "ma_65": full(65, F.col("_mean_65")),
             "rs_252": full(252, ratio(x, F.avg("close").over(last_rows(252))) - 1),
-            "r2_65": full(65, F.regr_r2("close", "_n").over(last_rows(65))),
+            "r2_65": full(65, F.col("r2_65")),
             "slope_65": full(65, F.regr_slope("close", "_n").over(last_rows(65))),
             "atr_compress_ratio": F.when(rows(70) >= 70, ratio(F.col("atr_20"), F.avg("atr_20").over(last_rows(50)))),
             "range_percentile": full(252, F.when(high == low, 0.5).otherwise((x - low) / F.nullif(high - low, F.lit(0)))),
             "vol_dryup_ratio": full(20, ratio(F.col("volume"), F.avg("volume").over(last_rows(20)))),
             "dollar_vol_20": full(20, F.avg("_value").over(last_rows(20))),
-            "prior_breakouts_90d": F.coalesce(F.sum(F.when(F.col("ret_1d") >= 0.04, 1).otherwise(0)).over(last_rows(91, 1)), F.lit(0)),
+            "prior_breakouts_90d": F.coalesce(counted("_ups", 91), F.lit(0)),
         }
-    ).drop("_lag", "_n", "_value")
+    ).drop("_lag", "_n", "_value", "_known", "_ups", "_mean_65")
 
 
 def new_high_counts(bars: DataFrame, look_back: int = 20, count_over: int = 90) -> DataFrame:
