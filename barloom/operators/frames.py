@@ -1,17 +1,21 @@
 """Order statistics over sliding frames of rows.
 
 Spark's frames have sums and extremes; a percentile of each frame would sort the
-frame again for every row.  Here the rows of a symbol are numbered and cut into
-blocks, each block gets the rows that its first frames look back on, and within a
-block a skip list follows the frame, which costs the logarithm of its length a
-row.  A task holds one block, however long a symbol's history is.
+frame again for every row.  Here the rows of a symbol come in order, in batches of
+many symbols, and a skip list follows the frames, which costs the logarithm of their
+length a row.  A task holds a batch and the rows that its first frames look back on,
+however long a symbol's history is and however many symbols there are.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import by_date
 
@@ -23,29 +27,48 @@ def sliding_quantiles(df: DataFrame, wanted: dict[str, tuple[str, int, int, floa
 
     NULL, NaN and infinite values are unknown and left out; a frame without a
     known value gives NULL.  Rows with equal by and order follow in any order.
+    No frame looks back on more than `block` rows.
     """
     reach = max(first for _, first, _, _ in wanted.values())
     if reach > block or any(not 0 <= last <= first for _, first, last, _ in wanted.values()):
         raise ValueError("frames end at or before their row and are no longer than a block")
     used = sorted({c for c, *_ in wanted.values()})
     rows = df.select(by, order, *carry, *(F.col(c).cast("double").alias(f"_{c}") for c in used))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
-    own = F.floor(F.col("_n") / block).cast("int")
-    # the last rows of a block are looked back on from the next one
-    both = F.when(F.col("_n") % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = rows.withColumn("_block", F.explode(both)).withColumn("_own", F.col("_block") == own)
+    # the window deals rows by symbol and gives them out in order, which the numbers prove
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    kept = [by, order, *carry]
 
-    def follow(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_n")
-        for name, (column, first, last, q) in wanted.items():
-            frame[name] = frame[f"_{column}"].shift(last).rolling(first - last + 1, min_periods=1).quantile(q)
-        return frame.loc[frame["_own"], kept]
+    def follow(batches):
+        class Frames(BaseIndexer):
+            def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+                return self.starts, self.ends
 
-    kept = [by, order, *carry, *wanted]
-    types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept if c not in wanted), *(f"`{c}` double" for c in wanted)])
-    out = rows.groupBy(by, "_block").applyInPandas(follow, schema)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in wanted})
+        before, seen = {c: np.empty(0) for c in used}, 0
+        for batch in batches:
+            n = np.asarray(batch.column("_n"), dtype=np.int64)
+            if not len(n):
+                continue
+            previous = np.concatenate([[seen], n[:-1]])
+            if not np.all((n == 1) | (n == previous + 1)):
+                raise ValueError("rows of a symbol are not together and in order")
+            old = len(before[used[0]])
+            at = np.arange(old, old + len(n), dtype=np.int64)
+            values = {c: np.concatenate([before[c], np.asarray(batch.column(f"_{c}").to_numpy(zero_copy_only=False), dtype=float)]) for c in used}
+            columns = [batch.column(c) for c in kept]
+            for column, first, last, q in wanted.values():
+                # rows kept from the batch before have empty frames; starts and ends only grow
+                frames = Frames()
+                ends = np.maximum(at - last + 1, at - n + 1)
+                frames.starts = np.concatenate([np.zeros(old, np.int64), np.maximum(np.maximum(at - first, at - n + 1), 0)])
+                frames.ends = np.concatenate([np.zeros(old, np.int64), np.maximum(ends, frames.starts[old:])])
+                found = pd.Series(values[column]).rolling(frames, min_periods=1).quantile(q).to_numpy()[old:]
+                columns.append(pa.array(found, pa.float64(), mask=np.isnan(found)))
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *wanted])
+            before, seen = {c: v[max(len(v) - reach, 0) :].copy() for c, v in values.items()}, n[-1]
+
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*(fields[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in wanted)])
+    return rows.mapInArrow(follow, schema)
 
 
 def quiet_ranges(features: DataFrame, atr_rows: int = 20, rows: int = 15, reference: int = 60, share: float = 0.20, block: int = BLOCK) -> DataFrame:

@@ -120,6 +120,33 @@ def test_sliding_quantiles(spark, block):
         frames.sliding_quantiles(df, {"m": ("x", 5000, 1, 0.5)})
 
 
+def test_quantiles_over_batches_of_many_symbols(spark):
+    """Frames go on over the ends of batches, and no Python call is made for each symbol."""
+    rng = random.Random(4)
+    rows = [(None if s == 0 else f"s{s}", k, rng.random()) for s in range(40) for k in range(rng.choice([1, 3, 9, 30]))]
+    df = spark.createDataFrame(rows, "symbol string, date int, x double").repartition(3)
+    wanted = {"m": ("x", 9, 2, 0.5), "p": ("x", 5, 0, 0.2)}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = frames.sliding_quantiles(df, wanted)
+        got = {(r.symbol, r.date): r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    by = {}
+    for s, _, x in rows:
+        by.setdefault(s, []).append(x)
+    assert len(got) == len(rows)
+    for s, xs in by.items():
+        for k in range(len(xs)):
+            for name, (_, first, last, q) in wanted.items():
+                known = xs[max(0, k - first) : max(0, k - last + 1)]
+                have = got[s, k][name]
+                assert have is None if not known else abs(have - float(np.percentile(known, q * 100))) < 1e-9, (s, k, name)
+
+
 def test_checks_by_direction(spark):
     """What is unknown fails; h and n are mirrored, the others are not."""
     names = "direction close_pos_in_range prev_range prev_close prev_open atr_20 ret_1d_lag1 ret_1d_lag2 prior_breakouts_30d vol_dryup_ratio close ma_20 ret_5d r2_65".split()
