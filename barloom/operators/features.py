@@ -333,8 +333,9 @@ def adjustment_series(bars: DataFrame, actions: DataFrame, ex_date_inclusive: bo
     marks = f.select("symbol", F.col("ex_date").alias("date"), F.lit(0 if ex_date_inclusive else -1).alias("_kind"), F.col("_all"))
     rows = bars.withColumns({"_kind": F.lit(1 if not ex_date_inclusive else -1), "_all": F.lit(None).cast("double")})
     both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_bar", F.col("_kind") == (1 if not ex_date_inclusive else -1))
-    ahead = Window.partitionBy("symbol").orderBy("date", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    out = both.withColumn("adj_factor", F.coalesce(F.first("_all", ignorenulls=True).over(ahead), F.lit(1.0))).where("_bar")
+    # from the last row back, as a frame that grows is added to; one that shrinks would be gone over whole for each row
+    later_rows = Window.partitionBy("symbol").orderBy(F.desc("date"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("adj_factor", F.coalesce(F.last("_all", ignorenulls=True).over(later_rows), F.lit(1.0))).where("_bar")
     return out.withColumns({f"adj_{c}": F.col(c) * F.col("adj_factor") for c in ("open", "high", "low", "close")}).drop("_kind", "_all", "_bar")
 
 

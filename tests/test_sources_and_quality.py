@@ -128,6 +128,24 @@ def test_adjustment(spark):
         features.adjustment_series(d, acts.withColumn("action_type", F.lit("MERGER"))).collect()
 
 
+def test_adjustment_goes_over_a_history_once(spark):
+    """Factors of a long history with many actions, against products taken one by one; no frame shrinks with its row."""
+    d = spark.createDataFrame([("a", D0 + timedelta(i // 2), 100.0, 100.0, 100.0, 100.0, 1) for i in range(600)] + [("b", D0, 1.0, 1.0, 1.0, 1.0, 1)], DAILY)
+    days = [(D0 + timedelta(k), "SPLIT" if k % 2 else "RIGHTS", 2.0, 1.0) for k in range(5, 320, 45)]
+    acts = spark.createDataFrame([("a", *x) for x in days], "symbol string, ex_date date, action_type string, ratio_num double, ratio_den double")
+    for inclusive in (True, False):
+        out = features.adjustment_series(d, acts, inclusive)
+        found = out.select("symbol", "date", "adj_factor").collect()
+        assert "1, unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString()
+        assert len(found) == 601
+        for r in found:
+            want = 1.0
+            for day, kind, _, _ in days:
+                if r.symbol == "a" and (day > r.date or (inclusive and day == r.date)):
+                    want *= 0.5 if kind == "SPLIT" else 1 / 3
+            assert abs(r.adj_factor - want) <= 1e-12, r
+
+
 def test_expressions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x
