@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import action_factor, candle_shape, entry_window, filter_score, gap, growth, ratio, setup_flags, true_range3
+from ..functions.expressions import action_factor, as_int, candle_shape, entry_window, filter_score, gap, growth, ratio, setup_flags, true_range3
 
 
 def by_date():
@@ -32,6 +32,40 @@ def known(column: str, df: DataFrame) -> Column:
     return F.when(~F.isnan(c), c).alias(column) if dict(df.dtypes)[column] in ("double", "float") else c
 
 
+def earlier(column: str, rows, name: str | None = None) -> dict[str, Column]:
+    """name_k (column_k): the column that many rows before; columns that go as many rows back share a frame."""
+    stem = name or (column if column.startswith("_") else f"_{column}")
+    return {f"{stem}_{k}": F.lag(column, k).over(by_date()) for k in rows}
+
+
+def added(columns: list[Column]) -> tuple[Column, Column]:
+    """Sum of the columns that are known, and how many are; both 0 if none is."""
+    return sum((F.coalesce(c, F.lit(0.0)) for c in columns[1:]), F.coalesce(columns[0], F.lit(0.0))), sum((as_int(c.isNotNull()) for c in columns[1:]), as_int(columns[0].isNotNull()))
+
+
+def parts(column: str, n: int) -> dict[str, Column]:
+    """column_sum_n and column_known_n of the last n rows, from the column and what earlier() gives."""
+    total, count = added([F.col(column), *(F.col(f"{column}_{k}") for k in range(1, n))])
+    return {f"{column}_sum_{n}": total, f"{column}_known_{n}": count}
+
+
+def mean_of(groups: list[tuple[Column, Column]]) -> Column:
+    """Mean over groups of rows (sum, how many are known); groups before a symbol's first row are NULL and have none."""
+    total, count = (sum((F.coalesce(g[i], F.lit(0)) for g in groups[1:]), F.coalesce(groups[0][i], F.lit(0))) for i in (0, 1))
+    return ratio(total, count)
+
+
+def eight_rows(last: list[Column]) -> dict[str, Column]:
+    """Extremes of the last eight values, of fewer on the first rows, and their mean, NULL there."""
+    return {"_low_8": F.least(*last), "_high_8": F.greatest(*last), "_mean_8": sum(last[1:], last[0]) / 8}
+
+
+def eight_moments(last: list[Column]) -> dict[str, Column]:
+    """Variance of the last eight values and their covariance with the row number, about _mean_8."""
+    away = [c - F.col("_mean_8") for c in last]
+    return {"_var_8": sum((a * a for a in away[1:]), away[0] * away[0]) / 8, "_cov_8": sum((a * (3.5 - k) for k, a in enumerate(away[1:], 1)), away[0] * 3.5) / 8}
+
+
 def daily_features(bars: DataFrame) -> DataFrame:
     """Returns, ranges, shapes, trailing means, positions, counters and trend of each daily bar.
 
@@ -45,43 +79,50 @@ def daily_features(bars: DataFrame) -> DataFrame:
     base = bars.select("symbol", "date", *(known(c, bars) for c in ("open", "high", "low", "close", "volume"))).where(F.col("close").isNotNull())
     o, h, l, x = (F.col(k) for k in ("open", "high", "low", "close"))
     lag = lambda n: F.col(f"close_lag_{n}")
-    mean = lambda c, n, skip=0: F.avg(c).over(last_rows(n, skip))
     value = x * F.col("volume")
-    # windows, each over what the one before gives; rows are narrow there, as each window copies them
+    base = base.withColumns({"_range": h - l, "_volume": F.col("volume").cast("double"), "_value": value.cast("double")})
+    # windows, each over what the one before gives; rows are narrow there, as each window copies them.
+    # Short frames are lags put together by expressions: a frame calls its aggregates for each of its rows again
+    summed = ("_range", "_volume", "_value")
     base = base.withColumns(
         {f"close_lag_{n}": F.lag("close", n).over(by_date()) for n in (1, 2, 5, 10, 20, 50, 63, 65, 200, 252)}
-        | {
-            "rn": F.row_number().over(by_date()),
-            "atr_14": mean(h - l, 14),
-            "atr_20": mean(h - l, 20),
-            "ma_7": mean(x, 7),
-            "ma_65_sma": mean(x, 65),
-            "vol_20": mean(F.col("volume").cast("double"), 20),
-            "dollar_vol_20": mean(value.cast("double"), 20),
-            "_low_8": F.min("close").over(last_rows(8)),
-            "_high_8": F.max("close").over(last_rows(8)),
-            "_mean_8": mean(x, 8),
-        }
+        | earlier("close", (k for k in range(1, 8) if k not in (1, 2, 5)))
+        | {k: v for c in summed for k, v in earlier(c, range(1, 4)).items()}
+        | {"rn": F.row_number().over(by_date())}
     )
+    closes = [x, *(lag(k) if k in (1, 2, 5) else F.col(f"_close_{k}") for k in range(1, 8))]
+    base = base.withColumns({"ma_7": mean_of([added(closes[:7])]), **eight_rows(closes)})
+    base = base.withColumns(eight_moments(closes) | {k: v for c in summed for k, v in parts(c, 4).items()} | parts("_range", 2))
+    base = base.drop(*(f"_close_{k}" for k in (3, 4, 6, 7)), *(f"{c}_{k}" for c in summed for k in range(1, 4)), *summed)
     ret_1d = growth(x, lag(1))
     up, down = F.when(ret_1d >= 0.04, 1).otherwise(0), F.when(ret_1d <= -0.04, 1).otherwise(0)
+    fours = lambda c, to: {k: v for n in range(4, to + 1, 4) for k, v in (earlier(f"{c}_sum_4", (n,)) | earlier(f"{c}_known_4", (n,))).items()}
     base = base.withColumns(
         widened(8, 63)
         | widened(8, TREND)
-        | {
-            "_var_8": F.var_pop("close").over(last_rows(8)),
-            "_cov_8": F.covar_pop("close", "rn").over(last_rows(8)),
-            "_r2_so_far": F.regr_r2("close", "rn").over(so_far()),
-            "_atr_before": mean("atr_20", 50, 1),
-            "_ups": F.sum(up).over(so_far()),
-            "_downs": F.sum(down).over(so_far()),
-        }
+        | eights()
+        | {k: v for c in summed for k, v in fours(c, 16).items()}
+        | earlier("_range_sum_2", (12,))
+        | earlier("_range_known_2", (12,))
+        | {"_r2_so_far": F.regr_r2("close", "rn").over(so_far()), "_mean_so_far": F.avg("close").over(so_far()), "_ups": F.sum(up).over(so_far()), "_downs": F.sum(down).over(so_far())}
     ).drop("_low_8", "_high_8")
+    group = lambda c, n, k: (F.col(f"{c}_sum_{n}_{k}" if k else f"{c}_sum_{n}"), F.col(f"{c}_known_{n}_{k}" if k else f"{c}_known_{n}"))
+    twenty = lambda c: mean_of([group(c, 4, k) for k in range(0, 20, 4)])
+    base = base.withColumns(
+        {"atr_20": twenty("_range"), "vol_20": twenty("_volume"), "dollar_vol_20": twenty("_value"), "atr_14": mean_of([*(group("_range", 4, k) for k in (0, 4, 8)), group("_range", 2, 12)])}
+    ).drop(*(f"{c}_{what}_{n}{k}" for c in summed for what in ("sum", "known") for n in (2, 4) for k in ("", "_4", "_8", "_12", "_16")))
     # the trend's terms between two windows: with all other columns in one step, the code of it would be too long to be compiled
-    base = straightened(base.withColumns(eights())).drop("_mean_8", "_var_8", "_cov_8")
+    base = straightened(base, "_mean_65").drop("_mean_8", "_var_8", "_cov_8")
+    base = base.withColumn("ma_65_sma", F.when(F.col("rn") >= TREND, F.col("_mean_65")).otherwise(F.col("_mean_so_far"))).drop("_mean_65", "_mean_so_far")
     base = base.withColumns(
-        widened(63, 252) | {"breakout_4pct_up_30d": counted("_ups", 30), "breakout_4pct_up_90d": counted("_ups", 90), "breakdown_4pct_down_90d": counted("_downs", 90)}
+        widened(63, 252) | {"breakout_4pct_up_30d": counted("_ups", 30), "breakout_4pct_up_90d": counted("_ups", 90), "breakdown_4pct_down_90d": counted("_downs", 90)} | earlier("atr_20", range(1, 8), "_atr")
     ).drop("_ups", "_downs")
+    # the 49 rows before, in groups of seven
+    atr, known_atrs = added([F.col(f"_atr_{k}") for k in range(1, 8)])
+    base = base.withColumns({"_atr_sum": atr, "_atr_known": known_atrs}).drop(*(f"_atr_{k}" for k in range(1, 8)))
+    base = base.withColumns(earlier("_atr_sum", range(7, 49, 7)) | earlier("_atr_known", range(7, 49, 7)))
+    base = base.withColumn("_atr_before", mean_of([(F.col("_atr_sum"), F.col("_atr_known")), *((F.col(f"_atr_sum_{k}"), F.col(f"_atr_known_{k}")) for k in range(7, 49, 7))]))
+    base = base.drop(*(f"_atr_{what}{k}" for what in ("sum", "known") for k in ("", *(f"_{n}" for n in range(7, 49, 7)))))
     return base.withColumns(
         {f"ret_{n}d": growth(x, lag(n)) for n in (1, 2, 5, 10, 20, 63, 252)}
         | {
@@ -259,11 +300,16 @@ def intraday_features(bars: DataFrame, daily: DataFrame) -> DataFrame:
 
 def eligible(features: DataFrame, min_price: float = 10.0, min_value: float = 3_000_000.0) -> DataFrame:
     """Features with 40-row averages, trailing extremes, and whether the row counts for breadth."""
-    f = features.withColumns(
-        {"ma_40": F.avg("close").over(last_rows(40)), "ma_40_count": F.count("close").over(last_rows(40))}
-        | {f"low_{n}": F.min("close").over(last_rows(n)) for n in (20, 34, 65)}
-        | {f"high_{n}": F.max("close").over(last_rows(n)) for n in (20, 34, 65)}
-    )
+    # from groups of eight rows, and those from lags: frames of up to 65 rows would be gone over for each row
+    f = features.withColumns(earlier("close", range(1, 8)))
+    last = [F.col("close"), *(F.col(f"_close_{k}") for k in range(1, 8))]
+    total, count = added(last)
+    f = f.withColumns({"_sum_8": total, "_known_8": count, "_low_8": F.least(*last), "_high_8": F.greatest(*last)}).drop(*(f"_close_{k}" for k in range(1, 8)))
+    back = range(8, 40, 8)
+    f = f.withColumns(earlier("_sum_8", back) | earlier("_known_8", back) | {k[1:]: v for n in (20, 34, 65) for k, v in widened(8, n).items()})
+    groups = [(F.col(f"_sum_8{k}"), F.col(f"_known_8{k}")) for k in ("", *(f"_{k}" for k in back))]
+    f = f.withColumns({"ma_40": mean_of(groups), "ma_40_count": sum((F.coalesce(n, F.lit(0)) for _, n in groups), F.lit(0)).cast("long")})
+    f = f.drop("_low_8", "_high_8", *(f"_{what}_8{k}" for what in ("sum", "known") for k in ("", *(f"_{k}" for k in back))))
     good = (F.col("close") >= min_price) & (F.col("dollar_vol_20") >= min_value) & (F.col("ma_40_count") == 40) & F.col("ma_20").isNotNull() & F.col("atr_20").isNotNull()
     return f.withColumn("is_eligible", F.coalesce(good, F.lit(False)))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 import math
 import random
+import re
 
 import pytest
 
 from barloom.operators import features
+from barloom.sources import bars as src
 
 SCHEMA = "symbol string, date date, open double, high double, low double, close double, volume double"
 DAY = datetime.date(2020, 1, 1)
@@ -135,3 +137,11 @@ def test_whole_numbers(spark):
     df = spark.createDataFrame(rows, SCHEMA.replace("volume double", "volume long"))
     last = max(features.daily_features(df).collect(), key=lambda r: r.date)
     assert last.vol_20 == big and last.dollar_vol_20 == 2.0 * big
+
+
+def test_no_frame_is_gone_over_row_by_row(spark, sf):
+    """Short frames are lags and sums of groups; what runs on from a symbol's first row is added to."""
+    plan = features.daily_features(src.daily_from_lineitem(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    frames = set(re.findall(r"RowFrame, ([^,()$]+)[()$]*, ([^,()$]+)", plan))
+    assert frames and all(first == "unboundedpreceding" or first == last for first, last in frames), frames
+    assert plan.count("Exchange hashpartitioning") == 1
