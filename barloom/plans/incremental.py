@@ -58,8 +58,10 @@ def unchanged(state: DataFrame, feature: str, version: str, dataset_hash: str) -
 def with_rows_before(df: DataFrame, since: Column, rows: int) -> DataFrame:
     """Rows from `since` on and each symbol's last `rows` rows before it."""
     before = F.col("date") < since
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.when(before, F.col("date")).desc_nulls_last()))
-    return df.withColumn("_place", place).where(~before | (F.col("_place") <= rows)).drop("_place")
+    # counted on from the first row in the order of all other windows: a window that ran back from the last would sort the rows twice more
+    whole, up_to = (F.count_if(before).over(w) for w in (Window.partitionBy("symbol"), feats.by_date().rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumns({"_whole": whole, "_up_to": up_to})
+    return df.where(~before | (F.col("_whole") - F.col("_up_to") <= rows)).drop("_whole", "_up_to")
 
 
 def daily_since(bars: DataFrame, since: date, rows: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import candidates, features, outcomes, quality
 from barloom.operators.candidates import Params
+from barloom.plans import incremental
 from barloom.sources import bars as src
 
 
@@ -55,3 +57,11 @@ def test_row_rules_are_one_scan(spark, sf):
 def test_years_are_pruned(store):
     p = plan(store.where((F.col("year") == 1995) & (F.col("date") >= F.lit(date(1995, 6, 1)))))
     assert "PartitionFilters: [isnotnull(year" in p
+
+
+def test_a_refresh_sorts_rows_one_way(store):
+    """Rows before a date are counted in the order of all other windows; breadth goes over no frame row by row."""
+    p = plan(incremental.daily_since(store, date(1998, 1, 1), rows=incremental.ROW_CONTEXT))
+    assert p.count("Exchange hashpartitioning") == 1 and "DESC" not in p
+    p = plan(features.eligible(features.daily_features(store)))
+    assert not re.search(r"RowFrame, -\d+, currentrow", p)
