@@ -23,7 +23,7 @@ def dealt(spark, run) -> int:
     return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
 
 
-@pytest.mark.parametrize("name", ["a24_fold_consistency", "q18_result_gates", "t6_rank_experiments"])
+@pytest.mark.parametrize("name", ["a24_fold_consistency", "q18_result_gates", "t6_rank_experiments", "w21_equity_curve"])
 def test_trades_deal_each_line_once(spark, sf, name):
     lines = src.table(spark, sf, "lineitem").count()
     rows = dealt(spark, lambda: __spark_entry__.queries()[name](spark, sf).collect())
